@@ -73,12 +73,14 @@ def as_double(x: str) -> str:
 
 
 def repair_int(x: str, lo=None, hi=None) -> str:
-    v = f"coalesce(TRY_CAST(trunc(coalesce({as_double(x)}, {dbl(0.0)})) AS BIGINT), CAST(0 AS BIGINT))"
+    v = f"coalesce({as_double(x)}, {dbl(0.0)})"
     if lo is not None:
-        v = f"greatest({v}, {int(lo)})"
+        v = f"greatest({v}, {dbl(float(int(lo)))})"
     if hi is not None:
-        v = f"least({v}, {int(hi)})"
-    return f"CAST({v} AS BIGINT)"
+        v = f"least({v}, {dbl(float(int(hi)))})"
+    return (f"(CASE WHEN {v} >= {dbl(2.0 ** 63)} THEN CAST({2 ** 63 - 1} AS BIGINT) "
+            f"WHEN {v} <= {dbl(-(2.0 ** 63))} THEN CAST({-(2 ** 63)} AS BIGINT) "
+            f"ELSE CAST(trunc({v}) AS BIGINT) END)")
 
 
 def repair_float(x: str, lo=None, hi=None, digits: int = 4) -> str:
@@ -87,7 +89,8 @@ def repair_float(x: str, lo=None, hi=None, digits: int = 4) -> str:
         v = f"greatest({v}, {dbl(lo)})"
     if hi is not None:
         v = f"least({v}, {dbl(hi)})"
-    return f"round({v}, {digits})"
+    # Spark rounds through a decimal and never returns -0.0; adding +0.0 maps -0.0 to 0.0
+    return f"(round({v}, {digits}) + {dbl(0.0)})"
 
 
 def constrain(f, x: str, u_allowed: str | None) -> str:
@@ -314,7 +317,7 @@ def parent_influence_sql() -> str:
     key = "o_orderkey"
     spec = R.ORDERS_SPEC
     base = ("SELECT o_orderkey, o_custkey, o_totalprice, (o_orderpriority = '1-URGENT') AS priority_flag, "
-            "round(o_totalprice * 0.01, 2) AS ship_cost, c_acctbal AS o_custkey__tenure, "
+            "(o_totalprice * CAST('0.01' AS DOUBLE)) AS ship_cost, c_acctbal AS o_custkey__tenure, "
             "c_nationkey AS o_custkey__comorbidity_count FROM orders JOIN customer ON o_custkey = c_custkey")
     f = spec.field
     d1 = "coalesce(" + as_double("o_custkey__tenure") + f", {dbl(0.0)})"

@@ -283,7 +283,7 @@ def q_parent_influence(spark, d):
     o = t(spark, d, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice",
         (F.col("o_orderpriority") == "1-URGENT").alias("priority_flag"),
-        F.round(F.col("o_totalprice") * 0.01, 2).alias("ship_cost"))
+        (F.col("o_totalprice") * 0.01).alias("ship_cost"))
     c = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("tenure"),
                                        F.col("c_nationkey").alias("comorbidity_count"))
     j = keys.attach_parent(o, c, "o_custkey", "c_custkey", ["tenure", "comorbidity_count"])
@@ -417,14 +417,14 @@ def q_parquet_roundtrip(spark, d):
 def q_json_scan(spark, d):
     e = t(spark, d, "events")
     path = scratch_path(spark, "json")
-    e.write.mode("overwrite").option("timestampFormat", ev.TS_FORMAT).json(path)
-    return spark.read.schema(e.schema).option("timestampFormat", ev.TS_FORMAT).json(path)
+    e.write.mode("overwrite").options(**ev.JSON_OPTIONS).json(path)
+    return io.read_json(spark, path, e.schema, ev.JSON_OPTIONS)
 
 
 def q_compact_lineitem(spark, d):
     li = t(spark, d, "lineitem")
     src, dst = scratch_path(spark, "part"), scratch_path(spark, "compact")
-    key = io.write_partitioned(li, src, "parquet", "l_shipdate")
+    key = io.write_partitioned(li, src, "parquet", "l_shipdate", grain="month")
     io.compact(spark, src, dst, 2, "parquet", key)
     return io.read_table(spark, dst).drop(key)
 
@@ -451,7 +451,7 @@ def q_medallion_gold(spark, d):
     outs = medallion.run_medallion(spark, csv, root, [("orders", "o_custkey", "customer", "c_custkey")],
                                    schemas={k: v.schema for k, v in tables.items()},
                                    primary_keys={"orders": "o_orderkey", "customer": "c_custkey"},
-                                   compact_files=2)
+                                   compact_files=2, grain="month")
     return round_doubles(io.read_table(spark, outs["gld_orders_customer_joined"]))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DEFAULT_FORMAT = "parquet"
 PART_SUFFIX = "_date"
+GRAINS = {"day": "_date", "month": "_month", "year": "_year"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -16,9 +17,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return r.csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              options: dict | None = None) -> DataFrame:
     """JSON lines."""
-    r = spark.read
+    r = spark.read.options(**(options or {}))
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
@@ -37,24 +39,36 @@ def partition_column(df: DataFrame) -> str | None:
     return None
 
 
-def with_partition_key(df: DataFrame, column: str | None) -> tuple[DataFrame, str | None]:
-    """A date column to partition by: the column itself for dates, ``<col>_date`` for
-    timestamps (raw timestamps would give one directory per distinct instant)."""
+def with_partition_key(df: DataFrame, column: str | None, grain: str = "day") -> tuple[DataFrame, str | None]:
+    """A date column to partition by: the column itself for dates at day grain,
+    else ``<col>_date`` / ``<col>_month`` / ``<col>_year`` (the date truncated to the
+    grain). Raw timestamps would give one directory per distinct instant."""
     if column is None or column not in df.columns:
         return df, None
-    if isinstance(df.schema[column].dataType, T.DateType):
+    if grain == "day" and isinstance(df.schema[column].dataType, T.DateType):
         return df, column
-    key = column + PART_SUFFIX
-    return df.withColumn(key, F.to_date(F.col(column))), key
+    key = column + GRAINS[grain]
+    day = F.to_date(F.col(column))
+    value = day if grain == "day" else F.trunc(day, "month" if grain == "month" else "year")
+    return df.withColumn(key, value), key
+
+
+def partition_key_source(key: str | None) -> str | None:
+    """The column a derived partition key was made from (None if not derived)."""
+    for suffix in GRAINS.values():
+        if key and key.endswith(suffix):
+            return key[: -len(suffix)]
+    return None
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, column: str | None = None,
-                      mode: str = "overwrite", options: dict | None = None) -> str | None:
-    """Overwrite write, partitioned by the date of ``column`` when given.
+                      mode: str = "overwrite", options: dict | None = None, grain: str = "day") -> str | None:
+    """Overwrite write, partitioned by the date (or month/year) of ``column``.
 
     Rows are clustered by the partition key first so each task writes few
-    directories (no small-file explosion at scale). Returns the partition key."""
-    df2, key = with_partition_key(df, column)
+    directories (no small-file explosion at scale). Pick the grain so one
+    partition holds at least a few hundred MB. Returns the partition key."""
+    df2, key = with_partition_key(df, column, grain)
     w = df2.repartition(F.col(key)).write if key else df2.write
     w = w.mode(mode).format(fmt)
     for k, v in (options or {}).items():

@@ -16,7 +16,9 @@ from rowsmith.functions.fields import GenContext, default_as_of, field_column
 from rowsmith.spec import TableSpec
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-JSON_OPTIONS = {"timestampFormat": TS_FORMAT}
+TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+JSON_OPTIONS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_NTZ_FORMAT}
+EVENT_TIME = "_event_time"
 
 
 def to_events(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -58,7 +60,8 @@ def stream_silver(events: DataFrame, keys, ts_col: str, delay: str = "1 hour") -
     State holds a key only until the watermark passes its event time plus the
     delay, so state stays bounded; a copy arriving later than that is dropped by
     the watermark as late data."""
-    return events.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    timed = events.withColumn(EVENT_TIME, F.col(ts_col).cast("timestamp"))   # watermarks need TIMESTAMP (not NTZ)
+    return timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(list(keys)).drop(EVENT_TIME)
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
