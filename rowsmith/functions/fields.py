@@ -47,7 +47,15 @@ def default_as_of() -> datetime:
 
 @dataclass(frozen=True)
 class GenContext:
-    """Everything a field builder needs besides the field itself."""
+    """Everything a field builder needs besides the field itself.
+
+    Draw hashes are *bound*: each (column tag) hash becomes one hidden column
+    (``bound``), computed in a projection before the generators, which then only
+    reference it. Catalyst keeps a non-cheap expression that is referenced many
+    times in its own projection, so the md5 runs once per row and tag, and the
+    generator code stays small enough for the JIT (a Poisson column compares its
+    draw with ~60 constants). Call ``prepare(df)`` before selecting the fields and
+    ``finish(df)`` after."""
     table: str
     seed: int = 42
     as_of: datetime = dc_field(default_factory=default_as_of)
@@ -57,12 +65,42 @@ class GenContext:
     batched: bool = False
     row_col: str = "_row"        # dense 1..rows
     exact_names: bool = False
+    ordered: bool = True         # row-ordered temporal columns (off for streams)
+    bound: dict = dc_field(default_factory=dict, compare=False)
+
+    def _bind(self, tag: str, expr: Column) -> Column:
+        name = self.bound.get(tag, (None,))[0]
+        if name is None:
+            name = f"__h{len(self.bound)}_{self.table}"
+            self.bound[tag] = (name, expr)
+        return F.col(name)
+
+    def hex(self, column: str) -> Column:
+        """md5 hex digest for a column tag (bound once per row)."""
+        return self._bind(f"hex|{column}", rng.hash_hex(F.col(self.row_col), self.seed, self.table, column))
+
+    def bits(self, column: str, draw: int = 0) -> Column:
+        """52-bit integer of a draw, bound as its own column (the md5 of both draws of
+        a tag is shared by subexpression elimination within that projection)."""
+        expr = rng.uniform_bits(F.col(self.row_col), self.seed, self.table, column, draw, self.mode)
+        return self._bind(f"bits|{column}|{draw}", expr)
 
     def u(self, column: str, draw: int = 0) -> Column:
-        return rng.uniform(F.col(self.row_col), self.seed, self.table, column, draw, self.mode)
+        return self.bits(column, draw) / F.lit(rng.TWO52)
+
+    def u_open(self, column: str, draw: int = 0) -> Column:
+        return (self.bits(column, draw) + F.lit(1)) / F.lit(rng.TWO52)
 
     def normal(self, column: str) -> Column:
-        return rng.standard_normal(F.col(self.row_col), self.seed, self.table, column, self.mode)
+        return (F.sqrt(F.lit(-2.0) * F.log(self.u_open(column, 0)))
+                * F.cos(F.lit(2.0 * math.pi) * self.u(column, 1)))
+
+    def prepare(self, df):
+        """Add the bound hash columns the field expressions built so far refer to."""
+        return df.withColumns({name: expr for name, expr in self.bound.values()})
+
+    def finish(self, df):
+        return df.drop(*[name for name, _ in self.bound.values()])
 
 
 def _bounds(f: FieldSpec, default):
@@ -129,7 +167,7 @@ def _position(ctx: GenContext, column: str) -> Column:
 def date_column(f: FieldSpec, ctx: GenContext) -> Column:
     name = f.name.lower()
     base = ctx.as_of.date() if isinstance(ctx.as_of, datetime) else ctx.as_of
-    if any(k in name for k in ORDERED_DATE_WORDS):
+    if ctx.ordered and any(k in name for k in ORDERED_DATE_WORDS):
         back = F.lit(DAYS_BACK - 1) - F.floor(_position(ctx, f.name) * F.lit(DAYS_BACK))
     else:
         back = F.floor(ctx.u(f.name) * F.lit(DAYS_BACK))
@@ -143,7 +181,7 @@ def _epoch(ts: datetime) -> int:
 def datetime_column(f: FieldSpec, ctx: GenContext) -> Column:
     name = f.name.lower()
     as_of = ctx.as_of if isinstance(ctx.as_of, datetime) else datetime(ctx.as_of.year, ctx.as_of.month, ctx.as_of.day)
-    if any(k in name for k in ORDERED_TS_WORDS):
+    if ctx.ordered and any(k in name for k in ORDERED_TS_WORDS):
         back = F.lit(HOURS_BACK - 1) - F.floor(_position(ctx, f.name) * F.lit(HOURS_BACK))
     else:
         back = F.floor(ctx.u(f.name) * F.lit(HOURS_BACK))
@@ -186,7 +224,7 @@ def phone(f: FieldSpec, ctx: GenContext) -> Column:
 
 def uuid4(f: FieldSpec, ctx: GenContext) -> Column:
     """Version-4-shaped identifier from an md5 of the row key (reproducible, unlike uuid())."""
-    h = rng.hash_hex(F.col(ctx.row_col), ctx.seed, ctx.table, f.name + "#uuid")
+    h = ctx.hex(f.name + "#uuid")
     variant = F.substring(F.lit("89ab"), F.pmod(F.conv(F.substring(h, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1, 1)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
                        F.concat(F.lit("4"), F.substring(h, 14, 3)),

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsmith.functions.fields import GenContext, default_as_of, field_column
 from rowsmith.operators import correlate, keys
+from rowsmith.session import spread
 from rowsmith.spec import SchemaSpec, TableSpec
 
 BATCH_ROWS = 25_000
@@ -68,10 +69,11 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     ctx = GenContext(table=table.name, seed=seed, as_of=as_of, mode=mode, rows=rows,
                      batch_rows=batch_rows, batched=batched, exact_names=exact_names)
     if ids is None:
-        parts = max(1, math.ceil(rows / rows_per_partition))
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition))
+        parts = min(parts, rows)
         base = spark.range(1, rows + 1, 1, parts).withColumnRenamed("id", "_row")
     else:
-        base = ids.select("_row")
+        base = spread(ids.select("_row"), "_row")
     batch = F.floor((F.col("_row") - 1) / F.lit(batch_rows)).cast("long") if batched else F.lit(0).cast("long")
     df = base.withColumn("_batch", batch)
 
@@ -109,7 +111,7 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
             continue
         else:
             gen[f.name] = field_column(f, ctx)
-    df = df.withColumns(gen)
+    df = ctx.finish(ctx.prepare(df).withColumns(gen))
     by = ("_batch",)
 
     if parent_influence and context_cols:

@@ -13,6 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 MAX_CORR_COLUMNS = 12
+# Whole-stage codegen is switched off for an aggregate whose buffer has more than
+# spark.sql.codegen.maxFields (default 100) fields; a corr state has 6, avg 2,
+# count 1. Aggregates are chunked to stay under it (each chunk is one extra
+# column-pruned scan, far cheaper than one interpreted pass).
+CODEGEN_FIELDS = 96
+
+
+def one_row_aggregates(df: DataFrame, aggs: list, fields_each: int) -> DataFrame:
+    """Evaluate named aggregates (list of (name, Column)) into one row, in chunks so
+    every aggregate's buffer stays codegen-sized; chunks are one-row frames joined."""
+    per = max(1, CODEGEN_FIELDS // max(1, fields_each))
+    parts = [df.agg(*[a.alias(n) for n, a in aggs[i:i + per]]) for i in range(0, len(aggs), per)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)
+    return out
 
 
 def _is_float(dt) -> bool:
@@ -48,18 +64,19 @@ def table_stats(df: DataFrame, table_name: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: float = 0.02) -> DataFrame:
-    """E2 + E3 in one pass: (table_name, column_name, null_fraction, distinct_count).
+    """E2 + E3: (table_name, column_name, null_fraction, distinct_count).
 
-    NaN counts as missing and is not a distinct value. ``approx`` swaps the exact
-    distinct count (an Expand per column) for HyperLogLog++ sketches."""
+    NaN counts as missing and is not a distinct value. Null fractions are plain
+    averages (one codegen pass); exact distinct counts are one more aggregation in
+    which Spark expands rows per column and deduplicates partially before the
+    shuffle. ``approx`` swaps those for HyperLogLog++ sketches."""
     names = df.columns
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(names):
-        aggs.append(F.avg(_null_like(df, c).cast("double")).alias(f"null_fraction__{i}"))
-        v = _nan_to_null(df, c)
-        d = F.approx_count_distinct(v, rsd) if approx else F.count_distinct(v)
-        aggs.append(d.cast("long").alias(f"distinct_count__{i}"))
-    row = df.agg(*aggs)
+    nulls = [(f"null_fraction__{i}", F.avg(_null_like(df, c).cast("double"))) for i, c in enumerate(names)]
+    row = one_row_aggregates(df, nulls, 2)
+    dist = [(f"distinct_count__{i}", (F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx
+                                      else F.count_distinct(_nan_to_null(df, c))).cast("long"))
+            for i, c in enumerate(names)]
+    row = row.crossJoin(df.agg(*[a.alias(n) for n, a in dist]))
     out = _unpivot(row, names, ["null_fraction", "distinct_count"])
     return out.select(F.lit(table_name).alias("table_name"), "column_name",
                       F.coalesce("null_fraction", F.lit(0.0)).alias("null_fraction"), "distinct_count")
@@ -68,8 +85,8 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
 def null_fractions(df: DataFrame, table_name: str) -> DataFrame:
     """(table_name, column_name, null_fraction)."""
     names = df.columns
-    row = df.agg(*[F.avg(_null_like(df, c).cast("double")).alias(f"null_fraction__{i}")
-                   for i, c in enumerate(names)])
+    row = one_row_aggregates(df, [(f"null_fraction__{i}", F.avg(_null_like(df, c).cast("double")))
+                                  for i, c in enumerate(names)], 2)
     return _unpivot(row, names, ["null_fraction"]).select(
         F.lit(table_name).alias("table_name"), "column_name",
         F.coalesce("null_fraction", F.lit(0.0)).alias("null_fraction"))
@@ -113,7 +130,7 @@ def correlation_matrix(df: DataFrame, columns=None, max_cols: int = MAX_CORR_COL
         return spark.createDataFrame([], schema)
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     x = {c: F.col(c).cast("double") for c in cols}
-    row = df.agg(*[F.corr(x[cols[i]], x[cols[j]]).alias(f"c_{i}_{j}") for i, j in pairs])
+    row = one_row_aggregates(df, [(f"c_{i}_{j}", F.corr(x[cols[i]], x[cols[j]])) for i, j in pairs], 6)
     entries = []
     for i, j in pairs:
         entries.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
@@ -152,9 +169,9 @@ def joined_correlation(child: DataFrame, parent: DataFrame, fk: str, ref: str, c
         return cnt.select(F.lit(None).cast("string").alias("col_a"), F.lit(None).cast("string").alias("col_b"),
                           F.lit(None).cast("double").alias("corr"), "joined_row_count")
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    row = joined.agg(F.count(F.lit(1)).alias("joined_row_count"),
-                     *[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c_{i}_{j}")
-                       for i, j in pairs])
+    row = one_row_aggregates(joined, [("joined_row_count", F.count(F.lit(1)))] +
+                             [(f"c_{i}_{j}", F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")))
+                              for i, j in pairs], 6)
     entries = []
     for i, j in pairs:
         for a, b in {(i, j), (j, i)}:

@@ -135,7 +135,7 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
         hi = int(f.max_value if f.max_value is not None else G.INT_DEFAULT[1])
         if any(k in name for k in G.POISSON_WORDS):
             lam = max(2.0, min(20.0, (hi - lo) / 6 if hi > lo else 3.0))
-            s = " + ".join(f"CAST({U()} >= {dbl(c)} AS INTEGER)" for c in rng.poisson_cdf(lam))
+            s = poisson_sql(U(), rng.poisson_cdf(lam))
             return f"CAST(least(greatest(({s}) + {lo}, {lo}), {max(lo + 1, hi)}) AS BIGINT)"
         width = max(lo + 1, hi + 1) - lo
         return f"CAST(({lo} + floor({U()} * {width})) AS BIGINT)"
@@ -194,6 +194,15 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
     return pick(U(), pools.WORDS)
 
 
+def poisson_sql(uexpr: str, cdf) -> str:
+    def search(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi + 1) // 2
+        return f"(CASE WHEN {uexpr} >= {dbl(cdf[mid - 1])} THEN {search(mid, hi)} ELSE {search(lo, mid - 1)} END)"
+    return search(0, len(cdf))
+
+
 def first(table, column, key, draw=0):
     return pick(u(table, column, key, draw), pools.FIRST_NAMES)
 

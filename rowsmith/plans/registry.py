@@ -18,7 +18,7 @@ from rowsmith.operators import constraints, correlate, keys, privacy, quality, r
 from rowsmith.operators.correlate import Rule
 from rowsmith.operators.generate import generate_tables, Generated, generate_table
 from rowsmith.plans import medallion
-from rowsmith.session import scratch_path
+from rowsmith.session import scratch_path, spread
 from rowsmith.sources import io
 from rowsmith.spec import FieldSpec, ForeignKey, TableSpec, load_spec, spec_from_schema
 from rowsmith.streaming import events as ev
@@ -139,7 +139,8 @@ def people(spark, d) -> DataFrame:
     ctx = GenContext(table="people", seed=SEED, as_of=AS_OF, mode="portable", row_col="c_custkey")
     gen = {f.name: field_column(f, ctx) for f in (FieldSpec("patient_name"), FieldSpec("email"),
                                                   FieldSpec("zip_code"))}
-    return cust.select("c_custkey", "c_name", "c_mktsegment").withColumns(gen)
+    base = ctx.prepare(spread(cust.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"))
+    return ctx.finish(base.withColumns(gen))
 
 
 def q_pattern_pass_rates(spark, d):
@@ -326,7 +327,8 @@ NUMBERS = (FieldSpec("visit_count", "integer"), FieldSpec("small_qty", "integer"
 
 def _gen_over(spark, d, table: str, fields, rows_df: DataFrame, rows: int = 0, batched: bool = False):
     ctx = GenContext(table=table, seed=SEED, as_of=AS_OF, mode="portable", rows=rows, batched=batched)
-    return rows_df.select(F.col("_row").alias("id"), *[field_column(f, ctx).alias(f.name) for f in fields])
+    cols = [field_column(f, ctx).alias(f.name) for f in fields]
+    return ctx.prepare(spread(rows_df, "_row")).select(F.col("_row").alias("id"), *cols)
 
 
 def q_gen_ints_floats(spark, d):

@@ -63,3 +63,14 @@ def local_path(path: str) -> str:
 
 def exists(path: str) -> bool:
     return os.path.exists(local_path(path))
+
+
+def spread(df, key: str | None = None):
+    """Give CPU-heavy row-level work all cores when the input has fewer partitions
+    than the cluster has task slots (a small file or one row group). Large inputs
+    already come in many partitions and are returned unchanged, so this adds no
+    shuffle at scale. Hash partitioning on ``key`` keeps placement deterministic."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key) if key else df.repartition(slots)

@@ -82,9 +82,9 @@ def stream_generate(spark: SparkSession, table: TableSpec, rows_per_second: int
     """A synthetic record stream from the ``rate`` source: row key = rate value + 1,
     every field from the stateless generators (no per-batch statistics)."""
     ctx = GenContext(table=table.name, seed=seed, as_of=as_of or default_as_of(), mode=mode,
-                     rows=1, batched=False)
+                     rows=1, batched=False, ordered=False)
     src = (spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
            .select((F.col("value") + 1).alias("_row")))
     cols = [(F.col("_row") if f.name == table.primary_key else field_column(f, ctx)).alias(f.name)
             for f in table.fields]
-    return src.select(*cols)
+    return ctx.prepare(src).select(*cols)
