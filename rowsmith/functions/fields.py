@@ -88,6 +88,11 @@ class GenContext:
     def u(self, column: str, draw: int = 0) -> Column:
         return self.bits(column, draw) / F.lit(rng.TWO52)
 
+    def u_name(self, column: str, draw: int = 0) -> str:
+        """Name of a bound column holding the uniform double of a draw."""
+        self._bind(f"u|{column}|{draw}", self.u(column, draw))
+        return self.bound[f"u|{column}|{draw}"][0]
+
     def u_open(self, column: str, draw: int = 0) -> Column:
         return (self.bits(column, draw) + F.lit(1)) / F.lit(rng.TWO52)
 
@@ -96,8 +101,12 @@ class GenContext:
                 * F.cos(F.lit(2.0 * math.pi) * self.u(column, 1)))
 
     def prepare(self, df):
-        """Add the bound hash columns the field expressions built so far refer to."""
-        return df.withColumns({name: expr for name, expr in self.bound.values()})
+        """Add the bound columns the field expressions built so far refer to: draw
+        bits first, then the uniforms derived from them (two projections)."""
+        bits = {n: e for tag, (n, e) in self.bound.items() if not tag.startswith("u|")}
+        us = {n: e for tag, (n, e) in self.bound.items() if tag.startswith("u|")}
+        df = df.withColumns(bits)
+        return df.withColumns(us) if us else df
 
     def finish(self, df):
         return df.drop(*[name for name, _ in self.bound.values()])
@@ -112,13 +121,12 @@ def _bounds(f: FieldSpec, default):
 def int_column(f: FieldSpec, ctx: GenContext) -> Column:
     name = f.name.lower()
     lo, hi = (int(v) for v in _bounds(f, INT_DEFAULT))
-    u = ctx.u(f.name)
     if any(k in name for k in POISSON_WORDS):
         lam = max(2.0, min(20.0, (hi - lo) / 6 if hi > lo else 3.0))
-        val = rng.poisson(u, lam) + F.lit(lo)
+        val = rng.poisson(ctx.u_name(f.name), lam) + F.lit(lo)
         return F.least(F.greatest(val, F.lit(lo)), F.lit(max(lo + 1, hi))).cast("long")
     width = max(lo + 1, hi + 1) - lo
-    return (F.lit(lo) + F.floor(u * F.lit(width))).cast("long")
+    return (F.lit(lo) + F.floor(ctx.u(f.name) * F.lit(width))).cast("long")
 
 
 def float_column(f: FieldSpec, ctx: GenContext) -> Column:

@@ -69,11 +69,31 @@ def standard_normal(id_col, seed: int, table: str, column: str, mode: str = "por
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def sql_literal(v) -> str:
+    """Spark SQL text of a constant: doubles as ``<repr>D`` (exact round trip)."""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=256)
+def _const_array_sql(values: tuple) -> str:
+    return "array(" + ", ".join(sql_literal(v) for v in values) + ")"
+
+
+def const_array(values) -> Column:
+    """A constant array built in one JVM call (not one call per element)."""
+    return F.expr(_const_array_sql(tuple(values)))
+
+
 def pick(u: Column, values) -> Column:
     """Element ``1 + floor(u * k)`` of a constant list (uniform categorical choice)."""
-    vals = list(values)
-    arr = F.array(*[F.lit(v) for v in vals])
-    return F.element_at(arr, (F.floor(u * F.lit(len(vals))) + F.lit(1)).cast("int"))
+    vals = tuple(values)
+    return F.element_at(const_array(vals), (F.floor(u * F.lit(len(vals))) + F.lit(1)).cast("int"))
 
 
 # ---------------------------------------------------------------------------
@@ -94,18 +114,34 @@ def poisson_cdf(lam: float, tail: float = 1e-16) -> tuple:
     return tuple(out)
 
 
-def poisson(u: Column, lam: float) -> Column:
+def poisson_search_sql(u_sql: str, lam: float) -> str:
+    """Nested CASE WHEN text: a balanced search of ``u`` over the constant CDF table."""
+    cdf = poisson_cdf(float(lam))
+
+    def search(lo: int, hi: int) -> str:            # answer known to lie in [lo, hi]
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi + 1) // 2                    # is CDF entry mid-1 <= u ?
+        return f"CASE WHEN {u_sql} >= {sql_literal(cdf[mid - 1])} THEN {search(mid, hi)} ELSE {search(lo, mid - 1)} END"
+
+    return search(0, len(cdf))
+
+
+def poisson(u: Column | str, lam: float) -> Column:
     """Smallest k with CDF(k) > u, i.e. the number of CDF entries <= u.
 
     A balanced search over the constant CDF table written as nested CASE WHEN:
     about log2(len) comparisons per row, exact, and small generated code (codegen
-    splits the branches), so the JIT compiles it."""
+    splits the branches), so the JIT compiles it. ``u`` may be a column name (the
+    whole tree is then built in one JVM call) or a Column."""
+    if isinstance(u, str):
+        return F.expr(poisson_search_sql(f"`{u}`", lam))
     cdf = poisson_cdf(float(lam))
 
-    def search(lo: int, hi: int) -> Column:       # answer known to lie in [lo, hi]
+    def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
-        mid = (lo + hi + 1) // 2                  # is CDF entry mid-1 <= u ?
+        mid = (lo + hi + 1) // 2
         return F.when(u >= F.lit(cdf[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
 
     return search(0, len(cdf))
@@ -142,7 +178,7 @@ def beta_quantiles(a: float, b: float, points: int = BETA_POINTS) -> tuple:
 def beta(u: Column, a: float, b: float) -> Column:
     q = beta_quantiles(float(a), float(b))
     n = len(q) - 1
-    arr = F.array(*[F.lit(v) for v in q])
+    arr = const_array(q)
     pos = u * F.lit(float(n))
     i = F.least(F.floor(pos).cast("int"), F.lit(n - 1))
     lo = F.element_at(arr, i + 1)

@@ -451,6 +451,61 @@ def gen_temporal_sql() -> str:
     return f"SELECT _row AS id, {', '.join(cols)} FROM (SELECT o_orderkey + 1 AS _row FROM orders)"
 
 
+def healthcare_sql() -> str:
+    """CTEs ``pat`` and ``claims`` reproducing the healthcare generation (G1-G4, G12-G19,
+    D8-D10, D5 with the name-derived rule set) over the given table sizes."""
+    from rowsmith.spec import load_spec
+    spec = load_spec(R.HEALTHCARE)
+    pat, cl = spec.table("patients"), spec.table("claims")
+    n_pat, n_cl = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
+    pcols = ", ".join(f"{gen_field(f, 'patients', '_row')} AS {f.name}" for f in pat.fields if f.name != "id")
+    ctes = [f"pat AS (SELECT _row AS id, {pcols} FROM (SELECT row_number() OVER () AS _row FROM customer))"]
+    gen = []
+    for f in cl.fields:
+        if f.name == "id":
+            gen.append("_row AS id")
+        elif f.name == "patient_id":
+            gen.append(f"CAST((floor({u('claims', 'patient_id#fk', '_row')} * {n_pat}) + 1) AS BIGINT) AS patient_id")
+        else:
+            gen.append(f"{gen_field(f, 'claims', '_row')} AS {f.name}")
+    batch = f"(CASE WHEN {n_cl} > 100000 THEN CAST(floor((_row - 1) / 25000) AS BIGINT) ELSE CAST(0 AS BIGINT) END)"
+    ctes.append(f"c0 AS (SELECT _row, {batch} AS _batch, {', '.join(gen)} FROM "
+                f"(SELECT row_number() OVER () AS _row FROM orders))")
+    ctes.append("c1 AS (SELECT c0.*, pat.age AS patient_id__age, pat.comorbidity_count AS patient_id__comorbidity_count "
+                "FROM c0 JOIN pat ON c0.patient_id = pat.id)")
+    ov = "OVER (PARTITION BY _batch)"
+    z = safe_z("__d", "__dm", "__dd")
+
+    def shift(src_cte, out_cte, driver, targets, strength, tag):
+        base = ", ".join(f"coalesce({as_double(t)}, {dbl(0.0)}) AS __b{i}" for i, t in enumerate(targets))
+        sds = ", ".join(f"stddev_samp(__b{i}) {ov} AS __bs{i}" for i in range(len(targets)))
+        staged = (f"SELECT *, avg(__d) {ov} AS __dm, stddev_samp(__d) {ov} AS __dd, {sds} FROM "
+                  f"(SELECT *, coalesce({as_double(driver)}, {dbl(0.0)}) AS __d, {base} FROM {src_cte})")
+        keep = ["_row", "_batch", "id", "patient_id", "length_of_stay", "cost", "readmission_risk_score",
+                "service_date", "patient_id__age", "patient_id__comorbidity_count"]
+        outs = []
+        for c in keep:
+            if c in targets:
+                i = targets.index(c)
+                adj = f"(__b{i} + (({dbl(strength)} * {z}) * {std1(f'__bs{i}')}))"
+                outs.append(f"{constrain(cl.field(c), adj, None)} AS {c}")
+            else:
+                outs.append(c)
+        return f"{out_cte} AS (SELECT {', '.join(outs)} FROM ({staged}))"
+
+    ctes.append(shift("c1", "c2", "patient_id__age", ["length_of_stay", "cost", "readmission_risk_score"], 0.28, "parent"))
+    ctes.append(shift("c2", "c3", "patient_id__comorbidity_count", ["length_of_stay", "cost", "readmission_risk_score"],
+                      0.24, "comorb"))
+    cols = ["_row", "_batch", "id", "patient_id", "length_of_stay", "cost", "readmission_risk_score", "service_date"]
+    rules = correlate.default_rules(cl)
+    chain = chain_sql("SELECT * FROM c3", cols, {c: ("f" if c in ("cost", "readmission_risk_score") else "i") for c in cols},
+                      rules, cl, ["_batch"], "claims", "_row", ["id", "patient_id", "length_of_stay", "cost",
+                                                                "readmission_risk_score", "service_date"],
+                      fill_median=False)
+    # chain_sql returns "WITH r0 AS (...), ... SELECT ..."; splice it behind our CTEs
+    return "WITH " + ", ".join(ctes) + ", " + chain[len("WITH "):]
+
+
 def oracle_queries() -> dict:
     out = {}
     out["segment_order_value"] = (
@@ -543,6 +598,14 @@ def oracle_queries() -> dict:
     out["gen_text"] = gen_sql(R.TEXT, "people", "customer", "c_custkey + 1")
     out["gen_flags"] = gen_sql(R.FLAGS, "visits", "orders", "o_orderkey + 1")
     out["gen_temporal"] = gen_temporal_sql()
+    hc = healthcare_sql()
+    out["gen_claims"] = hc
+    cut = hc.rindex(" SELECT ")
+    cols = ["age", "cost", "length_of_stay", "comorbidity_count", "readmission_risk_score"]
+    out["gen_star_schema"] = (
+        f"{hc[:cut]}, cl AS ({hc[cut + 1:]}), j AS (SELECT cl.*, pat.age, pat.comorbidity_count FROM cl "
+        f"JOIN pat ON cl.patient_id = pat.id) SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM j) AS joined_row_count "
+        f"FROM ({corr_sql('j', cols)}) x")
     out["sample_rows"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20"
     out["csv_roundtrip"] = "SELECT * FROM lineitem"
     out["parquet_roundtrip"] = "SELECT * FROM orders"

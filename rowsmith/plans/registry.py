@@ -384,8 +384,9 @@ HEALTHCARE = {
 }
 
 
-def q_gen_star_schema(spark, d):
-    """Healthcare schema with one patient per customer and one claim per order."""
+def healthcare_tables(spark, d):
+    """Healthcare schema with one patient per customer and one claim per order
+    (two bounded scalars, the table sizes, are read first)."""
     spec = load_spec(HEALTHCARE)
     n_pat = t(spark, d, "customer").count()
     n_claims = t(spark, d, "orders").count()
@@ -393,6 +394,15 @@ def q_gen_star_schema(spark, d):
     pdf = generate_table(spark, pat, n_pat, seed=SEED, as_of=AS_OF, mode="portable")
     claims = generate_table(spark, spec.table("claims"), n_claims, seed=SEED, as_of=AS_OF, mode="portable",
                             parents={"patients": Generated(pdf, n_pat, pat)})
+    return pdf, claims
+
+
+def q_gen_claims(spark, d):
+    return healthcare_tables(spark, d)[1]
+
+
+def q_gen_star_schema(spark, d):
+    pdf, claims = healthcare_tables(spark, d)
     return round_doubles(quality.joined_correlation(claims, pdf, "patient_id", "id", "claims", "patients",
                                                     ["age", "cost", "length_of_stay", "comorbidity_count",
                                                      "readmission_risk_score"]))
@@ -491,6 +501,7 @@ QUERIES = {
     "gen_temporal": q_gen_temporal,
     "gen_flags": q_gen_flags,
     "gen_star_schema": q_gen_star_schema,
+    "gen_claims": q_gen_claims,
     "sample_rows": q_sample_rows,
     "csv_roundtrip": q_csv_roundtrip,
     "parquet_roundtrip": q_parquet_roundtrip,
