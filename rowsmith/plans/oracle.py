@@ -314,8 +314,10 @@ def line_rule_sql(rule, out_cols, extra_sql: str = "", extra_cols=(), by=None, e
 
 
 def rule_chain_sql() -> str:
+    buckets = f"CAST(ceil((SELECT count(*) FROM lineitem) / {R.LINE_BATCH_ROWS}) AS BIGINT)"
+    batch = f"(CAST(('0x' || substr(md5({LINE_KEY_SQL}), 1, 8)) AS BIGINT) % greatest({buckets}, 1))"
     base = (f"SELECT *, {LINE_KEY_SQL} AS _k, false AS is_large, "
-            f"CAST(floor(l_orderkey / {R.LINE_BATCH_ORDERS}) AS BIGINT) AS _batch FROM lineitem")
+            f"{batch} AS _batch FROM lineitem")
     kinds = dict(LINE_KINDS, is_large="b")
     return chain_sql(base, LINE_COLS + ["_k", "is_large", "_batch"], kinds, R.chain_rules(), R.LINE_SPEC,
                      ["_batch"], "lineitem", "_k", [LK, "l_extendedprice", "l_tax", "is_large"])

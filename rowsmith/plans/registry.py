@@ -37,7 +37,7 @@ FK_EDGES = (
     ("nation", "n_regionkey", "region", "r_regionkey"),
     ("events", "user_id", "customer", "c_custkey"),
 )
-LINE_BATCH_ORDERS = 6250    # ~25,000 lineitem rows per statistics batch
+LINE_BATCH_ROWS = 25_000    # rows per statistics batch (hash buckets of the row key)
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -267,8 +267,10 @@ def chain_rules() -> list[Rule]:
 
 
 def q_rule_chain(spark, d, method: str = "window"):
-    df = lineitem_keyed(spark, d).withColumn("is_large", F.lit(False)) \
-        .withColumn("_batch", F.floor(F.col("l_orderkey") / F.lit(LINE_BATCH_ORDERS)).cast("long"))
+    li = lineitem_keyed(spark, d)
+    n = li.count()     # one bounded scalar: the number of ~25,000-row batches
+    df = li.withColumn("is_large", F.lit(False)) \
+        .withColumn("_batch", correlate.hash_batches(F.col("_k"), n, LINE_BATCH_ROWS))
     out = correlate.apply_rules(df, chain_rules(), LINE_SPEC, ("_batch",), SEED, "_k", "portable",
                                 fill_median=True, method=method)
     return out.select(*LINE_KEY, "l_extendedprice", "l_tax", "is_large")
