@@ -11,6 +11,8 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from rowsmith.session import spread
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 MAX_CORR_COLUMNS = 12
 # Whole-stage codegen is switched off for an aggregate whose buffer has more than
@@ -71,6 +73,7 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
     which Spark expands rows per column and deduplicates partially before the
     shuffle. ``approx`` swaps those for HyperLogLog++ sketches."""
     names = df.columns
+    df = spread(df)
     nulls = [(f"null_fraction__{i}", F.avg(_null_like(df, c).cast("double"))) for i, c in enumerate(names)]
     row = one_row_aggregates(df, nulls, 2)
     dist = [(f"distinct_count__{i}", (F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx

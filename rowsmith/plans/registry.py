@@ -219,7 +219,7 @@ LINE_SPEC = TableSpec("lineitem", (
 
 
 def lineitem_keyed(spark, d) -> DataFrame:
-    return t(spark, d, "lineitem").withColumn("_k", line_key())
+    return spread(t(spark, d, "lineitem")).withColumn("_k", line_key())
 
 
 def q_zscore(spark, d):

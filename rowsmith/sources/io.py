@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rowsmith.session import spread
+
 DEFAULT_FORMAT = "parquet"
 PART_SUFFIX = "_date"
 GRAINS = {"day": "_date", "month": "_month", "year": "_year"}
@@ -91,25 +93,33 @@ def register_table(spark: SparkSession, name: str, path: str, fmt: str = DEFAULT
     """``CREATE TABLE IF NOT EXISTS ... USING fmt LOCATION path``; returns the full name."""
     full = f"`{schema_name}`.`{name}`" if schema_name else f"`{name}`"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {fmt} LOCATION '{path}'")
+    if spark.sql(f"DESCRIBE TABLE {full}").where("col_name = '# Partition Information'").count():
+        spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")   # register the existing directories
     return full
 
 
 def compact(spark: SparkSession, path: str, out_path: str, files: int, fmt: str = DEFAULT_FORMAT,
             partition_key: str | None = None) -> str:
-    """Rewrite a table into ``files`` files (per partition value when partitioned)
-    at ``out_path``; rows are unchanged. The caller re-points readers to the new path."""
+    """Rewrite a table at ``out_path`` with at most ``files`` files per partition
+    value (or ``files`` files in total when unpartitioned); rows are unchanged.
+
+    Rows are hashed on (partition value, salt in [0, files)), so every partition value
+    is written by at most ``files`` tasks while different values still spread over
+    all executors. The caller re-points readers to the new path."""
     df = spark.read.format(fmt).load(path)
     if partition_key and partition_key in df.columns:
-        df.repartition(files, F.col(partition_key)).write.mode("overwrite").format(fmt) \
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(files)))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(files))
+        df.repartition(n, F.col(partition_key), salt).write.mode("overwrite").format(fmt) \
           .partitionBy(partition_key).save(out_path)
     else:
-        df.repartition(files).write.mode("overwrite").format(fmt).save(out_path)
+        df.repartition(int(files)).write.mode("overwrite").format(fmt).save(out_path)
     return out_path
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "csv", compression: str | None = None) -> str:
     """CSV with a header row, or Parquet; written in parallel part files."""
-    w = df.write.mode("overwrite").format(fmt)
+    w = spread(df).write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     if compression:

@@ -81,3 +81,21 @@ def test_integer_repair_clips(spark, values, lo, hi):
             assert y == max(lo, min(hi, 0))
         else:
             assert y == max(lo, min(hi, int(v)))   # exact integer, then clipped
+
+
+def test_partitioned_write_compaction_and_registration(spark, tmp_path):
+    import os
+    from rowsmith.sources import io
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    src, dst = str(tmp_path / "part"), str(tmp_path / "compact")
+    key = io.write_partitioned(li, src, "parquet", "l_shipdate", grain="year")
+    assert key == "l_shipdate_year"
+    io.compact(spark, src, dst, 2, "parquet", key)
+    back = io.read_table(spark, dst).drop(key)
+    assert back.exceptAll(li).count() == 0 and li.exceptAll(back).count() == 0
+    for d in os.listdir(dst):
+        if d.startswith(key + "="):
+            assert 1 <= len([f for f in os.listdir(os.path.join(dst, d)) if f.endswith(".parquet")]) <= 2
+    io.create_schema(spark, "rowsmith_t", str(tmp_path / "db"))
+    name = io.register_table(spark, "slv_lineitem", dst, "parquet", "rowsmith_t")
+    assert spark.table(name).count() == li.count()
