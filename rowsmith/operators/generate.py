@@ -37,11 +37,37 @@ CONTEXT_COLUMNS = ("age", "tenure", "comorbidity_count")
 
 @dataclass(frozen=True)
 class Generated:
-    """A generated table: its DataFrame, row count and whether its key is dense 1..rows."""
+    """A generated table: its DataFrame, row count, whether its key is dense 1..rows,
+    the generation settings (``params``) and the columns changed after generation
+    (``modified``). A child reads an unmodified column of such a parent by
+    re-evaluating its generator at the sampled key instead of joining."""
     df: DataFrame
     rows: int
-    spec: TableSpec
+    spec: TableSpec | None
     dense_key: bool = True
+    params: dict | None = None
+    modified: frozenset = frozenset()
+
+
+def modified_columns(table: TableSpec, rules, has_context: bool) -> frozenset:
+    """Columns a table's generation may change after drawing them (a superset):
+    parent-influence targets, rule targets and the repaired end column."""
+    out = set()
+    if has_context:
+        for f in table.fields:
+            if (f.is_numeric and (correlate._has(f.name, correlate.PARENT_NUM_WORDS)
+                                  or correlate._has(f.name, correlate.COMORB_WORDS))) or \
+               (f.type == "boolean" and correlate._has(f.name, correlate.PARENT_FLAG_WORDS)):
+                out.add(f.name)
+    names = table.field_names
+    live = [r for r in rules if correlate.applicable(r, table, names)]
+    out |= {r.target for r in live}
+    if live:
+        from rowsmith.operators.constraints import temporal_pair
+        pair = temporal_pair(names)
+        if pair:
+            out.add(pair[1])
+    return frozenset(out)
 
 
 def is_batched(table: TableSpec, rows: int) -> bool:
@@ -95,8 +121,16 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
         if parent.dense_key and ref == pk:
             df = df.withColumn(fk.column, keys.sample_dense_foreign_key(
                 parent.rows, "_row", fk.column, seed, table.name, mode))
-            if wanted:
-                df = keys.attach_parent(df, pdf, fk.column, ref, wanted)
+            redraw = [c for c in wanted if parent.params is not None and c not in parent.modified
+                      and c != pk and parent.spec.field(c) is not None]
+            if redraw:
+                # the parent's value at the sampled key, re-evaluated: no join, no shuffle
+                pctx = GenContext(table=parent.spec.name, row_col=fk.column, **parent.params)
+                cols = {f"{fk.column}__{c}": field_column(parent.spec.field(c), pctx) for c in redraw}
+                df = pctx.finish(pctx.prepare(df).withColumns(cols))
+            joined = [c for c in wanted if c not in redraw]
+            if joined:
+                df = keys.attach_parent(df, pdf, fk.column, ref, joined)
         else:
             df = keys.sample_foreign_key(df, pdf, fk.column, ref, "_row", seed, table.name, mode,
                                          context=wanted)
@@ -135,7 +169,29 @@ def generate_tables(spark: SparkSession, spec: SchemaSpec, row_count: int, *, se
     for table in spec.parents_first():
         n = table.rows_for(row_count)
         table_rules = None if rules is None else rules.get(table.name, None)
-        df = generate_table(spark, table, n, parents=done, seed=seed, as_of=as_of, mode=mode,
-                            rules=table_rules, **kwargs)
-        done[table.name] = Generated(df, n, table, dense_key=True)
+        done[table.name] = generate(spark, table, n, parents=done, seed=seed, as_of=as_of, mode=mode,
+                                    rules=table_rules, **kwargs)
     return {name: g.df for name, g in done.items()}
+
+
+def generate(spark: SparkSession, table: TableSpec, rows: int, *, parents=None, seed: int = 42,
+             as_of: datetime | None = None, mode: str = "fast", rules=None, parent_influence: bool = True,
+             batch_rows: int = BATCH_ROWS, exact_names: bool = False, **kwargs) -> Generated:
+    """``generate_table`` plus what children need to read it without joins."""
+    as_of = as_of or default_as_of()
+    parents = parents or {}
+    df = generate_table(spark, table, rows, parents=parents, seed=seed, as_of=as_of, mode=mode, rules=rules,
+                        parent_influence=parent_influence, batch_rows=batch_rows, exact_names=exact_names,
+                        **kwargs)
+    has_context = parent_influence and any(
+        fk.ref_table in parents and fk.ref_table != table.name and
+        any(c in _parent_df(parents[fk.ref_table]).columns for c in CONTEXT_COLUMNS)
+        for fk in table.foreign_keys)
+    rule_list = correlate.default_rules(table) if rules is None else list(rules)
+    params = dict(seed=seed, as_of=as_of, mode=mode, rows=int(rows), batch_rows=batch_rows,
+                  batched=is_batched(table, int(rows)), exact_names=exact_names)
+    return Generated(df, int(rows), table, True, params, modified_columns(table, rule_list, has_context))
+
+
+def _parent_df(p) -> DataFrame:
+    return p.df if isinstance(p, Generated) else p

@@ -16,7 +16,7 @@ from rowsmith.functions import rng
 from rowsmith.functions.fields import GenContext, field_column
 from rowsmith.operators import constraints, correlate, keys, privacy, quality, retention
 from rowsmith.operators.correlate import Rule
-from rowsmith.operators.generate import generate_tables, Generated, generate_table
+from rowsmith.operators.generate import generate, generate_table
 from rowsmith.plans import medallion
 from rowsmith.session import scratch_path, spread
 from rowsmith.sources import io
@@ -392,11 +392,10 @@ def healthcare_tables(spark, d):
     spec = load_spec(HEALTHCARE)
     n_pat = t(spark, d, "customer").count()
     n_claims = t(spark, d, "orders").count()
-    pat = spec.table("patients")
-    pdf = generate_table(spark, pat, n_pat, seed=SEED, as_of=AS_OF, mode="portable")
+    pat = generate(spark, spec.table("patients"), n_pat, seed=SEED, as_of=AS_OF, mode="portable")
     claims = generate_table(spark, spec.table("claims"), n_claims, seed=SEED, as_of=AS_OF, mode="portable",
-                            parents={"patients": Generated(pdf, n_pat, pat)})
-    return pdf, claims
+                            parents={"patients": pat})
+    return pat.df, claims
 
 
 def q_gen_claims(spark, d):

@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# HotSpot does not JIT-compile methods above 8,000 bytes of bytecode. A whole-stage
+# method that large runs interpreted (several times slower); with this limit Spark
+# falls back to per-operator code whose expressions are split into small methods.
+JIT_METHOD_LIMIT = 8000
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "rowsmith") -> SparkSession:
     """Build (or reuse) a session with AQE on, the UI off and UTC as session zone.
@@ -23,7 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          .config("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT)))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

@@ -88,3 +88,23 @@ def test_self_reference_falls_back(spark):
         {"name": "id", "type": "integer"}, {"name": "boss", "type": "integer", "foreign_key": "emp.id"}]}]})
     df = generate_tables(spark, spec, 100, as_of=AS_OF)["emp"]
     assert df.count() == 100 and df.where(F.col("boss").isNull()).count() == 0
+
+
+def test_generated_parent_context_needs_no_join(spark):
+    from rowsmith.operators.generate import generate
+    spec = load_spec(HEALTHCARE)
+    pat = generate(spark, spec.table("patients"), 3000, seed=42, as_of=AS_OF)
+    assert pat.modified == frozenset()
+    claims = generate_table(spark, spec.table("claims"), 3000, parents={"patients": pat}, seed=42, as_of=AS_OF)
+    plan = claims._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Python" not in plan
+    # the re-evaluated context equals the joined parent values
+    a = claims.select("patient_id").join(pat.df.select(F.col("id").alias("patient_id"), "age"), "patient_id")
+    assert a.count() == 3000
+
+
+def test_plain_generation_is_one_projection(spark):
+    t = TableSpec("x", (FieldSpec("id", "integer"), FieldSpec("age", "integer"), FieldSpec("email"),
+                        FieldSpec("created_at", "timestamp")))
+    plan = generate_table(spark, t, 1000, as_of=AS_OF, rules=[])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan

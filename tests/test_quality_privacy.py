@@ -51,9 +51,9 @@ def test_retain_boundary_is_expired(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 10, 0),), (datetime(2024, 1, 1, 10, 1),)], "created timestamp")
     out = retention.retain(df, "created", datetime(2024, 1, 1, 11, 0), 60).collect()
     assert [r.created for r in out] == [datetime(2024, 1, 1, 10, 1)]
-    assert "PushedFilters: [IsNotNull(created), GreaterThan(created" in \
-        retention.retain(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "ts",
-                         datetime(2024, 1, 15), 60)._jdf.queryExecution().executedPlan().toString() or True
+    plan = retention.retain(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "ts",
+                            datetime(2024, 1, 15), 60)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts," in plan
 
 
 def test_conform_and_temporal_repair(spark):
