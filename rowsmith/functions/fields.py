@@ -77,12 +77,12 @@ class GenContext:
 
     def hex(self, column: str) -> Column:
         """md5 hex digest for a column tag (bound once per row)."""
-        return self._bind(f"hex|{column}", rng.hash_hex(F.col(self.row_col), self.seed, self.table, column))
+        return self._bind(f"hex|{column}", rng.hash_hex(self.row_col, self.seed, self.table, column))
 
     def bits(self, column: str, draw: int = 0) -> Column:
         """52-bit integer of a draw, bound as its own column (the md5 of both draws of
         a tag is shared by subexpression elimination within that projection)."""
-        expr = rng.uniform_bits(F.col(self.row_col), self.seed, self.table, column, draw, self.mode)
+        expr = rng.uniform_bits(self.row_col, self.seed, self.table, column, draw, self.mode)
         return self._bind(f"bits|{column}|{draw}", expr)
 
     def u(self, column: str, draw: int = 0) -> Column:

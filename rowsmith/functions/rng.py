@@ -30,21 +30,38 @@ def _key(id_col) -> Column:
     return id_col if isinstance(id_col, Column) else F.col(id_col)
 
 
+def _q(text: str) -> str:
+    return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hex_sql(key_sql: str, seed: int, table: str, column: str) -> str:
+    return f"md5(concat_ws('|', {_q(seed)}, {_q(table)}, {_q(column)}, cast({key_sql} as string)))"
+
+
 def hash_hex(id_col, seed: int, table: str, column: str) -> Column:
     """md5 hex digest of ``seed|table|column|key`` (32 hex characters)."""
+    if isinstance(id_col, str):       # a column name: the whole expression in one JVM call
+        return F.expr(_hex_sql(f"`{id_col}`", seed, table, column))
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(table), F.lit(column),
                              _key(id_col).cast("string")))
 
 
 def uniform_bits(id_col, seed: int, table: str, column: str, draw: int = 0,
                  mode: str = "portable") -> Column:
-    """Integer in [0, 2^52) for draw ``draw`` (0 or 1 in portable mode)."""
+    """Integer in [0, 2^52) for draw ``draw`` (0 or 1 in portable mode).
+    ``id_col`` may be a column name (built in one JVM call) or a Column."""
     if mode == "portable":
         if draw not in (0, 1):
             raise ValueError("portable mode gives draws 0 and 1 per tag; use another tag")
+        if isinstance(id_col, str):
+            h = _hex_sql(f"`{id_col}`", seed, table, column)
+            return F.expr(f"cast(conv(substring({h}, {1 + 13 * draw}, 13), 16, 10) as bigint)")
         hexpart = F.substring(hash_hex(id_col, seed, table, column), 1 + 13 * draw, 13)
         return F.conv(hexpart, 16, 10).cast("long")
     if mode == "fast":
+        if isinstance(id_col, str):
+            return F.expr(f"pmod(xxhash64({int(seed)}, {_q(table)}, {_q(column)}, {int(draw)}, `{id_col}`), "
+                          f"{2 ** 52}L)")
         h = F.xxhash64(F.lit(seed), F.lit(table), F.lit(column), F.lit(draw), _key(id_col))
         return F.pmod(h, F.lit(2 ** 52))
     raise ValueError(f"unknown rng mode {mode!r}")
