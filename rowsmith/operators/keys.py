@@ -18,7 +18,8 @@ POS_MASK = (1 << 33) - 1   # monotonically_increasing_id keeps the row position
 
 def dense_index(df: DataFrame, key: str, index_col: str = "_idx",
                 num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Return (``df`` + 1-based ``index_col`` ordered by ``key``, one-row frame ``_n``).
+    """Return (``df`` + 1-based ``index_col`` ordered by ``key``, one-row frame ``_n``
+    with the row count, usable as a scalar subquery).
 
     ``key`` should be unique; ties get an arbitrary but stable order within a partition.
     Range boundaries come from a seeded sample, so a recomputed partition gets the
@@ -57,7 +58,7 @@ def sample_foreign_key(child: DataFrame, parent: DataFrame, fk: str, ref: str, i
     keep = [ref] + [c for c in context if c != ref]
     indexed, total = dense_index(parent.select(*keep), ref, "_pidx_key")
     u = rng.uniform(F.col(id_col), seed, table, fk + "#fk", 0, mode)
-    drawn = child.crossJoin(F.broadcast(total)).withColumn("_pidx", sample_index(F.col("_n"), u)).drop("_n")
+    drawn = child.withColumn("_pidx", sample_index(total.select("_n").scalar(), u))
     right = indexed.select(F.col("_pidx_key").alias("_pidx"), F.col(ref).alias(fk),
                            *[F.col(c).alias(f"{prefix}__{c}") for c in keep[1:]])
     if fk in drawn.columns:

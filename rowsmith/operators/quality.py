@@ -22,14 +22,22 @@ MAX_CORR_COLUMNS = 12
 CODEGEN_FIELDS = 96
 
 
-def one_row_aggregates(df: DataFrame, aggs: list, fields_each: int) -> DataFrame:
-    """Evaluate named aggregates (list of (name, Column)) into one row, in chunks so
-    every aggregate's buffer stays codegen-sized; chunks are one-row frames joined."""
-    per = max(1, CODEGEN_FIELDS // max(1, fields_each))
-    parts = [df.agg(*[a.alias(n) for n, a in aggs[i:i + per]]) for i in range(0, len(aggs), per)]
+def chunked_long_aggregates(df: DataFrame, items: list, fields_each: int, entry, keep=()) -> DataFrame:
+    """Aggregate many (name, Column) statistics in chunks whose buffers stay
+    codegen-sized; each chunk's single row is exploded into long rows by
+    ``entry(name) -> struct Column`` and the chunks are unioned (no joins).
+    ``keep`` are extra aggregates (name, Column) computed in every chunk and kept
+    as columns (e.g. a row count)."""
+    per = max(1, (CODEGEN_FIELDS - len(keep)) // max(1, fields_each))
+    parts = []
+    for i in range(0, len(items), per):
+        chunk = items[i:i + per]
+        row = df.agg(*[a.alias(n) for n, a in chunk], *[a.alias(n) for n, a in keep])
+        parts.append(row.select(F.explode(F.array(*[entry(n) for n, _ in chunk])).alias("e"),
+                                *[n for n, _ in keep]).select("e.*", *[n for n, _ in keep]))
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(p)
+        out = out.unionByName(p)
     return out
 
 
@@ -65,34 +73,39 @@ def table_stats(df: DataFrame, table_name: str) -> DataFrame:
         F.lit(table_name).alias("table_name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
 
 
+def _null_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    items = [(f"nf_{i}", F.avg(_null_like(df, c).cast("double"))) for i, c in enumerate(names)]
+    label = {f"nf_{i}": c for i, c in enumerate(names)}
+    entry = lambda n: F.struct(F.lit(label[n]).alias("column_name"),
+                               F.coalesce(F.col(n), F.lit(0.0)).alias("null_fraction"))
+    return chunked_long_aggregates(df, items, 2, entry)
+
+
 def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: float = 0.02) -> DataFrame:
     """E2 + E3: (table_name, column_name, null_fraction, distinct_count).
 
     NaN counts as missing and is not a distinct value. Null fractions are plain
-    averages (one codegen pass); exact distinct counts are one more aggregation in
+    averages (codegen-sized chunks); exact distinct counts are one aggregation in
     which Spark expands rows per column and deduplicates partially before the
-    shuffle. ``approx`` swaps those for HyperLogLog++ sketches."""
+    shuffle. ``approx`` swaps those for HyperLogLog++ sketches. The two long
+    results (one row per column each) are joined on the column name."""
     names = df.columns
     df = spread(df)
-    nulls = [(f"null_fraction__{i}", F.avg(_null_like(df, c).cast("double"))) for i, c in enumerate(names)]
-    row = one_row_aggregates(df, nulls, 2)
-    dist = [(f"distinct_count__{i}", (F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx
-                                      else F.count_distinct(_nan_to_null(df, c))).cast("long"))
-            for i, c in enumerate(names)]
-    row = row.crossJoin(df.agg(*[a.alias(n) for n, a in dist]))
-    out = _unpivot(row, names, ["null_fraction", "distinct_count"])
-    return out.select(F.lit(table_name).alias("table_name"), "column_name",
-                      F.coalesce("null_fraction", F.lit(0.0)).alias("null_fraction"), "distinct_count")
+    nulls = _null_rows(df, names)
+    dist = df.agg(*[(F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx
+                     else F.count_distinct(_nan_to_null(df, c))).cast("long").alias(f"dc_{i}")
+                    for i, c in enumerate(names)])
+    dist = dist.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                    F.col(f"dc_{i}").alias("distinct_count"))
+                                           for i, c in enumerate(names)])).alias("e")).select("e.*")
+    out = nulls.join(dist, "column_name")
+    return out.select(F.lit(table_name).alias("table_name"), "column_name", "null_fraction", "distinct_count")
 
 
 def null_fractions(df: DataFrame, table_name: str) -> DataFrame:
     """(table_name, column_name, null_fraction)."""
-    names = df.columns
-    row = one_row_aggregates(df, [(f"null_fraction__{i}", F.avg(_null_like(df, c).cast("double")))
-                                  for i, c in enumerate(names)], 2)
-    return _unpivot(row, names, ["null_fraction"]).select(
-        F.lit(table_name).alias("table_name"), "column_name",
-        F.coalesce("null_fraction", F.lit(0.0)).alias("null_fraction"))
+    return _null_rows(df, df.columns).select(F.lit(table_name).alias("table_name"), "column_name",
+                                             "null_fraction")
 
 
 def distinct_counts(df: DataFrame, table_name: str, approx: bool = False) -> DataFrame:
@@ -131,17 +144,25 @@ def correlation_matrix(df: DataFrame, columns=None, max_cols: int = MAX_CORR_COL
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
+    return _pair_correlations(df, cols, digits)
+
+
+def _pair_correlations(df: DataFrame, cols: list[str], digits: int, keep=()) -> DataFrame:
+    """(col_a, col_b, corr) for every ordered pair (both orders from one ``corr`` state)."""
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     x = {c: F.col(c).cast("double") for c in cols}
-    row = one_row_aggregates(df, [(f"c_{i}_{j}", F.corr(x[cols[i]], x[cols[j]])) for i, j in pairs], 6)
-    entries = []
-    for i, j in pairs:
-        entries.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                F.round(F.col(f"c_{i}_{j}"), digits).alias("corr")))
-        if i != j:
-            entries.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                    F.round(F.col(f"c_{i}_{j}"), digits).alias("corr")))
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    items = [(f"c_{i}_{j}", F.corr(x[cols[i]], x[cols[j]])) for i, j in pairs]
+    at = {f"c_{i}_{j}": (i, j) for i, j in pairs}
+
+    def entry(n):        # one struct per pair; its mirror is added after the explode
+        i, j = at[n]
+        return F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                        F.round(F.col(n), digits).alias("corr"))
+
+    longf = chunked_long_aggregates(df, items, 6, entry, keep)
+    mirror = longf.where(F.col("col_a") != F.col("col_b")).select(
+        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr", *[n for n, _ in keep])
+    return longf.unionByName(mirror)
 
 
 def prefix_clashes(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
@@ -171,17 +192,8 @@ def joined_correlation(child: DataFrame, parent: DataFrame, fk: str, ref: str, c
         cnt = joined.agg(F.count(F.lit(1)).alias("joined_row_count"))
         return cnt.select(F.lit(None).cast("string").alias("col_a"), F.lit(None).cast("string").alias("col_b"),
                           F.lit(None).cast("double").alias("corr"), "joined_row_count")
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    row = one_row_aggregates(joined, [("joined_row_count", F.count(F.lit(1)))] +
-                             [(f"c_{i}_{j}", F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")))
-                              for i, j in pairs], 6)
-    entries = []
-    for i, j in pairs:
-        for a, b in {(i, j), (j, i)}:
-            entries.append(F.struct(F.lit(cols[a]).alias("col_a"), F.lit(cols[b]).alias("col_b"),
-                                    F.round(F.col(f"c_{i}_{j}"), 4).alias("corr")))
-    return row.select(F.explode(F.array(*entries)).alias("e"), "joined_row_count") \
-              .select("e.*", F.col("joined_row_count").cast("long"))
+    out = _pair_correlations(joined, cols, 4, keep=[("joined_row_count", F.count(F.lit(1)))])
+    return out.withColumn("joined_row_count", F.col("joined_row_count").cast("long"))
 
 
 def fk_integrity(child: DataFrame, parent: DataFrame, fk: str, ref: str, child_name: str,

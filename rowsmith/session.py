@@ -92,8 +92,11 @@ def spread(df, key: str | None = None):
     The target count is capped by the estimated size (about 1 MB per task), so a
     small dimension table is never fanned out to thousands of tasks. Hash
     partitioning on ``key`` keeps placement deterministic."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no RDD view: leave the plan alone
+        return df
     if have >= slots:
         return df
     want = min(slots, max(1, estimated_bytes(df) // BYTES_PER_TASK))
