@@ -73,15 +73,17 @@ def table_stats(df: DataFrame, table_name: str) -> DataFrame:
         F.lit(table_name).alias("table_name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
 
 
-def _null_rows(df: DataFrame, names: list[str]) -> DataFrame:
+def _null_rows(df: DataFrame, names: list[str], with_rows: bool = False) -> DataFrame:
     items = [(f"nf_{i}", F.avg(_null_like(df, c).cast("double"))) for i, c in enumerate(names)]
     label = {f"nf_{i}": c for i, c in enumerate(names)}
     entry = lambda n: F.struct(F.lit(label[n]).alias("column_name"),
                                F.coalesce(F.col(n), F.lit(0.0)).alias("null_fraction"))
-    return chunked_long_aggregates(df, items, 2, entry)
+    keep = [("rows", F.count(F.lit(1)).cast("long"))] if with_rows else []
+    return chunked_long_aggregates(df, items, 2, entry, keep)
 
 
-def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: float = 0.02) -> DataFrame:
+def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: float = 0.02,
+                   with_rows: bool = False) -> DataFrame:
     """E2 + E3: (table_name, column_name, null_fraction, distinct_count).
 
     NaN counts as missing and is not a distinct value. Null fractions are plain
@@ -91,7 +93,7 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
     results (one row per column each) are joined on the column name."""
     names = df.columns
     df = spread(df)
-    nulls = _null_rows(df, names)
+    nulls = _null_rows(df, names, with_rows)
     dist = df.agg(*[(F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx
                      else F.count_distinct(_nan_to_null(df, c))).cast("long").alias(f"dc_{i}")
                     for i, c in enumerate(names)])
@@ -99,7 +101,9 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
                                                     F.col(f"dc_{i}").alias("distinct_count"))
                                            for i, c in enumerate(names)])).alias("e")).select("e.*")
     out = nulls.join(dist, "column_name")
-    return out.select(F.lit(table_name).alias("table_name"), "column_name", "null_fraction", "distinct_count")
+    extra = ["rows"] if with_rows else []
+    return out.select(F.lit(table_name).alias("table_name"), "column_name", "null_fraction", "distinct_count",
+                      *extra)
 
 
 def null_fractions(df: DataFrame, table_name: str) -> DataFrame:
@@ -117,9 +121,8 @@ def quality_report(tables: dict) -> DataFrame:
     """E5: per-column profile of every table with its row/column counts and the table count."""
     parts = []
     for name, df in tables.items():
-        prof = column_profile(df, name)
-        stats = table_stats(df, name)
-        parts.append(prof.join(F.broadcast(stats), "table_name"))
+        prof = column_profile(df, name, with_rows=True)        # row count rides on the null pass
+        parts.append(prof.withColumn("columns", F.lit(len(df.columns)).cast("long")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
