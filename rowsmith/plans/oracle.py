@@ -569,6 +569,14 @@ def oracle_queries() -> dict:
     out["repair_allowed"] = (
         f"SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus "
         f"ELSE {pick(u('orders', 'o_orderstatus#allowed', 'o_orderkey'), ['F', 'O'])} END AS o_orderstatus FROM orders")
+    lim = R.LINE_LIMITS
+    fixed = {c: constrain(lim.field(c), c, u("lineitem", f"{c}#allowed", "_k")) for c in
+             ("l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_tax")}
+    out["enforce_constraints"] = (
+        f"SELECT l_orderkey, l_partkey, l_suppkey, {fixed['l_linenumber']} AS l_linenumber, "
+        f"{fixed['l_quantity']} AS l_quantity, {fixed['l_discount']} AS l_discount, "
+        f"{fixed['l_returnflag']} AS l_returnflag, {fixed['l_tax']} AS l_tax "
+        f"FROM (SELECT *, {LINE_KEY_SQL} AS _k FROM lineitem)")
     out["conform_events"] = ("SELECT event_id, ts, user_id, event_type, value, props, "
                              "CAST(NULL AS VARCHAR) AS session_id FROM events")
     hours = f"CAST((1 + floor({u('lineitem', 'l_shipdate#order', '_k')} * 95)) AS BIGINT)"

@@ -188,6 +188,20 @@ def q_repair_allowed(spark, d):
     return o.select("o_orderkey", constraints.repair_allowed_col("o_orderstatus", ["F", "O"], u).alias("o_orderstatus"))
 
 
+LINE_LIMITS = TableSpec("lineitem", (
+    FieldSpec("l_orderkey", "integer"), FieldSpec("l_linenumber", "integer", max_value=5),
+    FieldSpec("l_quantity", "float", min_value=1, max_value=40), FieldSpec("l_discount", "float", max_value=0.08),
+    FieldSpec("l_returnflag", "string", allowed_values=("A", "N")), FieldSpec("l_tax", "integer", min_value=0)),
+    primary_key="l_orderkey")
+
+
+def q_enforce_constraints(spark, d):
+    """C1-C3 applied from a spec to a whole table (keys untouched)."""
+    li = lineitem_keyed(spark, d)
+    out = constraints.enforce_constraints(li, LINE_LIMITS, SEED, "_k", "portable")
+    return out.select(*LINE_KEY, "l_quantity", "l_discount", "l_returnflag", "l_tax")
+
+
 EVENTS_SPEC = TableSpec("events", (FieldSpec("event_id", "bigint"), FieldSpec("ts", "timestamp"),
                                    FieldSpec("user_id", "int"), FieldSpec("event_type", "text"),
                                    FieldSpec("value", "decimal"), FieldSpec("props", "json"),
@@ -487,6 +501,7 @@ QUERIES = {
     "repair_int": q_repair_int,
     "repair_float": q_repair_float,
     "repair_allowed": q_repair_allowed,
+    "enforce_constraints": q_enforce_constraints,
     "conform_events": q_conform_events,
     "repair_temporal": q_repair_temporal,
     "zscore": q_zscore,

@@ -50,3 +50,13 @@ def test_zscore_global_uses_broadcast_one_row(spark):
     assert "Subquery" in plan and "Join" not in plan
     r = df.agg(F.avg("l_quantity_z"), F.stddev_samp("l_quantity_z")).first()
     assert abs(r[0]) < 1e-9 and abs(r[1] - 1) < 1e-9
+
+
+def test_whole_table_chain_with_checkpoints_matches(spark):
+    base = R.lineitem_keyed(spark, SF).withColumn("is_large", F.lit(False))
+    rules = R.chain_rules()
+    plain = correlate.apply_rules(base, rules, R.LINE_SPEC, None, 42, "_k", "portable", fill_median=False)
+    cut = correlate.apply_rules(base, rules, R.LINE_SPEC, None, 42, "_k", "portable", fill_median=False,
+                                checkpoint_every=2)
+    cols = list(R.LINE_KEY) + ["l_extendedprice", "l_tax", "is_large"]
+    assert plain.select(*cols).exceptAll(cut.select(*cols)).count() == 0
