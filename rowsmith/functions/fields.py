@@ -193,7 +193,8 @@ def datetime_column(f: FieldSpec, ctx: GenContext) -> Column:
         back = F.lit(HOURS_BACK - 1) - F.floor(_position(ctx, f.name) * F.lit(HOURS_BACK))
     else:
         back = F.floor(ctx.u(f.name) * F.lit(HOURS_BACK))
-    return F.timestamp_seconds(F.lit(_epoch(as_of)) - back.cast("long") * F.lit(3600))
+    start = F.expr(f"TIMESTAMP_NTZ '{as_of.strftime('%Y-%m-%d %H:%M:%S')}'")
+    return start - F.make_dt_interval(F.lit(0), back.cast("int"), F.lit(0), F.lit(0))
 
 
 def first_name(ctx: GenContext, column: str, draw: int = 0) -> Column:
