@@ -20,7 +20,7 @@ from rowsmith.operators.generate import generate, generate_table
 from rowsmith.plans import medallion
 from rowsmith.session import scratch_path, spread
 from rowsmith.sources import io
-from rowsmith.spec import FieldSpec, ForeignKey, TableSpec, load_spec, spec_from_schema
+from rowsmith.spec import FieldSpec, ForeignKey, TableSpec, load_spec
 from rowsmith.streaming import events as ev
 
 SEED = 42
@@ -264,15 +264,6 @@ def q_num_flag(spark, d):
     return _line_rule(spark, d, Rule("l_quantity", "is_large", "num_bool", 0.42), ["is_large"], prep=prep)
 
 
-CHAIN_RULES = (
-    Rule("l_quantity", "l_extendedprice", "num_num", 0.35),
-    Rule("l_returnflag", "l_extendedprice", "bool_num", 0.22),
-    Rule("l_linestatus", "l_extendedprice", "bool_num", 0.22),
-    correlate.higher("l_discount", "l_tax"),
-    correlate.more_likely("l_extendedprice", "is_large"),
-)
-
-
 def chain_rules() -> list[Rule]:
     """Name-derived rules for lineitem, then the two hint rules (same order as D6 + D7)."""
     return correlate.default_rules(LINE_SPEC, extra=[correlate.higher("l_discount", "l_tax"),
