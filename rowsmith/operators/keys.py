@@ -30,6 +30,7 @@ def dense_index(df: DataFrame, key: str, index_col: str = "_idx",
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POS_MASK))))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    # a global window, but over one row per partition (bounded by the partition count)
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     total = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).cast("long").alias("_n"))

@@ -61,10 +61,10 @@ def line_key() -> F.Column:
 # --- E9/E10/F3/F4/J1 --------------------------------------------------------
 
 def q_segment_order_value(spark, d):
-    """Flagship: orders join customer, average order value and count by market segment."""
-    joined = quality.join_child_parent(t(spark, d, "orders"), t(spark, d, "customer"),
-                                       "o_custkey", "c_custkey", "orders", "customer")
-    g = quality.group_average(joined, ["c_mktsegment"], ["o_totalprice"])
+    """Flagship: orders join customer, average order value and count by market segment
+    (orders pre-aggregated per customer before the join)."""
+    g = quality.fk_group_average(t(spark, d, "orders"), t(spark, d, "customer"), "o_custkey", "c_custkey",
+                                 parent_dims=["c_mktsegment"], child_nums=["o_totalprice"])
     return round_doubles(g)
 
 
