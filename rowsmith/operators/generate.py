@@ -147,7 +147,9 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
             gen[f.name] = field_column(f, ctx)
     df = ctx.finish(ctx.prepare(df).withColumns(gen))
     by = ("_batch",)
-
+    # Chained statistics use windows on _batch: one shuffle and sort shared by every step.
+    # (Broadcasting grouped statistics back would leave rows in place, but each step's
+    # statistics are computed from the previous step's output, so the plan doubles per step.)
     if parent_influence and context_cols:
         df = correlate.apply_parent_influence(df, table, context_cols, by, seed, "_row", mode)
     rule_list = correlate.default_rules(table) if rules is None else list(rules)

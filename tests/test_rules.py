@@ -60,3 +60,15 @@ def test_whole_table_chain_with_checkpoints_matches(spark):
                                 checkpoint_every=2)
     cols = list(R.LINE_KEY) + ["l_extendedprice", "l_tax", "is_large"]
     assert plain.select(*cols).exceptAll(cut.select(*cols)).count() == 0
+
+
+def test_grouped_broadcast_stats_match_windows(spark):
+    df = R.lineitem_keyed(spark, SF).withColumn("_batch", correlate.hash_batches(F.col("_k"), 6000, 2000))
+    a = correlate.zscore(df, "l_quantity", by=("_batch",), out="z")
+    b = correlate.zscore(df, "l_quantity", by=("_batch",), out="z", groups=3)
+    assert "Window" in a._jdf.queryExecution().executedPlan().toString()
+    plan_b = b._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_b and "Window" not in plan_b
+    ra = a.select("_k", F.round("z", 9).alias("z"))
+    rb = b.select("_k", F.round("z", 9).alias("z"))
+    assert ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0
