@@ -8,7 +8,8 @@
    (z-scores, std, sorted temporal columns), so groups stay bounded (G26);
 3. foreign keys sampled uniformly from the parent (G3): arithmetic when the parent
    key is dense 1..N, an index join otherwise; parent columns used by the parent
-   influence step are joined in (G4);
+   influence step (G4) are re-evaluated at the sampled key when the parent is a
+   generated table that never changes them, and joined in otherwise;
 4. every other field from ``field_column`` (G5-G24);
 5. parent influence (D8-D10), then the rule chain (D5) with temporal repair (C6).
 
@@ -103,7 +104,6 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     batch = F.floor((F.col("_row") - 1) / F.lit(batch_rows)).cast("long") if batched else F.lit(0).cast("long")
     df = base.withColumn("_batch", batch)
 
-    declared = set(table.field_names)
     fk_cols: dict[str, str] = {}
     context_cols: list[str] = []
     for fk in table.foreign_keys:
