@@ -58,7 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root for written tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        try:
+            root = ensure_checkpoint_dir(spark)
+        except Exception:  # noqa: BLE001 - no SparkContext: only possible for local sessions here
+            root = tempfile.mkdtemp(prefix="rowsmith-scratch-")
     root = root.rstrip("/")
     return f"{root}/rowsmith-{name}-{uuid.uuid4().hex[:12]}"
 
