@@ -11,7 +11,10 @@
    influence step (G4) are re-evaluated at the sampled key when the parent is a
    generated table that never changes them, and joined in otherwise;
 4. every other field from ``field_column`` (G5-G24);
-5. parent influence (D8-D10), then the rule chain (D5) with temporal repair (C6).
+5. parent influence (D8-D10), then the rule chain (D5) with temporal repair (C6). By
+   default rows are built so that each batch lies inside one partition, and the
+   chain runs per partition in pandas (``mapInPandas``): no exchange of generated
+   rows. ``rule_method="window"`` uses window aggregates on ``_batch`` (one shuffle).
 
 ``generate_tables`` runs it parents-first for a whole schema (G25).
 """
@@ -95,7 +98,20 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     batched = is_batched(table, rows)
     ctx = GenContext(table=table.name, seed=seed, as_of=as_of, mode=mode, rows=rows,
                      batch_rows=batch_rows, batched=batched, exact_names=exact_names)
-    if ids is None:
+    # default: batches aligned with partitions and the chain run per partition (no shuffle);
+    # "window" / "pandas" keep the shuffled forms, and ``ids``-driven rows always use them
+    aligned = rule_method in ("auto", "partition") and ids is None
+    if not aligned and rule_method == "partition":
+        rule_method = "auto"
+    if aligned:
+        # every batch built from one batch id inside one partition: batches never straddle partitions
+        n_batches = math.ceil(rows / batch_rows) if batched else 1
+        width = batch_rows if batched else rows
+        parts = min(n_batches, max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition)))
+        b = F.col("id")
+        base = spark.range(0, n_batches, 1, parts).select(F.explode(F.sequence(
+            b * F.lit(width) + F.lit(1), F.least((b + F.lit(1)) * F.lit(width), F.lit(rows)))).alias("_row"))
+    elif ids is None:
         parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition))
         parts = min(parts, rows)
         base = spark.range(1, rows + 1, 1, parts).withColumnRenamed("id", "_row")
@@ -150,11 +166,16 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     # Chained statistics use windows on _batch: one shuffle and sort shared by every step.
     # (Broadcasting grouped statistics back would leave rows in place, but each step's
     # statistics are computed from the previous step's output, so the plan doubles per step.)
-    if parent_influence and context_cols:
-        df = correlate.apply_parent_influence(df, table, context_cols, by, seed, "_row", mode)
     rule_list = correlate.default_rules(table) if rules is None else list(rules)
-    df = correlate.apply_rules(df, rule_list, table, by, seed, "_row", mode,
-                               fill_median=False, method=rule_method)
+    if aligned:
+        # no exchange of the rows: each partition holds whole batches (see above)
+        df = correlate.apply_chain_per_partition(df, table, context_cols if parent_influence else [],
+                                                 rule_list, "_batch", seed, "_row", mode)
+    else:
+        if parent_influence and context_cols:
+            df = correlate.apply_parent_influence(df, table, context_cols, by, seed, "_row", mode)
+        df = correlate.apply_rules(df, rule_list, table, by, seed, "_row", mode,
+                                   fill_median=False, method=rule_method)
     out = [F.col(f.name) for f in table.fields if f.name in df.columns]
     if keep_batch:
         out.append(F.col("_batch"))

@@ -97,7 +97,10 @@ def test_generated_parent_context_needs_no_join(spark):
     assert pat.modified == frozenset()
     claims = generate_table(spark, spec.table("claims"), 3000, parents={"patients": pat}, seed=42, as_of=AS_OF)
     plan = claims._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Python" not in plan
+    assert "Join" not in plan and "Exchange" not in plan      # no join, no shuffle of rows
+    w = generate_table(spark, spec.table("claims"), 3000, parents={"patients": pat}, seed=42, as_of=AS_OF,
+                       rule_method="window")
+    assert claims.exceptAll(w).count() == 0 and w.exceptAll(claims).count() == 0
     # the re-evaluated context equals the joined parent values
     a = claims.select("patient_id").join(pat.df.select(F.col("id").alias("patient_id"), "age"), "patient_id")
     assert a.count() == 3000
