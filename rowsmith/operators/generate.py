@@ -122,6 +122,7 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
 
     fk_cols: dict[str, str] = {}
     context_cols: list[str] = []
+    joined_rows = False           # a join moves rows, so batches may then straddle partitions
     for fk in table.foreign_keys:
         parent = parents.get(fk.ref_table)
         if parent is None or fk.ref_table == table.name:
@@ -147,9 +148,11 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
             joined = [c for c in wanted if c not in redraw]
             if joined:
                 df = keys.attach_parent(df, pdf, fk.column, ref, joined)
+                joined_rows = True
         else:
             df = keys.sample_foreign_key(df, pdf, fk.column, ref, "_row", seed, table.name, mode,
                                          context=wanted)
+            joined_rows = True
         fk_cols[fk.column] = ref
         context_cols += [f"{fk.column}__{c}" for c in wanted]
 
@@ -167,6 +170,9 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     # (Broadcasting grouped statistics back would leave rows in place, but each step's
     # statistics are computed from the previous step's output, so the plan doubles per step.)
     rule_list = correlate.default_rules(table) if rules is None else list(rules)
+    if aligned and joined_rows:
+        aligned = False               # rows were shuffled by a join: use the shuffled forms
+        rule_method = "auto" if rule_method == "partition" else rule_method
     if aligned:
         # no exchange of the rows: each partition holds whole batches (see above)
         df = correlate.apply_chain_per_partition(df, table, context_cols if parent_influence else [],
