@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,9 @@ from pyspark.sql import SparkSession
 # falls back to per-operator code whose expressions are split into small methods.
 JIT_METHOD_LIMIT = 8000
 
+_LOCAL_ROOT: list[str] = []     # one scratch folder per local process
+_SHIPPED: set[str] = set()      # applications that have the package
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "rowsmith") -> SparkSession:
@@ -39,42 +44,49 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a fresh folder under the system
-    temp dir is set; on a cluster the setting must point at shared storage.
+    Unset is allowed only with a local master (tests), where a fresh folder under the
+    system temp dir is used for the whole session; a cluster without it fails loudly,
+    since executors there would write to their own disks.
     """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 - a session without a SparkContext (Spark Connect)
+        master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master or ""):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="rowsmith-scratch-"))
+    return _LOCAL_ROOT[0]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Set the context's checkpoint folder from :func:`checkpoint_root` if none is set."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="rowsmith-ckpt-")
-    sc.setCheckpointDir(conf_dir)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_root(spark))
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root for written tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = ensure_checkpoint_dir(spark)
-        except Exception:  # noqa: BLE001 - no SparkContext: only possible for local sessions here
-            root = tempfile.mkdtemp(prefix="rowsmith-scratch-")
-    root = root.rstrip("/")
-    return f"{root}/rowsmith-{name}-{uuid.uuid4().hex[:12]}"
-
+    return f"{checkpoint_root(spark)}/rowsmith-{name}-{uuid.uuid4().hex[:12]}"
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so plain-Python helpers can list local folders in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
 
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, so Python tasks work from any directory."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="rowsmith-zip-")
+    sc.addPyFile(shutil.make_archive(os.path.join(out, "rowsmith"), "zip", home, "rowsmith"))
+    _SHIPPED.add(sc.applicationId)
 
 
 BYTES_PER_TASK = 1 << 20     # spread only inputs estimated at >= 1 MB per extra task
