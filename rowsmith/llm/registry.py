@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from rowsmith.llm import exactdedup
+from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.packing import q_packing
+from rowsmith.llm.sharding import q_sharding
 from rowsmith.llm.tokenbin import q_token_ids
 
 LLM_QUERIES = {
+    "op1_virtual_slots": q_sharding,
     "op4_token_ids": q_token_ids,
+    "op6_curriculum_mix": q_mixing,
     "op7_packing": q_packing,
+    "op8_bloom_dedup": exactdedup.q_exact_dedup,
 }
 
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {
+    "op8_bloom_dedup": exactdedup.SQL,
+}
