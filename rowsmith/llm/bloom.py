@@ -43,6 +43,15 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def repeated_plane(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """The packed second plane for all values of a 64-bit hash column."""
+    return _planes(hashes, column, bits, "twice")
+
+
+def member_plane(hashes: DataFrame, column: str, rows: int) -> np.ndarray:
+    """The packed first plane: a common Bloom filter of at most ``rows`` values."""
+    return _planes(hashes, column, filter_bits(rows), "once")
+
+
+def _planes(hashes: DataFrame, column: str, bits: int, wanted: str) -> np.ndarray:
 
     def build(batches):
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
@@ -63,19 +72,20 @@ def repeated_plane(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
             for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
                 once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()),
-                                          "twice": pa.array([twice.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({
+            "segment": pa.array([key[0].as_py()], pa.int32()),
+            "plane": pa.array([(twice if wanted == "twice" else once).tobytes()], pa.binary())})
 
     parts = hashes.select(column).mapInArrow(build, "segment int, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInArrow(merge, "segment int, twice binary").collect()
+    merged = parts.groupBy("segment").applyInArrow(merge, "segment int, plane binary").collect()
     out = np.zeros((bits // 8 // min(SEGMENT_BYTES, bits // 8), min(SEGMENT_BYTES, bits // 8)), np.uint8)
     for row in merged:
-        out[row["segment"]] = np.frombuffer(row["twice"], np.uint8)
+        out[row["segment"]] = np.frombuffer(row["plane"], np.uint8)
     return out.ravel()
 
 
-def maybe_repeated(plane: np.ndarray, column: Column, df: DataFrame) -> Column:
-    """True where a hash may occur more than once; only the hash goes through Python."""
+def in_plane(plane: np.ndarray, column: Column, df: DataFrame) -> Column:
+    """True where all bits of a hash are set; only the hash goes through Python."""
     shared = df.sparkSession.sparkContext.broadcast(plane)
     bits = len(plane) * 8
 

@@ -38,7 +38,7 @@ def annotate(docs: DataFrame) -> DataFrame:
     for i in range(n):
         part = wide.filter(F.col("slice") == i).drop("slice") if n > 1 else wide
         plane = bloom.repeated_plane(part, "hash", bits)
-        marked = part.withColumn("maybe", bloom.maybe_repeated(plane, F.col("hash"), part))
+        marked = part.withColumn("maybe", bloom.in_plane(plane, F.col("hash"), part))
         sha = F.sha2(_text("doc").cast("binary"), 256)
         alone = marked.filter(~F.col("maybe")).select(
             "doc", F.col("doc.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rowsmith.llm import exactdedup
 from rowsmith.llm.mixing import q_mixing
+from rowsmith.llm.neardedup import q_near_duplicates
 from rowsmith.llm.packing import q_packing
 from rowsmith.llm.sharding import q_sharding
 from rowsmith.llm.tokenbin import q_token_ids
@@ -14,6 +15,7 @@ LLM_QUERIES = {
     "op6_curriculum_mix": q_mixing,
     "op7_packing": q_packing,
     "op8_bloom_dedup": exactdedup.q_exact_dedup,
+    "op9_hyperminhash_dedup": q_near_duplicates,
 }
 
 LLM_SQL: dict[str, str] = {
