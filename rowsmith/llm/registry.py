@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rowsmith.llm import exactdedup
+from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
 from rowsmith.llm.packing import q_packing
@@ -11,6 +12,7 @@ from rowsmith.llm.tokenbin import q_token_ids
 
 LLM_QUERIES = {
     "op1_virtual_slots": q_sharding,
+    "op3_rank_order_language": q_language,
     "op4_token_ids": q_token_ids,
     "op6_curriculum_mix": q_mixing,
     "op7_packing": q_packing,
