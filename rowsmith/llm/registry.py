@@ -9,11 +9,13 @@ from rowsmith.llm.neardedup import q_near_duplicates
 from rowsmith.llm.packing import q_packing
 from rowsmith.llm.sharding import q_sharding
 from rowsmith.llm.tokenbin import q_token_ids
+from rowsmith.llm.toxicity import q_toxicity
 
 LLM_QUERIES = {
     "op1_virtual_slots": q_sharding,
     "op3_rank_order_language": q_language,
     "op4_token_ids": q_token_ids,
+    "op5_nnpu_toxicity": q_toxicity,
     "op6_curriculum_mix": q_mixing,
     "op7_packing": q_packing,
     "op8_bloom_dedup": exactdedup.q_exact_dedup,

@@ -1,7 +1,8 @@
 """64-bit hashes of words and word shingles of whole texts, vectorised over Arrow buffers.
 
-Words are runs of bytes other than space and tab to carriage return; A-Z count as a-z. All
-of these bytes are ASCII, so working on UTF-8 bytes equals working on characters.
+Words are runs of bytes other than the separators (by default space and tab to carriage
+return); A-Z count as a-z. All of these bytes are ASCII, so working on UTF-8 bytes equals
+working on characters.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words: white space, or every ASCII byte that is not a letter.
+WHITE_SPACE = np.zeros(256, bool)
+WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NOT_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _CODE = _BYTE[_LOWER]
@@ -41,10 +44,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _window(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of a byte window; no word crosses a cut."""
+def _window(data: np.ndarray, cuts: np.ndarray, separator: np.ndarray, prefixes: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hashes) of the words of a byte window; no word crosses a cut. Hashes are those of
+    the whole words or, in a second axis, of the words and their first bytes."""
     n = len(data)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     first[cuts] = inside[cuts]
@@ -55,11 +59,18 @@ def _window(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     power, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[data] * power[:n], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = []
+    for stop in [ends] + [np.minimum(ends, starts + k) for k in prefixes]:
+        h = (sums[stop] - sums[starts]) * inverse[starts] + (stop - starts).astype(np.uint64)
+        h[stop < ends] += _PLACE[0]          # a prefix is not the word spelled like it
+        out.append(mix(h))
+    return starts, np.stack(out, axis=1) if prefixes else out[0]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and the rows' offsets into them (null: no words)."""
+def words(texts: pa.Array, separator: np.ndarray = WHITE_SPACE,
+          prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the rows' offsets into them (null: no words). With ``prefixes``
+    each word has a row of hashes: its own and those of its first bytes of these lengths."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     body = texts.buffers()[2]
@@ -71,15 +82,16 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if hi < len(data):      # move the end to the next separator or row start
             nxt = np.searchsorted(rows, hi)
             limit = int(rows[nxt]) if nxt < len(rows) else len(data)
-            while hi < limit and not _SEPARATOR[data[hi]]:
+            while hi < limit and not separator[data[hi]]:
                 hi += 1
         a, b = np.searchsorted(rows, [lo, hi])
-        starts, hashes = _window(data[lo:hi], rows[a:b] - lo)
+        starts, hashes = _window(data[lo:hi], rows[a:b] - lo, separator, prefixes)
         at.append(starts + lo)
         got.append(hashes)
         lo = hi
     if not at:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        shape = (0, 1 + len(prefixes)) if prefixes else 0
+        return np.zeros(shape, np.uint64), np.zeros(len(texts) + 1, np.int64)
     at = np.concatenate(at)
     return np.concatenate(got), np.searchsorted(at, offsets - offsets[0])
 
