@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowsmith.llm import exactdedup
+from rowsmith.llm import exactdedup, topk
 from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
@@ -20,8 +20,10 @@ LLM_QUERIES = {
     "op7_packing": q_packing,
     "op8_bloom_dedup": exactdedup.q_exact_dedup,
     "op9_hyperminhash_dedup": q_near_duplicates,
+    "op10_pivot_top_k": topk.q_top_k,
 }
 
 LLM_SQL: dict[str, str] = {
     "op8_bloom_dedup": exactdedup.SQL,
+    "op10_pivot_top_k": topk.SQL,
 }
