@@ -7,12 +7,14 @@ from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
 from rowsmith.llm.packing import q_packing
+from rowsmith.llm.pii import q_personal_data
 from rowsmith.llm.sharding import q_sharding
 from rowsmith.llm.tokenbin import q_token_ids
 from rowsmith.llm.toxicity import q_toxicity
 
 LLM_QUERIES = {
     "op1_virtual_slots": q_sharding,
+    "op2_weak_supervision_pii": q_personal_data,
     "op3_rank_order_language": q_language,
     "op4_token_ids": q_token_ids,
     "op5_nnpu_toxicity": q_toxicity,
