@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rowsmith.llm import exactdedup, topk
 from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
@@ -23,9 +24,11 @@ LLM_QUERIES = {
     "op8_bloom_dedup": exactdedup.q_exact_dedup,
     "op9_hyperminhash_dedup": q_near_duplicates,
     "op10_pivot_top_k": topk.q_top_k,
+    "pipeline": corpus_pipeline.run,
 }
 
-LLM_SQL: dict[str, str] = {
+LLM_SQL: dict[str, str | None] = {
     "op8_bloom_dedup": exactdedup.SQL,
     "op10_pivot_top_k": topk.SQL,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
 }
