@@ -10,7 +10,8 @@ of doc_id; the class prior is the share of toxic labels over all training labels
 of letters, without case) and their beginnings of ``PREFIXES`` bytes; those seen in at least ``LEAST`` positives
 and ``LEAST_SHARE`` of them whose document frequencies differ by ``SIGNIFICANT`` standard errors are ranked by that, and
 the ``VOCABULARY`` best are kept. ``MODELS`` classifiers learn in parallel tasks from different draws of the sample; a score
-is the logistic function of their mean.
+is the logistic function of their mean, moved so that 0.5 lies in the widest gap of the unlabelled sample's
+outputs near the class prior.
 
 Defined results: null and empty texts have the score of a text without known words; a doc_id
 labelled both ways is toxic; null labels are none; without positives or other texts every
@@ -38,6 +39,8 @@ PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's document frequencies must differ.
 SIGNIFICANT = 5.0
 MODELS = 3
+#: Shares of the class prior between which the rank of the last toxic document is looked for.
+NEAR_PRIOR = (0.8, 1.05)
 STEPS = 400
 BATCH = 1024
 RATE = 0.03
@@ -188,7 +191,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trained = found.mapInArrow(shrink, "model int, positive boolean, places binary, spread long").groupBy("model") \
         .applyInArrow(train, "model int, w array<double>").collect()      # MODELS rows of VOCABULARY numbers
     w = np.mean([r["w"] for r in sorted(trained, key=lambda r: r["model"])], axis=0)
-    return Model(vocabulary, w[:-1], float(w[-1]))
+
+    def apply(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(0).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+                out.append(float(w[at[vocabulary[at] == x]].sum()))
+            yield pa.RecordBatch.from_pydict({"f": pa.array(out, pa.float64())})
+
+    outputs = found.filter("not positive").select("words").mapInArrow(apply, "f double").collect()   # UNLABELLED numbers
+    return Model(vocabulary, w[:-1], -_boundary(np.array([r["f"] for r in outputs]), prior))
+
+
+def _boundary(outputs: np.ndarray, prior: float) -> float:
+    """Output at which a document counts as toxic: the middle of the widest gap between the outputs of the
+    unlabelled sample around the rank that the class prior gives to the last toxic one, above what a
+    document without evidence gets."""
+    best = np.maximum(np.sort(outputs)[::-1], 0)       # 0: nothing speaks for it
+    found = int((best > 0).sum())
+    if not found:
+        return 1.0
+    lo, hi = (min(max(int(round(len(best) * prior * x)), 1), found) for x in NEAR_PRIOR)
+    below = np.append(best, 0.0)[lo:hi + 1]
+    k = int((best[lo - 1:hi] - below).argmax())
+    return float(best[lo - 1 + k] + below[k]) / 2
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
