@@ -11,15 +11,14 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rowsmith.session import spread
-
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-MAX_CORR_COLUMNS = 12
 # Whole-stage codegen is switched off for an aggregate whose buffer has more than
 # spark.sql.codegen.maxFields (default 100) fields; a corr state has 6, avg 2,
-# count 1. Aggregates are chunked to stay under it (each chunk is one extra
+# count 1, a Pearson coefficient 10. Aggregates are chunked to stay under it (each chunk is one extra
 # column-pruned scan, far cheaper than one interpreted pass).
 CODEGEN_FIELDS = 96
+#: Columns profiled in one scan: the aggregate's buffer stays small enough for compiled code.
+PROFILE_COLUMNS = 30
 
 
 def chunked_long_aggregates(df: DataFrame, items: list, fields_each: int, entry, keep=()) -> DataFrame:
@@ -86,24 +85,27 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
                    with_rows: bool = False) -> DataFrame:
     """E2 + E3: (table_name, column_name, null_fraction, distinct_count).
 
-    NaN counts as missing and is not a distinct value. Null fractions are plain
-    averages (codegen-sized chunks); exact distinct counts are one aggregation in
-    which Spark expands rows per column and deduplicates partially before the
-    shuffle. ``approx`` swaps those for HyperLogLog++ sketches. The two long
-    results (one row per column each) are joined on the column name."""
-    names = df.columns
-    df = spread(df)
-    nulls = _null_rows(df, names, with_rows)
-    dist = df.agg(*[(F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx
-                     else F.count_distinct(_nan_to_null(df, c))).cast("long").alias(f"dc_{i}")
-                    for i, c in enumerate(names)])
-    dist = dist.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                    F.col(f"dc_{i}").alias("distinct_count"))
-                                           for i, c in enumerate(names)])).alias("e")).select("e.*")
-    out = nulls.join(dist, "column_name")
-    extra = ["rows"] if with_rows else []
+    NaN counts as missing and is not a distinct value. All statistics of up to
+    ``PROFILE_COLUMNS`` columns come from one scan; for exact distinct counts Spark
+    expands rows per column and deduplicates partially before the shuffle. ``approx``
+    swaps those for HyperLogLog++ sketches, which shuffle a few kB per task."""
+    parts = []
+    for at in range(0, len(df.columns), PROFILE_COLUMNS):
+        names = df.columns[at:at + PROFILE_COLUMNS]
+        aggs = [F.count(F.lit(1)).cast("long").alias("rows")]
+        for i, c in enumerate(names):
+            distinct = F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx else F.count_distinct(_nan_to_null(df, c))
+            aggs += [F.coalesce(F.avg(_null_like(df, c).cast("double")), F.lit(0.0)).alias(f"null_fraction__{i}"),
+                     distinct.cast("long").alias(f"distinct_count__{i}")]
+        row = df.agg(*aggs)
+        entries = [F.struct(F.lit(n).alias("column_name"), F.col(f"null_fraction__{i}").alias("null_fraction"),
+                            F.col(f"distinct_count__{i}").alias("distinct_count"), "rows") for i, n in enumerate(names)]
+        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.select(F.lit(table_name).alias("table_name"), "column_name", "null_fraction", "distinct_count",
-                      *extra)
+                      *(["rows"] if with_rows else []))
 
 
 def null_fractions(df: DataFrame, table_name: str) -> DataFrame:
@@ -119,6 +121,8 @@ def distinct_counts(df: DataFrame, table_name: str, approx: bool = False) -> Dat
 
 def quality_report(tables: dict) -> DataFrame:
     """E5: per-column profile of every table with its row/column counts and the table count."""
+    if not tables:
+        raise ValueError("no tables given")
     parts = []
     for name, df in tables.items():
         prof = column_profile(df, name, with_rows=True)        # row count rides on the null pass
@@ -135,14 +139,14 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, NUMERIC + (T.BooleanType,)) and f.name not in exclude]
 
 
-def correlation_matrix(df: DataFrame, columns=None, max_cols: int = MAX_CORR_COLUMNS,
-                       digits: int = 4) -> DataFrame:
-    """Pearson correlation of every ordered pair among the first ``max_cols``
-    numeric columns: (col_a, col_b, corr). Empty with fewer than two columns.
+def correlation_matrix(df: DataFrame, columns=None, digits: int = 4) -> DataFrame:
+    """Pearson correlation of every ordered pair among the given (or all numeric)
+    columns: (col_a, col_b, corr). Empty with fewer than two columns. NaN counts as
+    missing: a pair uses the rows where both values are there.
 
-    All pairs come from one aggregation (66 ``corr`` states at 12 columns)."""
+    Pairs are aggregated in chunks small enough for compiled code; a chunk scans its
+    columns only."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    cols = cols[:max_cols]
     spark = df.sparkSession
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
@@ -153,8 +157,13 @@ def correlation_matrix(df: DataFrame, columns=None, max_cols: int = MAX_CORR_COL
 def _pair_correlations(df: DataFrame, cols: list[str], digits: int, keep=()) -> DataFrame:
     """(col_a, col_b, corr) for every ordered pair (both orders from one ``corr`` state)."""
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    x = {c: F.col(c).cast("double") for c in cols}
-    items = [(f"c_{i}_{j}", F.corr(x[cols[i]], x[cols[j]])) for i, j in pairs]
+    x = {c: _nan_to_null(df, c).cast("double") for c in cols}
+
+    def pearson(a, b):       # from moments over the rows where both are there; NULL if one is constant
+        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+    items = [(f"c_{i}_{j}", pearson(x[cols[i]], x[cols[j]])) for i, j in pairs]
     at = {f"c_{i}_{j}": (i, j) for i, j in pairs}
 
     def entry(n):        # one struct per pair; its mirror is added after the explode
@@ -162,7 +171,7 @@ def _pair_correlations(df: DataFrame, cols: list[str], digits: int, keep=()) ->
         return F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
                         F.round(F.col(n), digits).alias("corr"))
 
-    longf = chunked_long_aggregates(df, items, 6, entry, keep)
+    longf = chunked_long_aggregates(df, items, 10, entry, keep)
     mirror = longf.where(F.col("col_a") != F.col("col_b")).select(
         F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr", *[n for n, _ in keep])
     return longf.unionByName(mirror)
@@ -199,6 +208,23 @@ def joined_correlation(child: DataFrame, parent: DataFrame, fk: str, ref: str, c
     return out.withColumn("joined_row_count", F.col("joined_row_count").cast("long"))
 
 
+def comparable_keys(child: DataFrame, fk: str, parent: DataFrame, ref: str) -> tuple[Column, Column]:
+    """Both key columns in one type that holds every value of either: numbers in the wider
+    numeric type, other pairs of unlike types as text (so no value is cast away and values
+    that cannot be equal are misses)."""
+    a, b = child.schema[fk].dataType, parent.schema[ref].dataType
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if a == b:
+        kind = a
+    elif isinstance(a, whole) and isinstance(b, whole):
+        kind = T.LongType()
+    elif isinstance(a, NUMERIC) and isinstance(b, NUMERIC):
+        kind = T.DoubleType() if _is_float(a) or _is_float(b) else T.DecimalType(38, 18)
+    else:
+        kind = T.StringType()
+    return F.col(fk).cast(kind), F.col(ref).cast(kind)
+
+
 def fk_integrity(child: DataFrame, parent: DataFrame, fk: str, ref: str, child_name: str,
                  parent_name: str) -> DataFrame:
     """E6 + J3: share of distinct child keys found among parent keys, to 4 digits.
@@ -206,9 +232,9 @@ def fk_integrity(child: DataFrame, parent: DataFrame, fk: str, ref: str, child_n
     Both sides are reduced to distinct keys first (partial aggregation), and the
     left join reuses that hash partitioning on the key: no extra shuffle. A hot
     key costs one row after the distinct."""
-    ck = child.select(F.col(fk).alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    pk = parent.select(F.col(ref).cast(child.schema[fk].dataType).alias("__k")).distinct() \
-               .withColumn("__hit", F.lit(1))
+    ours, theirs = comparable_keys(child, fk, parent, ref)
+    ck = child.select(ours.alias("__k")).where(F.col("__k").isNotNull()).distinct()
+    pk = parent.select(theirs.alias("__k")).distinct().withColumn("__hit", F.lit(1))
     agg = ck.join(pk, "__k", "left").agg(
         F.count(F.lit(1)).alias("child_distinct"),
         F.sum(F.when(F.col("__hit").isNull(), 1).otherwise(0)).cast("long").alias("missing_distinct"))
@@ -231,6 +257,8 @@ def fk_integrity_all(tables: dict, edges) -> DataFrame:
         pdf = tables[parent]
         ref_col = ref if ref in pdf.columns else pdf.columns[0]
         parts.append(fk_integrity(tables[child], pdf, fk, ref_col, child, parent))
+    if not parts:
+        raise ValueError("no foreign key joins two of the given tables")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -244,6 +272,8 @@ def _is_temporal(dt) -> bool:
 def schema_profile(tables: dict, fk_edges=(), pii=()) -> DataFrame:
     """One row per table: columns, foreign keys, date and PII columns, row count,
     plus schema-wide totals and the size tier (small < 50 columns < medium < 200)."""
+    if not tables:
+        raise ValueError("no tables given")
     total_cols = sum(len(df.columns) for df in tables.values())
     tier = "small" if total_cols < 50 else ("medium" if total_cols < 200 else "large")
     pii = set(pii)
@@ -282,14 +312,14 @@ def fk_group_average(child: DataFrame, parent: DataFrame, fk: str, ref: str, chi
     rename columns in the output (e.g. to ``<table>_<col>`` for clashing names)."""
     cn = dict(child_names or {})
     pn = dict(parent_names or {})
-    key_type = child.schema[fk].dataType
+    ours, theirs = comparable_keys(child, fk, parent, ref)
     cagg = child.where(F.col(fk).isNotNull()).groupBy(
-        F.col(fk).alias("__k"), *[F.col(d).alias(cn.get(d, d)) for d in child_dims]).agg(
+        ours.alias("__k"), *[F.col(d).alias(cn.get(d, d)) for d in child_dims]).agg(
         F.count(F.lit(1)).alias("__cn"),
         *[F.sum(F.col(c).cast("double")).alias(f"__cs{i}") for i, c in enumerate(child_nums)],
         *[F.count(F.col(c)).alias(f"__cc{i}") for i, c in enumerate(child_nums)])
     pagg = parent.where(F.col(ref).isNotNull()).groupBy(
-        F.col(ref).cast(key_type).alias("__k"), *[F.col(d).alias(pn.get(d, d)) for d in parent_dims]).agg(
+        theirs.alias("__k"), *[F.col(d).alias(pn.get(d, d)) for d in parent_dims]).agg(
         F.count(F.lit(1)).alias("__pm"),
         *[F.sum(F.col(c).cast("double")).alias(f"__ps{i}") for i, c in enumerate(parent_nums)],
         *[F.count(F.col(c)).alias(f"__pc{i}") for i, c in enumerate(parent_nums)])

@@ -538,7 +538,9 @@ def oracle_queries() -> dict:
         f"SELECT 'customer' AS table_name, {q(c)} AS column_name, "
         f"CAST(count(DISTINCT {nan_null(c, k)}) AS BIGINT) AS distinct_count FROM customer"
         for c, k in SCHEMAS["customer"])
-    out["corr_matrix_lineitem"] = corr_sql("lineitem", [c for c, k in SCHEMAS["lineitem"] if k in "if"])
+    out["corr_matrix_lineitem"] = corr_sql(
+        "(SELECT * REPLACE (CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS l_quantity) FROM lineitem)",
+        [c for c, k in SCHEMAS["lineitem"] if k in "if"])
     jc = corr_sql("(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)",
                   ["o_totalprice", "c_acctbal", "c_nationkey"])
     out["joined_corr"] = (f"SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM orders JOIN customer "
@@ -618,6 +620,8 @@ def oracle_queries() -> dict:
         f"FROM ({corr_sql('j', cols)}) x")
     out["sample_rows"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20"
     out["csv_roundtrip"] = "SELECT * FROM lineitem"
+    for name in ("documents", "pages", "conversations", "events"):
+        out[f"csv_{name}"] = f"SELECT * FROM {name}"
     out["parquet_roundtrip"] = "SELECT * FROM orders"
     out["json_scan"] = "SELECT * FROM events"
     out["compact_lineitem"] = "SELECT * FROM lineitem"

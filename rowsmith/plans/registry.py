@@ -111,7 +111,10 @@ def q_distinct_counts(spark, d):
 
 
 def q_corr_matrix_lineitem(spark, d):
-    return quality.correlation_matrix(t(spark, d, "lineitem"))
+    """All numeric columns, with NaN in one of them (NaN counts as missing)."""
+    li = t(spark, d, "lineitem")
+    return quality.correlation_matrix(li.withColumn(
+        "l_quantity", F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_quantity"))))
 
 
 def q_joined_corr(spark, d):
@@ -439,11 +442,33 @@ def q_json_scan(spark, d):
     return io.read_json(spark, path, e.schema, ev.JSON_OPTIONS)
 
 
+def _csv_back(spark, d, name):
+    """A table exported as CSV (line breaks, quotes and microseconds included) and read again."""
+    df = t(spark, d, name)
+    return io.read_csv(spark, io.export_table(df, scratch_path(spark, "csv"), "csv"), df.schema)
+
+
+def q_csv_documents(spark, d):
+    return _csv_back(spark, d, "documents")
+
+
+def q_csv_pages(spark, d):
+    return _csv_back(spark, d, "pages")
+
+
+def q_csv_conversations(spark, d):
+    return _csv_back(spark, d, "conversations")
+
+
+def q_csv_events(spark, d):
+    return _csv_back(spark, d, "events")
+
+
 def q_compact_lineitem(spark, d):
     li = t(spark, d, "lineitem")
     src, dst = scratch_path(spark, "part"), scratch_path(spark, "compact")
     key = io.write_partitioned(li, src, "parquet", "l_shipdate", grain="month")
-    io.compact(spark, src, dst, 2, "parquet", key)
+    io.compact(spark, src, dst, 64 << 20, "parquet", key)
     return io.read_table(spark, dst).drop(key)
 
 
@@ -453,13 +478,17 @@ def q_event_json_roundtrip(spark, d):
 
 
 def q_stream_silver(spark, d):
+    """Events spread over 24 files by a hash, then copies of some and malformed records, read
+    four files at a time: every event comes out once."""
     e = t(spark, d, "events")
     src, out, ck = scratch_path(spark, "topic"), scratch_path(spark, "silver"), scratch_path(spark, "ckpt")
-    ev.write_event_files(e, src)
+    ev.write_event_files(e.repartition(24, "event_id"), src)
     ev.write_event_files(e.where(F.col("event_type") == "click"), src)   # re-delivered copies
-    stream = ev.read_event_stream(spark, src, e.schema, max_files_per_trigger=4)
-    ev.run_available_now(ev.stream_silver(stream, ["event_id"], "ts", "1 hour"), out, ck)
-    return spark.read.schema(e.schema).parquet(out)
+    e.where(F.col("event_type") == "view").select(F.concat(F.lit('{"event_id": '), F.col("event_id"))) \
+        .write.mode("append").text(src)                                  # cut-off records
+    stream = ev.read_event_stream(spark, src, e.schema, max_files_per_trigger=4, corrupt=ev.CORRUPT)
+    ev.stream_silver(stream, ["event_id"], out, ck, ev.CORRUPT, scratch_path(spark, "bad"))
+    return ev.read_silver(spark, out, e.schema)
 
 
 def q_medallion_gold(spark, d):
@@ -469,7 +498,7 @@ def q_medallion_gold(spark, d):
     outs = medallion.run_medallion(spark, csv, root, [("orders", "o_custkey", "customer", "c_custkey")],
                                    schemas={k: v.schema for k, v in tables.items()},
                                    primary_keys={"orders": "o_orderkey", "customer": "c_custkey"},
-                                   compact_files=2, grain="month")
+                                   compact_bytes=64 << 20, grain="month")
     return round_doubles(io.read_table(spark, outs["gld_orders_customer_joined"]))
 
 
@@ -511,6 +540,10 @@ QUERIES = {
     "gen_claims": q_gen_claims,
     "sample_rows": q_sample_rows,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_documents": q_csv_documents,
+    "csv_pages": q_csv_pages,
+    "csv_conversations": q_csv_conversations,
+    "csv_events": q_csv_events,
     "parquet_roundtrip": q_parquet_roundtrip,
     "json_scan": q_json_scan,
     "compact_lineitem": q_compact_lineitem,

@@ -5,16 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowsmith.session import spread
-
 DEFAULT_FORMAT = "parquet"
 PART_SUFFIX = "_date"
 GRAINS = {"day": "_date", "month": "_month", "year": "_year"}
 
 
+# Both directions of CSV: quotes are doubled inside quoted fields, so line breaks, quotes and
+# backslashes survive; blanks at the ends stay; times keep microseconds.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Rows of one CSV file: files with quoted line breaks cannot be split when read.
+CSV_ROWS_PER_FILE = 100_000
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV; the declared schema when given (no inference pass), else inference."""
-    r = spark.read.option("header", True)
+    """Header CSV with quoted line breaks; the declared schema when given (no inference
+    pass), else inference."""
+    # nothing between two commas is NULL, quotes around nothing an empty text: the parser puts
+    # this mark where nothing was
+    r = spark.read.options(**CSV_OPTIONS).options(multiLine="true", emptyValue="", nullValue="\u0000no value\u0000")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)
 
@@ -41,26 +51,21 @@ def partition_column(df: DataFrame) -> str | None:
     return None
 
 
-def with_partition_key(df: DataFrame, column: str | None, grain: str = "day") -> tuple[DataFrame, str | None]:
-    """A date column to partition by: the column itself for dates at day grain,
-    else ``<col>_date`` / ``<col>_month`` / ``<col>_year`` (the date truncated to the
-    grain). Raw timestamps would give one directory per distinct instant."""
+def with_partition_key(df: DataFrame, column: str | None, grain: str = "day") -> tuple[DataFrame, str | None, bool]:
+    """(frame, key, derived): a date column to partition by, the column itself for dates at
+    day grain, else a new ``<col>_date`` / ``<col>_month`` / ``<col>_year`` (the date truncated
+    to the grain; underscores are added while the name is taken). Raw timestamps would give
+    one directory per distinct instant."""
     if column is None or column not in df.columns:
-        return df, None
+        return df, None, False
     if grain == "day" and isinstance(df.schema[column].dataType, T.DateType):
-        return df, column
+        return df, column, False
     key = column + GRAINS[grain]
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
     day = F.to_date(F.col(column))
     value = day if grain == "day" else F.trunc(day, "month" if grain == "month" else "year")
-    return df.withColumn(key, value), key
-
-
-def partition_key_source(key: str | None) -> str | None:
-    """The column a derived partition key was made from (None if not derived)."""
-    for suffix in GRAINS.values():
-        if key and key.endswith(suffix):
-            return key[: -len(suffix)]
-    return None
+    return df.withColumn(key, value), key, True
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, column: str | None = None,
@@ -71,7 +76,14 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, colum
     task writes few directories (no small-file explosion), while AQE splits a
     skewed key (one hot day) over several tasks and merges tiny ones. Pick the
     grain so one partition holds at least a few hundred MB. Returns the key."""
-    df2, key = with_partition_key(df, column, grain)
+    df2, key, _ = with_partition_key(df, column, grain)
+    write_by_key(df2, path, fmt, key, mode, options)
+    return key
+
+
+def write_by_key(df2: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, key: str | None = None,
+                 mode: str = "overwrite", options: dict | None = None) -> None:
+    """Write a frame partitioned by one of its columns (or not at all)."""
     w = df2.hint("rebalance", key).write if key else df2.write
     w = w.mode(mode).format(fmt)
     for k, v in (options or {}).items():
@@ -79,7 +91,6 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, colum
     if key:
         w = w.partitionBy(key)
     w.save(path)
-    return key
 
 
 def create_schema(spark: SparkSession, schema_name: str, location: str | None = None) -> None:
@@ -90,38 +101,49 @@ def create_schema(spark: SparkSession, schema_name: str, location: str | None =
 
 def register_table(spark: SparkSession, name: str, path: str, fmt: str = DEFAULT_FORMAT,
                    schema_name: str | None = None) -> str:
-    """``CREATE TABLE IF NOT EXISTS ... USING fmt LOCATION path``; returns the full name."""
+    """Register the table at ``path``; returns the full name. An entry whose columns or
+    place are no longer those of the files is made anew (external tables keep their files)."""
     full = f"`{schema_name}`.`{name}`" if schema_name else f"`{name}`"
+    if spark.catalog.tableExists(full):
+        now = {(f.name, f.dataType.simpleString()) for f in spark.read.format(fmt).load(path).schema}
+        known = {(f.name, f.dataType.simpleString()) for f in spark.table(full).schema}
+        place = spark.sql(f"DESCRIBE FORMATTED {full}").where("col_name = 'Location'").first()
+        if now != known or place is None or place["data_type"].removeprefix("file:").rstrip("/") != path.removeprefix("file:").rstrip("/"):
+            spark.sql(f"DROP TABLE {full}")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {fmt} LOCATION '{path}'")
     if spark.sql(f"DESCRIBE TABLE {full}").where("col_name = '# Partition Information'").count():
         spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")   # register the existing directories
     return full
 
 
-def compact(spark: SparkSession, path: str, out_path: str, files: int, fmt: str = DEFAULT_FORMAT,
+#: Bytes that a compacted file aims at.
+FILE_BYTES = 256 << 20
+
+
+def compact(spark: SparkSession, path: str, out_path: str, file_bytes: int = FILE_BYTES, fmt: str = DEFAULT_FORMAT,
             partition_key: str | None = None) -> str:
-    """Rewrite a table at ``out_path`` with at most ``files`` files per partition
-    value (or ``files`` files in total when unpartitioned); rows are unchanged.
-
-    Rows are hashed on (partition value, salt in [0, files)), so every partition value
-    is written by at most ``files`` tasks while different values still spread over
-    all executors. The caller re-points readers to the new path."""
-    df = spark.read.format(fmt).load(path)
-    if partition_key and partition_key in df.columns:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(files)))
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(files))
-        df.repartition(n, F.col(partition_key), salt).write.mode("overwrite").format(fmt) \
-          .partitionBy(partition_key).save(out_path)
-    else:
-        df.repartition(int(files)).write.mode("overwrite").format(fmt).save(out_path)
+    """Rewrite a table at ``out_path`` in files of about ``file_bytes`` (as shuffled); rows
+    are unchanged. A ``rebalance`` by the partition value lets AQE split a hot value over as
+    many tasks as its bytes need and merge small ones. Readers go to the new path."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(int(file_bytes)))
+    try:
+        df = spark.read.format(fmt).load(path)
+        if partition_key and partition_key in df.columns:
+            write_by_key(df, out_path, fmt, partition_key)
+        else:
+            df.hint("rebalance").write.mode("overwrite").format(fmt).save(out_path)
+    finally:
+        spark.conf.set(size, before)
     return out_path
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "csv", compression: str | None = None) -> str:
     """CSV with a header row, or Parquet; written in parallel part files."""
-    w = spread(df).write.mode("overwrite").format(fmt)
+    w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_OPTIONS).option("maxRecordsPerFile", CSV_ROWS_PER_FILE)
     if compression:
         w = w.option("compression", compression)
     w.save(path)
@@ -134,9 +156,8 @@ def export_all(tables: dict, root: str, fmt: str = "csv", compression: str | Non
             for name, df in tables.items()}
 
 
-def sample(df: DataFrame, n: int = 20, order_by=None, max_rows: int = 200) -> DataFrame:
-    """The first ``n`` rows (at most 200) in an explicit order: a top-k per
-    partition, then a merge of k rows per partition on one task (bounded by k)."""
-    n = max(0, min(int(n), max_rows))
+def sample(df: DataFrame, n: int = 20, order_by=None) -> DataFrame:
+    """The first ``n`` rows in an explicit order: a top-k per partition, then a merge of
+    n rows per partition."""
     order = list(order_by) if order_by else [df.columns[0]]
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*order).limit(max(0, int(n)))

@@ -18,7 +18,6 @@ from rowsmith.spec import TableSpec
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 JSON_OPTIONS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_NTZ_FORMAT}
-EVENT_TIME = "_event_time"
 
 
 def to_events(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -29,9 +28,19 @@ def to_events(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(value)
 
 
-def from_events(df: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
-    """Decode the JSON ``value`` column with a declared schema."""
-    return df.select(F.from_json(F.col(value_col).cast("string"), schema, JSON_OPTIONS).alias("e")).select("e.*")
+CORRUPT = "_corrupt_record"
+BATCH_ID = "batch_id"
+
+
+def from_events(df: DataFrame, schema: T.StructType, value_col: str = "value", corrupt: str | None = None) -> DataFrame:
+    """Decode the JSON ``value`` column with a declared schema. With ``corrupt`` a further
+    text column holds the raw value of records that are not JSON of that schema (NULL for
+    good ones); without it such records decode to NULLs."""
+    options = dict(JSON_OPTIONS)
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt
+    return df.select(F.from_json(F.col(value_col).cast("string"), schema, options).alias("e")).select("e.*")
 
 
 def write_event_files(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -39,42 +48,102 @@ def write_event_files(df: DataFrame, path: str, mode: str = "append") -> None:
     to_events(df).write.mode(mode).text(path)
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+def kafka_options(servers: str, topic: str, source: bool = False, **extra) -> dict[str, str]:
+    """Options of the Kafka connector, for publishing to a topic or reading it from its start."""
+    out = {"kafka.bootstrap.servers": servers}
+    out.update({"subscribe": topic, "startingOffsets": "earliest"} if source else {"topic": topic})
+    return {**out, **{k: str(v) for k, v in extra.items()}}
+
+
+def topic_name(prefix: str, domain: str) -> str:
+    """``<prefix>-<domain>-events``."""
+    return f"{prefix}-{domain}-events"
+
+
+def publish(df: DataFrame, servers: str, topic: str, key: str | None = None, **extra) -> None:
+    """S13 on Kafka: one JSON event per row (needs the Kafka connector on the classpath)."""
+    to_events(df, key).write.format("kafka").options(**kafka_options(servers, topic, **extra)).save()
+
+
+def kafka_source(spark: SparkSession, servers: str, topic: str, **extra) -> DataFrame:
     """S14 on Kafka from the earliest offset (needs the Kafka connector on the classpath)."""
-    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-            .option("subscribe", topic).option("startingOffsets", "earliest").load())
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, source=True, **extra)).load()
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
+                      max_files_per_trigger: int | None = None, corrupt: str | None = None) -> DataFrame:
     """S14 on a JSON-lines directory, as a stream."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return from_events(r.load(path), schema)
-
-
-def stream_silver(events: DataFrame, keys, ts_col: str, delay: str = "1 hour") -> DataFrame:
-    """drop duplicate events by ``keys`` within the watermark delay.
-
-    State holds a key only until the watermark passes its event time plus the
-    delay, so state stays bounded; a copy arriving later than that is dropped by
-    the watermark as late data."""
-    timed = events.withColumn(EVENT_TIME, F.col(ts_col).cast("timestamp"))   # watermarks need TIMESTAMP (not NTZ)
-    return timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(list(keys)).drop(EVENT_TIME)
+    return from_events(r.load(path), schema, corrupt=corrupt)
+
+
+def stream_silver(events: DataFrame, keys, out_path: str, checkpoint: str, corrupt: str | None = None,
+                  bad_path: str | None = None, ts_col: str | None = None, late_after: str | None = None,
+                  late_path: str | None = None, timeout_s: float | None = None) -> None:
+    """append each event once, by ``keys``, to the silver table at ``out_path``; stops when
+    everything now available is processed and goes on from ``checkpoint`` later.
+
+    No watermark drops rows: each micro-batch keeps one row per key (copies of a hot key
+    are combined map-side) and leaves out keys that earlier batches wrote. A batch is a
+    partition ``batch_id=<n>`` that a retry overwrites, so restarts neither lose nor repeat rows.
+    Records that did not decode (non-NULL ``corrupt``) go to ``bad_path``. With ``late_after``
+    (an interval such as "1 hour") rows of ``ts_col`` older than that against the newest event
+    of earlier batches go to ``late_path``, so that live consumers see them apart; they are
+    not lost either."""
+    keys = list(keys)
+    spark = events.sparkSession
+    if (corrupt is None) != (bad_path is None) or (late_after is None) != (late_path is None):
+        raise ValueError("corrupt needs bad_path, and late_after needs late_path")
+    names = [c for c in events.columns if c != corrupt]
+    silver_schema = T.StructType([f for f in events.schema.fields if f.name != corrupt])
+    target = spark.createDataFrame([], silver_schema)
+    target.write.mode("ignore").parquet(f"{out_path}/{BATCH_ID}=-1")
+
+    def put(rows: DataFrame, path: str, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{BATCH_ID}={n}")
+
+    def take(batch: DataFrame, n: int) -> None:
+        if corrupt:
+            put(batch.where(F.col(corrupt).isNotNull()).select(corrupt), bad_path, n)
+            batch = batch.where(F.col(corrupt).isNull())
+        before = batch.sparkSession.read.schema(silver_schema.add(T.StructField(BATCH_ID, T.LongType()))
+                                                ).parquet(out_path).where(F.col(BATCH_ID) < n)
+        fresh = batch.select(*names).dropDuplicates(keys).join(before.select(*keys).distinct(), keys, "left_anti").select(*names)
+        if late_after:
+            newest = before.agg(F.max(ts_col)).first()[0]
+            if newest is not None:
+                old = F.col(ts_col) < F.lit(newest) - F.expr(f"INTERVAL {late_after}")
+                put(fresh.where(old), late_path, n)
+                fresh = fresh.where(~F.coalesce(old, F.lit(False)))
+        put(fresh, out_path, n)
+
+    _finish(events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(), timeout_s)
+
+
+def read_silver(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that :func:`stream_silver` wrote, without the batch column."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def _finish(query, timeout_s: float | None) -> None:
+    """Wait for a query; raise its error, or TimeoutError if it did not end in time."""
+    ended = query.awaitTermination(timeout_s) if timeout_s is not None else query.awaitTermination()
+    if timeout_s is not None and not ended:
+        query.stop()
+        raise TimeoutError(f"the stream was stopped after {timeout_s} s with part of its input unprocessed")
+    if query.exception():
+        raise query.exception()
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
                       timeout_s: float | None = None) -> None:
     """Process everything available now into ``out_path`` and stop; restartable from
     ``checkpoint`` (exactly-once file sink)."""
-    q = (df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", checkpoint)
-           .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception():
-        raise q.exception()
+    _finish(df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", checkpoint)
+              .outputMode("append").trigger(availableNow=True).start(), timeout_s)
 
 
 def stream_generate(spark: SparkSession, table: TableSpec, rows_per_second: int = 1000, seed: int = 42,

@@ -1,7 +1,5 @@
 """Streams: JSON events, restartable dedupe, generated record stream."""
 
-import os
-import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -19,18 +17,52 @@ def test_event_roundtrip_batch(spark):
     assert back.exceptAll(e).count() == 0 and e.exceptAll(back).count() == 0
 
 
-def test_stream_dedupe_restart(spark):
+def test_backfill_of_shuffled_files_loses_nothing_and_restarts(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet")
-    root = tempfile.mkdtemp(prefix="rowsmith-stream-")
-    src, out, ck = f"{root}/topic", f"{root}/silver", f"{root}/ckpt"
-    ev.write_event_files(e, src)
-    ev.run_available_now(ev.stream_silver(ev.read_event_stream(spark, src, e.schema), ["event_id"], "ts"), out, ck)
-    first = spark.read.parquet(out).count()
-    ev.write_event_files(e.where(F.col("event_type") == "view"), src)     # duplicates arrive later
-    ev.run_available_now(ev.stream_silver(ev.read_event_stream(spark, src, e.schema), ["event_id"], "ts"), out, ck)
-    got = spark.read.parquet(out)
-    assert first == e.count()
-    assert got.count() == e.count() and got.select("event_id").distinct().count() == e.count()
+    src, out, ck, bad = (str(tmp_path / x) for x in ("topic", "silver", "ckpt", "bad"))
+
+    def go():
+        stream = ev.read_event_stream(spark, src, e.schema, max_files_per_trigger=4, corrupt=ev.CORRUPT)
+        ev.stream_silver(stream, ["event_id"], out, ck, ev.CORRUPT, bad)
+        return ev.read_silver(spark, out, e.schema)
+
+    ev.write_event_files(e.repartition(24, "event_id"), src)
+    spark.createDataFrame([('{"event_id": 1, "ts',), ("not json",)], "value string").write.mode("append").text(src)
+    got = go()
+    assert got.count() == e.count() and got.exceptAll(e).count() == 0
+    ev.write_event_files(e.where(F.col("event_type") == "view"), src)     # copies arrive later
+    got = go()
+    assert got.count() == e.count() and got.exceptAll(e).count() == 0
+    assert {r[ev.CORRUPT] for r in spark.read.parquet(bad).collect()} == {'{"event_id": 1, "ts', "not json"}
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    from datetime import datetime, timedelta
+    src, out, ck, late = (str(tmp_path / x) for x in ("topic", "silver", "ckpt", "late"))
+    rows = lambda ids, day: spark.createDataFrame([(i, datetime(2024, 1, day) + timedelta(minutes=i)) for i in ids],
+                                                  "event_id long, ts timestamp_ntz")
+    schema = rows([1], 1).schema
+    for ids, day in ((range(5), 3), (range(3, 9), 1), (range(20, 22), 4)):
+        ev.write_event_files(rows(ids, day), src)
+        ev.stream_silver(ev.read_event_stream(spark, src, schema), ["event_id"], out, ck, ts_col="ts",
+                         late_after="1 hour", late_path=late)
+    assert sorted(r.event_id for r in ev.read_silver(spark, out, schema).collect()) == [0, 1, 2, 3, 4, 20, 21]
+    assert sorted(r.event_id for r in spark.read.parquet(late).collect()) == [5, 6, 7, 8]
+
+
+def test_timeout_raises(spark, tmp_path):
+    import pytest
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    ev.write_event_files(e.repartition(24, "event_id"), str(tmp_path / "t"))
+    stream = ev.read_event_stream(spark, str(tmp_path / "t"), e.schema, max_files_per_trigger=1)
+    with pytest.raises(TimeoutError):
+        ev.run_available_now(stream, str(tmp_path / "o"), str(tmp_path / "c"), timeout_s=1)
+
+
+def test_kafka_options():
+    assert ev.topic_name("rs", "health") == "rs-health-events"
+    assert ev.kafka_options("h:1", "t", acks="all") == {"kafka.bootstrap.servers": "h:1", "topic": "t", "acks": "all"}
+    assert ev.kafka_options("h:1", "t", source=True)["startingOffsets"] == "earliest"
 
 
 def test_stream_generate_rate_source(spark):
