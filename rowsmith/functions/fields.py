@@ -260,7 +260,30 @@ def country(f: FieldSpec, ctx: GenContext) -> Column:
     return rng.pick(ctx.u(f.name), pools.COUNTRIES)
 
 
-# Named providers a field may ask for through ``faker``; unknown names fall through.
+def company(f: FieldSpec, ctx: GenContext) -> Column:
+    return F.concat(last_name(ctx, f.name), F.lit(" "), rng.pick(ctx.u(f.name + "#kind"), pools.COMPANY_KINDS))
+
+
+def street_address(f: FieldSpec, ctx: GenContext) -> Column:
+    number = (F.floor(ctx.u(f.name + "#no") * 9899) + 100).cast("long").cast("string")
+    return F.concat(number, F.lit(" "), last_name(ctx, f.name), F.lit(" "), rng.pick(ctx.u(f.name + "#kind"), pools.STREET_KINDS))
+
+
+def sentence(f: FieldSpec, ctx: GenContext) -> Column:
+    picked = [rng.pick(ctx.u(f"{f.name}#{i}"), pools.WORDS) for i in range(6)]
+    return F.concat(F.initcap(picked[0]), *[x for w in picked[1:] for x in (F.lit(" "), w)], F.lit("."))
+
+
+def birth_date(f: FieldSpec, ctx: GenContext) -> Column:
+    days = F.floor(ctx.u(f.name) * (90 - 18) * 365.25).cast("int")
+    return F.date_sub(F.lit(ctx.as_of.date()), (days + F.lit(int(18 * 365.25) + 1)).cast("int"))
+
+
+def from_pool(pool) -> object:
+    return lambda f, c: rng.pick(c.u(f.name), pool)
+
+
+# Named providers a field may ask for through ``faker``; unknown names raise.
 PROVIDERS = {
     "name": person_name,
     "first_name": lambda f, c: first_name(c, f.name),
@@ -273,6 +296,15 @@ PROVIDERS = {
     "city": city,
     "country": country,
     "word": word,
+    "company": company,
+    "street_address": street_address,
+    "address": street_address,
+    "state": from_pool(pools.STATES),
+    "job": from_pool(pools.JOBS),
+    "currency_code": from_pool(pools.CURRENCIES),
+    "sentence": sentence,
+    "text": sentence,
+    "date_of_birth": birth_date,
 }
 
 
@@ -282,7 +314,9 @@ def field_column(f: FieldSpec, ctx: GenContext) -> Column:
     text_ok = (not ctx.exact_names) or f.type == "string"
     if f.allowed_values:
         return rng.pick(ctx.u(f.name), f.allowed_values)
-    if f.faker and f.faker in PROVIDERS:
+    if f.faker:
+        if f.faker not in PROVIDERS:
+            raise ValueError(f"no provider {f.faker!r} for field {f.name!r}; there are: {', '.join(sorted(PROVIDERS))}")
         return PROVIDERS[f.faker](f, ctx)
     if text_ok and "email" in name:
         return email(f, ctx)

@@ -51,3 +51,16 @@ WORDS = (
     "anchor", "beacon", "canyon", "dune", "echo", "falcon", "glacier", "horizon",
     "ivory", "jasper", "kayak", "lagoon", "marble", "nectar", "oasis", "pebble",
 )
+COMPANY_KINDS = ("Inc", "Ltd", "Group", "and Sons", "LLC", "Partners", "Works", "Holdings")
+STREET_KINDS = ("Street", "Avenue", "Road", "Lane", "Drive", "Court", "Square", "Way")
+STATES = (
+    "Alabama", "Arizona", "California", "Colorado", "Florida", "Georgia", "Illinois", "Indiana",
+    "Iowa", "Kansas", "Maine", "Maryland", "Michigan", "Minnesota", "Nevada", "New York",
+    "Ohio", "Oregon", "Texas", "Utah", "Vermont", "Virginia", "Washington", "Wisconsin",
+)
+JOBS = (
+    "Accountant", "Architect", "Baker", "Carpenter", "Chemist", "Designer", "Editor", "Electrician",
+    "Engineer", "Farmer", "Librarian", "Mechanic", "Nurse", "Pharmacist", "Pilot", "Plumber",
+    "Surveyor", "Teacher", "Translator", "Welder",
+)
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "SEK", "NOK", "DKK", "PLN", "INR", "CNY", "BRL", "MXN", "ZAR")

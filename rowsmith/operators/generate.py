@@ -3,9 +3,8 @@
 ``generate_table`` builds one table lazily:
 
 1. dense primary key 1..n from ``spark.range`` (G1), partitions of about a million rows;
-2. ``_batch = floor((key-1)/batch_rows)`` when the table is large (more than
-   100,000 rows or 200 columns), else one batch: the scope of every statistic
-   (z-scores, std, sorted temporal columns), so groups stay bounded (G26);
+2. ``_batch = floor((key-1)/batch_rows)``: the scope of every statistic (z-scores, std,
+   sorted temporal columns) at every size, so groups stay bounded (G26);
 3. foreign keys sampled uniformly from the parent (G3): arithmetic when the parent
    key is dense 1..N, an index join otherwise; parent columns used by the parent
    influence step (G4) are re-evaluated at the sampled key when the parent is a
@@ -29,12 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsmith.functions.fields import GenContext, default_as_of, field_column
 from rowsmith.operators import correlate, keys
-from rowsmith.session import spread
 from rowsmith.spec import SchemaSpec, TableSpec
 
 BATCH_ROWS = 25_000
-LARGE_ROWS = 100_000
-LARGE_COLUMNS = 200
 ROWS_PER_PARTITION = 1_000_000
 CONTEXT_COLUMNS = ("age", "tenure", "comorbidity_count")
 
@@ -74,11 +70,6 @@ def modified_columns(table: TableSpec, rules, has_context: bool) -> frozenset:
     return frozenset(out)
 
 
-def is_batched(table: TableSpec, rows: int) -> bool:
-    """Batch by the table's own (scaled) row count and width."""
-    return rows > LARGE_ROWS or len(table.fields) > LARGE_COLUMNS
-
-
 def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=None,
                    seed: int = 42, as_of: datetime | None = None, mode: str = "fast",
                    batch_rows: int = BATCH_ROWS, rules=None, parent_influence: bool = True,
@@ -95,29 +86,25 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     parents = parents or {}
     as_of = as_of or default_as_of()
     rows = int(rows)
-    batched = is_batched(table, rows)
     ctx = GenContext(table=table.name, seed=seed, as_of=as_of, mode=mode, rows=rows,
-                     batch_rows=batch_rows, batched=batched, exact_names=exact_names)
+                     batch_rows=batch_rows, batched=True, exact_names=exact_names)
     # default: batches aligned with partitions and the chain run per partition (no shuffle);
     # "window" / "pandas" keep the shuffled forms, and ``ids``-driven rows always use them
     aligned = rule_method in ("auto", "partition") and ids is None
-    if not aligned and rule_method == "partition":
-        rule_method = "auto"
     if aligned:
         # every batch built from one batch id inside one partition: batches never straddle partitions
-        n_batches = math.ceil(rows / batch_rows) if batched else 1
-        width = batch_rows if batched else rows
-        parts = min(n_batches, max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition)))
+        n_batches, width = math.ceil(rows / batch_rows), batch_rows
+        parts = min(max(1, n_batches), max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition)))
         b = F.col("id")
         base = spark.range(0, n_batches, 1, parts).select(F.explode(F.sequence(
             b * F.lit(width) + F.lit(1), F.least((b + F.lit(1)) * F.lit(width), F.lit(rows)))).alias("_row"))
     elif ids is None:
         parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_partition))
-        parts = min(parts, rows)
+        parts = max(1, min(parts, rows))
         base = spark.range(1, rows + 1, 1, parts).withColumnRenamed("id", "_row")
     else:
-        base = spread(ids.select("_row"), "_row")
-    batch = F.floor((F.col("_row") - 1) / F.lit(batch_rows)).cast("long") if batched else F.lit(0).cast("long")
+        base = ids.select("_row")
+    batch = F.floor((F.col("_row") - 1) / F.lit(batch_rows)).cast("long")
     df = base.withColumn("_batch", batch)
 
     fk_cols: dict[str, str] = {}
@@ -172,7 +159,6 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     rule_list = correlate.default_rules(table) if rules is None else list(rules)
     if aligned and joined_rows:
         aligned = False               # rows were shuffled by a join: use the shuffled forms
-        rule_method = "auto" if rule_method == "partition" else rule_method
     if aligned:
         # no exchange of the rows: each partition holds whole batches (see above)
         df = correlate.apply_chain_per_partition(df, table, context_cols if parent_influence else [],
@@ -180,8 +166,8 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
     else:
         if parent_influence and context_cols:
             df = correlate.apply_parent_influence(df, table, context_cols, by, seed, "_row", mode)
-        df = correlate.apply_rules(df, rule_list, table, by, seed, "_row", mode,
-                                   fill_median=False, method=rule_method)
+        df = correlate.apply_rules(df, rule_list, table, by, seed, "_row", mode, fill_median=False,
+                                   method="pandas" if rule_method == "pandas" else "window")
     out = [F.col(f.name) for f in table.fields if f.name in df.columns]
     if keep_batch:
         out.append(F.col("_batch"))
@@ -218,7 +204,7 @@ def generate(spark: SparkSession, table: TableSpec, rows: int, *, parents=None,
         for fk in table.foreign_keys)
     rule_list = correlate.default_rules(table) if rules is None else list(rules)
     params = dict(seed=seed, as_of=as_of, mode=mode, rows=int(rows), batch_rows=batch_rows,
-                  batched=is_batched(table, int(rows)), exact_names=exact_names)
+                  batched=True, exact_names=exact_names)
     return Generated(df, int(rows), table, True, params, modified_columns(table, rule_list, has_context))
 
 

@@ -323,6 +323,13 @@ def rule_chain_sql() -> str:
                      ["_batch"], "lineitem", "_k", [LK, "l_extendedprice", "l_tax", "is_large"])
 
 
+def whole_table_rules_sql() -> str:
+    base = (f"SELECT * REPLACE (CASE WHEN l_returnflag <> 'R' THEN l_tax END AS l_tax, "
+            f"CASE WHEN l_linestatus = 'O' THEN l_extendedprice END AS l_extendedprice), {LINE_KEY_SQL} AS _k FROM lineitem")
+    return chain_sql(base, LINE_COLS + ["_k"], LINE_KINDS, R.whole_table_rules(), R.LINE_SPEC, None,
+                     "lineitem", "_k", [LK, "l_extendedprice", "l_tax"])
+
+
 def parent_influence_sql() -> str:
     ov = "OVER ()"
     key = "o_orderkey"
@@ -441,40 +448,32 @@ def gen_sql(fields, table: str, source: str, key_expr: str, rows_sql: str | None
 
 
 def gen_temporal_sql() -> str:
-    """The Spark side reads the row count first; here the count is a subquery and the
-    batched or unbatched form is chosen by it."""
+    """The Spark side reads the row count first; here the count is a subquery."""
     n = "(SELECT count(*) FROM orders)"
-    cols = []
-    for f in R.TEMPORAL:
-        plain = gen_field(f, "visits", "_row", rows=n, batched=False)
-        batched = gen_field(f, "visits", "_row", rows=n, batched=True)
-        expr = plain if plain == batched else f"(CASE WHEN {n} > 100000 THEN {batched} ELSE {plain} END)"
-        cols.append(f"{expr} AS {f.name}")
+    cols = [f"{gen_field(f, 'visits', '_row', rows=n, batched=True)} AS {f.name}" for f in R.TEMPORAL]
     return f"SELECT _row AS id, {', '.join(cols)} FROM (SELECT o_orderkey + 1 AS _row FROM orders)"
 
 
-def healthcare_sql() -> str:
-    """CTEs ``pat`` and ``claims`` reproducing the healthcare generation (G1-G4, G12-G19,
-    D8-D10, D5 with the name-derived rule set) over the given table sizes."""
+def visits_sql() -> str:
+    """CTEs ``pat`` and the visits generated over orders (G1-G4, G12-G19, D8-D10, D5 with the
+    name-derived rule set), with customers as parents."""
     from rowsmith.spec import load_spec
-    spec = load_spec(R.HEALTHCARE)
-    pat, cl = spec.table("patients"), spec.table("claims")
-    n_pat, n_cl = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
-    pcols = ", ".join(f"{gen_field(f, 'patients', '_row')} AS {f.name}" for f in pat.fields if f.name != "id")
-    ctes = [f"pat AS (SELECT _row AS id, {pcols} FROM (SELECT row_number() OVER () AS _row FROM customer))"]
+    cl = load_spec(R.CUSTOMER_VISITS).table("visits")
+    n_par, n_cl = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
+    ctes = ["pat AS (SELECT c_custkey, c_acctbal AS tenure, c_nationkey AS comorbidity_count, "
+            "row_number() OVER (ORDER BY c_custkey) AS _idx FROM customer)"]
     gen = []
     for f in cl.fields:
         if f.name == "id":
             gen.append("_row AS id")
-        elif f.name == "patient_id":
-            gen.append(f"CAST((floor({u('claims', 'patient_id#fk', '_row')} * {n_pat}) + 1) AS BIGINT) AS patient_id")
+        elif f.name == "customer_id":
+            gen.append(f"CAST((floor({u('visits', 'customer_id#fk', '_row')} * {n_par}) + 1) AS BIGINT) AS _pidx")
         else:
-            gen.append(f"{gen_field(f, 'claims', '_row')} AS {f.name}")
-    batch = f"(CASE WHEN {n_cl} > 100000 THEN CAST(floor((_row - 1) / 25000) AS BIGINT) ELSE CAST(0 AS BIGINT) END)"
-    ctes.append(f"c0 AS (SELECT _row, {batch} AS _batch, {', '.join(gen)} FROM "
-                f"(SELECT row_number() OVER () AS _row FROM orders))")
-    ctes.append("c1 AS (SELECT c0.*, pat.age AS patient_id__age, pat.comorbidity_count AS patient_id__comorbidity_count "
-                "FROM c0 JOIN pat ON c0.patient_id = pat.id)")
+            gen.append(f"{gen_field(f, 'visits', '_row', rows=n_cl, batched=True, batch_rows=R.VISIT_BATCH)} AS {f.name}")
+    ctes.append(f"c0 AS (SELECT _row, CAST(floor((_row - 1) / {R.VISIT_BATCH}) AS BIGINT) AS _batch, {', '.join(gen)} FROM "
+                f"(SELECT o_orderkey + 1 AS _row FROM orders))")
+    ctes.append("c1 AS (SELECT c0.*, pat.c_custkey AS customer_id, pat.tenure AS customer_id__tenure, "
+                "pat.comorbidity_count AS customer_id__comorbidity_count FROM c0 JOIN pat ON c0._pidx = pat._idx)")
     ov = "OVER (PARTITION BY _batch)"
     z = safe_z("__d", "__dm", "__dd")
 
@@ -483,8 +482,8 @@ def healthcare_sql() -> str:
         sds = ", ".join(f"stddev_samp(__b{i}) {ov} AS __bs{i}" for i in range(len(targets)))
         staged = (f"SELECT *, avg(__d) {ov} AS __dm, stddev_samp(__d) {ov} AS __dd, {sds} FROM "
                   f"(SELECT *, coalesce({as_double(driver)}, {dbl(0.0)}) AS __d, {base} FROM {src_cte})")
-        keep = ["_row", "_batch", "id", "patient_id", "length_of_stay", "cost", "readmission_risk_score",
-                "service_date", "patient_id__age", "patient_id__comorbidity_count"]
+        keep = ["_row", "_batch", "id", "customer_id", "length_of_stay", "cost", "readmission_risk_score",
+                "visit_date", "customer_id__tenure", "customer_id__comorbidity_count"]
         outs = []
         for c in keep:
             if c in targets:
@@ -495,14 +494,14 @@ def healthcare_sql() -> str:
                 outs.append(c)
         return f"{out_cte} AS (SELECT {', '.join(outs)} FROM ({staged}))"
 
-    ctes.append(shift("c1", "c2", "patient_id__age", ["length_of_stay", "cost", "readmission_risk_score"], 0.28, "parent"))
-    ctes.append(shift("c2", "c3", "patient_id__comorbidity_count", ["length_of_stay", "cost", "readmission_risk_score"],
+    ctes.append(shift("c1", "c2", "customer_id__tenure", ["length_of_stay", "cost", "readmission_risk_score"], 0.28, "parent"))
+    ctes.append(shift("c2", "c3", "customer_id__comorbidity_count", ["length_of_stay", "cost", "readmission_risk_score"],
                       0.24, "comorb"))
-    cols = ["_row", "_batch", "id", "patient_id", "length_of_stay", "cost", "readmission_risk_score", "service_date"]
+    cols = ["_row", "_batch", "id", "customer_id", "length_of_stay", "cost", "readmission_risk_score", "visit_date"]
     rules = correlate.default_rules(cl)
     chain = chain_sql("SELECT * FROM c3", cols, {c: ("f" if c in ("cost", "readmission_risk_score") else "i") for c in cols},
-                      rules, cl, ["_batch"], "claims", "_row", ["id", "patient_id", "length_of_stay", "cost",
-                                                                "readmission_risk_score", "service_date"],
+                      rules, cl, ["_batch"], "visits", "_row", ["id", "customer_id", "length_of_stay", "cost",
+                                                                "readmission_risk_score", "visit_date"],
                       fill_median=False)
     # chain_sql returns "WITH r0 AS (...), ... SELECT ..."; splice it behind our CTEs
     return "WITH " + ", ".join(ctes) + ", " + chain[len("WITH "):]
@@ -597,6 +596,7 @@ def oracle_queries() -> dict:
     out["num_flag"] = line_rule_sql(correlate.Rule("l_quantity", "is_large", "num_bool", 0.42), ["is_large"],
                                     ", false AS is_large", ["is_large"], extra_kinds={"is_large": "b"})
     out["rule_chain"] = rule_chain_sql()
+    out["whole_table_rules"] = whole_table_rules_sql()
     out["parent_influence"] = parent_influence_sql()
     out["ttl_filter"] = "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-15 11:00:00'"
     n = "(SELECT count(*) FROM customer)"
@@ -610,13 +610,13 @@ def oracle_queries() -> dict:
     out["gen_text"] = gen_sql(R.TEXT, "people", "customer", "c_custkey + 1")
     out["gen_flags"] = gen_sql(R.FLAGS, "visits", "orders", "o_orderkey + 1")
     out["gen_temporal"] = gen_temporal_sql()
-    hc = healthcare_sql()
+    hc = visits_sql()
     out["gen_claims"] = hc
     cut = hc.rindex(" SELECT ")
-    cols = ["age", "cost", "length_of_stay", "comorbidity_count", "readmission_risk_score"]
+    cols = ["tenure", "cost", "length_of_stay", "comorbidity_count", "readmission_risk_score"]
     out["gen_star_schema"] = (
-        f"{hc[:cut]}, cl AS ({hc[cut + 1:]}), j AS (SELECT cl.*, pat.age, pat.comorbidity_count FROM cl "
-        f"JOIN pat ON cl.patient_id = pat.id) SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM j) AS joined_row_count "
+        f"{hc[:cut]}, cl AS ({hc[cut + 1:]}), j AS (SELECT cl.*, pat.tenure, pat.comorbidity_count FROM cl "
+        f"JOIN pat ON cl.customer_id = pat.c_custkey) SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM j) AS joined_row_count "
         f"FROM ({corr_sql('j', cols)}) x")
     out["sample_rows"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20"
     out["csv_roundtrip"] = "SELECT * FROM lineitem"

@@ -1,4 +1,4 @@
-"""Generation: the healthcare statistical checks, reproducibility, batching, keys."""
+"""Generation: statistical checks, reproducibility, batching, keys."""
 
 from datetime import datetime
 
@@ -7,34 +7,34 @@ from pyspark.sql import functions as F
 
 from rowsmith.operators import quality
 from rowsmith.operators.generate import Generated, generate_table, generate_tables
-from rowsmith.plans.registry import HEALTHCARE
+from rowsmith.plans.registry import MEMBER_VISITS
 from rowsmith.spec import FieldSpec, TableSpec, load_spec
 
 AS_OF = datetime(2024, 2, 1)
 
 
-def healthcare(spark, rows=3000, **kw):
-    doc = {"tables": [dict(t) for t in HEALTHCARE["tables"]]}
+def members_and_visits(spark, rows=3000, **kw):
+    doc = {"tables": [dict(t) for t in MEMBER_VISITS["tables"]]}
     return generate_tables(spark, load_spec(doc), rows, seed=42, as_of=AS_OF, **kw)
 
 
-def test_healthcare_correlations_and_integrity(spark):
-    tables = healthcare(spark)
-    patients, claims = tables["patients"].cache(), tables["claims"].cache()
-    assert patients.count() == 3000 and claims.count() == 3000
-    assert claims.join(patients, claims.patient_id == patients.id, "left_anti").count() == 0
-    merged = claims.alias("c").join(patients.alias("p"), F.col("c.patient_id") == F.col("p.id"))
+def test_correlations_and_integrity(spark):
+    tables = members_and_visits(spark)
+    members, visits = tables["members"].cache(), tables["visits"].cache()
+    assert members.count() == 3000 and visits.count() == 3000
+    assert visits.join(members, visits.member_id == members.id, "left_anti").count() == 0
+    merged = visits.alias("c").join(members.alias("p"), F.col("c.member_id") == F.col("p.id"))
     r = merged.agg(F.corr("p.age", "c.cost").alias("a"), F.corr("p.age", "c.length_of_stay").alias("b"),
                    F.corr("p.comorbidity_count", "c.readmission_risk_score").alias("c")).first()
     assert r.a > 0.10 and r.b > 0.08 and r.c > 0.10
     rates = {x.check_name: x.pass_rate for x in quality.pattern_rates(
-        patients, quality.standard_checks("zip_code", "patient_name", "email")).collect()}
+        members, quality.standard_checks("zip_code", "member_name", "email")).collect()}
     assert rates["zip_5_digits"] == 1.0
     assert rates["name_has_space"] > 0.9 and rates["email_has_at"] > 0.95
 
 
 def test_same_output_for_any_partitioning(spark):
-    t = load_spec(HEALTHCARE).table("patients")
+    t = load_spec(MEMBER_VISITS).table("members")
     a = generate_table(spark, t, 5000, seed=7, as_of=AS_OF, rows_per_partition=5000)
     b = generate_table(spark, t, 5000, seed=7, as_of=AS_OF, rows_per_partition=700)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -92,17 +92,17 @@ def test_self_reference_falls_back(spark):
 
 def test_generated_parent_context_needs_no_join(spark):
     from rowsmith.operators.generate import generate
-    spec = load_spec(HEALTHCARE)
-    pat = generate(spark, spec.table("patients"), 3000, seed=42, as_of=AS_OF)
+    spec = load_spec(MEMBER_VISITS)
+    pat = generate(spark, spec.table("members"), 3000, seed=42, as_of=AS_OF)
     assert pat.modified == frozenset()
-    claims = generate_table(spark, spec.table("claims"), 3000, parents={"patients": pat}, seed=42, as_of=AS_OF)
-    plan = claims._jdf.queryExecution().executedPlan().toString()
+    visits = generate_table(spark, spec.table("visits"), 3000, parents={"members": pat}, seed=42, as_of=AS_OF)
+    plan = visits._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan      # no join, no shuffle of rows
-    w = generate_table(spark, spec.table("claims"), 3000, parents={"patients": pat}, seed=42, as_of=AS_OF,
+    w = generate_table(spark, spec.table("visits"), 3000, parents={"members": pat}, seed=42, as_of=AS_OF,
                        rule_method="window")
-    assert claims.exceptAll(w).count() == 0 and w.exceptAll(claims).count() == 0
+    assert visits.exceptAll(w).count() == 0 and w.exceptAll(visits).count() == 0
     # the re-evaluated context equals the joined parent values
-    a = claims.select("patient_id").join(pat.df.select(F.col("id").alias("patient_id"), "age"), "patient_id")
+    a = visits.select("member_id").join(pat.df.select(F.col("id").alias("member_id"), "age"), "member_id")
     assert a.count() == 3000
 
 
@@ -126,13 +126,43 @@ def test_chain_with_joined_parent_falls_back_and_matches_windows(spark):
 
 
 def test_partition_chain_equals_windows_when_batched(spark):
-    spec = load_spec(HEALTHCARE)
+    spec = load_spec(MEMBER_VISITS)
     from rowsmith.operators.generate import generate
-    pat = generate(spark, spec.table("patients"), 60_000, seed=3, as_of=AS_OF)
-    a = generate_table(spark, spec.table("claims"), 130_000, parents={"patients": pat}, seed=3, as_of=AS_OF)
-    b = generate_table(spark, spec.table("claims"), 130_000, parents={"patients": pat}, seed=3, as_of=AS_OF,
+    pat = generate(spark, spec.table("members"), 60_000, seed=3, as_of=AS_OF)
+    a = generate_table(spark, spec.table("visits"), 130_000, parents={"members": pat}, seed=3, as_of=AS_OF)
+    b = generate_table(spark, spec.table("visits"), 130_000, parents={"members": pat}, seed=3, as_of=AS_OF,
                        rule_method="window")
     assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
     diff = a.alias("a").join(b.alias("b"), "id").agg(
         F.max(F.abs(F.col("a.cost") - F.col("b.cost"))), F.max(F.abs(F.col("a.length_of_stay") - F.col("b.length_of_stay")))).first()
     assert diff[0] <= 1e-4 and diff[1] == 0
+
+
+def test_batches_are_one_scope_at_every_size(spark):
+    t = TableSpec("ev", (FieldSpec("id", "integer"), FieldSpec("created_at", "timestamp")))
+    small, large = (generate_table(spark, t, n, seed=3, as_of=AS_OF, batch_rows=1000, keep_batch=True, rules=[]) for n in (2500, 200_000))
+    assert small.select("_batch").distinct().count() == 3 and large.select("_batch").distinct().count() == 200
+    assert small.where("id <= 2000").exceptAll(large).count() == 0
+
+
+def test_no_rows(spark):
+    spec = load_spec(MEMBER_VISITS)
+    assert generate_table(spark, spec.table("members"), 0, as_of=AS_OF).count() == 0
+
+
+def test_given_rows_and_parents_are_read(spark):
+    from rowsmith.plans import registry as R
+    df = R.q_gen_claims(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" in plan and "customer.parquet" in plan and "Range (" not in plan
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_unknown_provider_is_refused(spark):
+    with pytest.raises(ValueError):
+        generate_table(spark, TableSpec("x", (FieldSpec("id", "integer"), FieldSpec("c", faker="no_such"))), 3, as_of=AS_OF)
+    names = ("company", "street_address", "state", "job", "sentence", "currency_code")
+    t = TableSpec("x", (FieldSpec("id", "integer"), *[FieldSpec(n, faker=n) for n in names], FieldSpec("born", "date", faker="date_of_birth")))
+    rows = generate_table(spark, t, 200, seed=2, as_of=AS_OF, rules=[]).collect()
+    assert all(r[n] for r in rows for n in names) and len({r.company for r in rows}) > 50
+    assert all(18 <= (AS_OF.date() - r.born).days / 365.25 <= 91 for r in rows)

@@ -42,9 +42,9 @@ def test_masks(spark, duck):
 
 
 def test_pii_inventory(spark):
-    from rowsmith.plans.registry import HEALTHCARE
-    inv = {(r.table_name, r.column_name) for r in privacy.pii_inventory(spark, load_spec(HEALTHCARE)).collect()}
-    assert inv == {("patients", "patient_name"), ("patients", "email"), ("patients", "zip_code")}
+    from rowsmith.plans.registry import MEMBER_VISITS
+    inv = {(r.table_name, r.column_name) for r in privacy.pii_inventory(spark, load_spec(MEMBER_VISITS)).collect()}
+    assert inv == {("members", "member_name"), ("members", "email"), ("members", "zip_code")}
 
 
 def test_metrics_fold_nan_and_take_all_columns(spark):

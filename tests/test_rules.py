@@ -37,21 +37,59 @@ def test_no_rules_returns_input(spark):
 
 def test_default_rules_from_names():
     from rowsmith.spec import load_spec
-    spec = load_spec(R.HEALTHCARE)
-    rules = correlate.default_rules(spec.table("claims"))
+    visits = load_spec(R.MEMBER_VISITS).table("visits")
+    rules = correlate.default_rules(visits)
     assert correlate.Rule("readmission_risk_score", "cost", "num_num", 0.35) in rules
-    assert all(r.target not in ("id", "patient_id") for r in rules)
-    assert len(correlate.default_rules(spec.table("claims"), extra=[correlate.higher("x", "y")])) == len(rules)
+    assert all(r.target not in ("id", "member_id") for r in rules)
+    assert len(correlate.default_rules(visits, extra=[correlate.higher("x", "y")])) == len(rules)
 
 
-def test_zscore_global_uses_broadcast_one_row(spark):
+def test_no_rule_is_cut():
+    from rowsmith.spec import FieldSpec, TableSpec
+    wide = TableSpec("w", (*[FieldSpec(f"age_{i}", "integer") for i in range(15)], *[FieldSpec(f"cost_{i}", "float") for i in range(15)]))
+    own = correlate.higher("cost_1", "age_1")
+    rules = correlate.default_rules(wide, extra=[own])
+    assert len(rules) == 226 and rules[-1] == own
+
+
+def test_presets_fit_the_table():
+    from rowsmith.spec import FieldSpec, TableSpec
+    t = TableSpec("o", (FieldSpec("age", "integer"), FieldSpec("order_value", "float"), FieldSpec("amount", "float")))
+    assert correlate.preset_rules(t, "older_higher_value")[-1] == correlate.Rule("age", "order_value", "num_num", 0.50)
+    assert correlate.preset_rules(t, "fraud_amount") == correlate.default_rules(t)
+
+
+def test_whole_table_statistics_are_literals(spark):
     df = correlate.zscore(R.lineitem_keyed(spark, SF), "l_quantity")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Subquery" in plan and "Join" not in plan
+    assert "Join" not in plan and "Exchange" not in plan and "Subquery" not in plan
     r = df.agg(F.avg("l_quantity_z"), F.stddev_samp("l_quantity_z")).first()
     assert abs(r[0]) < 1e-9 and abs(r[1] - 1) < 1e-9
 
 
+def test_plan_grows_by_the_same_amount_per_rule(spark):
+    base = R.lineitem_keyed(spark, SF).withColumn("l_tax", F.when(F.col("l_returnflag") != "R", F.col("l_tax")))
+    rule = correlate.higher("l_quantity", "l_tax")
+    scans = []
+    for n in (1, 2, 4, 6):
+        out = correlate.apply_rules(base, [rule] * n, R.LINE_SPEC, None, 42, "_k", "portable", repair_order=False)
+        scans.append(out._jdf.queryExecution().analyzed().toString().count("Relation "))
+    assert scans == [1, 1, 1, 1]
+
+
+def test_whole_median_is_exact(spark, monkeypatch):
+    import random
+    import statistics
+    monkeypatch.setattr(correlate, "MEDIAN_ROWS", 50)
+    rnd = random.Random(4)
+    cases = [[rnd.gauss(0, 1) for _ in range(n)] for n in (1, 2, 51, 3000)]
+    cases += [[float(rnd.randrange(4)) for _ in range(2001)], [1.0] * 300 + [2.0] * 300, [1.0] * 299 + [5.0] * 301, [0.0] * 500 + [rnd.random() for _ in range(500)]]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        assert correlate.whole_median(df, "x") == statistics.median(values)
+    assert correlate.whole_median(spark.createDataFrame([], "x double"), "x") is None
+
+
 def test_whole_table_chain_with_checkpoints_matches(spark):
     base = R.lineitem_keyed(spark, SF).withColumn("is_large", F.lit(False))
     rules = R.chain_rules()
@@ -60,15 +98,3 @@ def test_whole_table_chain_with_checkpoints_matches(spark):
                                 checkpoint_every=2)
     cols = list(R.LINE_KEY) + ["l_extendedprice", "l_tax", "is_large"]
     assert plain.select(*cols).exceptAll(cut.select(*cols)).count() == 0
-
-
-def test_grouped_broadcast_stats_match_windows(spark):
-    df = R.lineitem_keyed(spark, SF).withColumn("_batch", correlate.hash_batches(F.col("_k"), 6000, 2000))
-    a = correlate.zscore(df, "l_quantity", by=("_batch",), out="z")
-    b = correlate.zscore(df, "l_quantity", by=("_batch",), out="z", groups=3)
-    assert "Window" in a._jdf.queryExecution().executedPlan().toString()
-    plan_b = b._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan_b and "Window" not in plan_b
-    ra = a.select("_k", F.round("z", 9).alias("z"))
-    rb = b.select("_k", F.round("z", 9).alias("z"))
-    assert ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from rowsmith.plans.registry import HEALTHCARE
+from rowsmith.plans.registry import MEMBER_VISITS
 from rowsmith.spec import load_spec
 from rowsmith.streaming import events as ev
 
@@ -66,7 +66,7 @@ def test_kafka_options():
 
 
 def test_stream_generate_rate_source(spark):
-    t = load_spec(HEALTHCARE).table("patients")
+    t = load_spec(MEMBER_VISITS).table("members")
     s = ev.stream_generate(spark, t, rows_per_second=200)
     q = s.writeStream.format("memory").queryName("gen_patients").outputMode("append").start()
     try:
