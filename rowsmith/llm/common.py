@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from rowsmith.session import scratch_path
 
 #: Bytes of one Arrow batch handed to Python (one longer row travels alone).
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 #: Bytes of text worked on at once inside a Python task (one longer text is worked on alone).
-TEXT_SLICE_BYTES = 4 << 20
+TEXT_SLICE_BYTES = 1 << 20
 
 
 def text_session(spark: SparkSession) -> None:
@@ -34,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts lineage and
-    fixes its rows, so lost executors recompute nothing before it."""
+    fixes its rows, so lost executors recompute nothing before it. ``narrow`` rows (a few
+    numbers each) are written by an eighth of the shuffle partitions, so that small tables do
+    not become as many small files."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, shuffle_partitions(spark) // 8))
     path = scratch_path(spark, name)
     w = df.write
     if partition_by:

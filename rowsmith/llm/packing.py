@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.llm.common import shuffle_partitions, slices, text_session
-from rowsmith.llm.tokens import crc_of, encoder, tokenizer_path
+from rowsmith.llm.tokens import SLICE_BYTES, crc_of, encoder, tokenizer_path
 
 END_ID = 2
 SEQUENCE = 4096
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
         enc = encoder(tokenizer, end_id)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE_BYTES):
                 ids, offsets = enc.encode(texts.slice(i, j - i))
                 size = np.diff(offsets)
                 n = -(-size // capacity)

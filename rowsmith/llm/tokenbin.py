@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm import pfor
 from rowsmith.llm.common import shuffle_partitions, slices, text_session
-from rowsmith.llm.tokens import crc_of, encoder, tokenizer_path
+from rowsmith.llm.tokens import SLICE_BYTES, crc_of, encoder, tokenizer_path
 from rowsmith.session import scratch_path
 
 END_ID = 2
@@ -59,7 +59,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE_BYTES):
                 ids, offsets = enc.encode(texts.slice(i, j - i))
                 for k, name in enumerate(names.slice(i, j - i).to_pylist()):
                     doc_ids.append(name)

@@ -25,7 +25,7 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 _CODE = _BYTE[_LOWER]
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes hashed at once; a window ends at a word's end.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
