@@ -21,21 +21,25 @@ def _star(edges: DataFrame, smaller: bool) -> DataFrame:
         out = j.select(F.col("b").alias("x"), "m").unionAll(j.select(F.col("a").alias("x"), "m"))
     else:
         out = j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("x"), "m")
-    return out.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    out = out.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+    return out.distinct() if smaller else out
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every node has one link and none leads to a node that leads on."""
+    twice = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    onward = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")
+    return twice.unionAll(onward).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b: long); a component is named by its
-    least node. Rounds go on until every node is linked to its component's least node; each is written
-    to the shared scratch folder, so a lost executor repeats one round at most."""
-    e = stored(edges.filter("a <> b").distinct(), "links")
-    signature = None
+    least node. Rounds go on until every node is linked to its component's least node only; each
+    is written to the shared scratch folder, so a lost executor repeats one round at most."""
+    e = stored(edges.filter("a <> b").distinct(), "links", narrow=True)
     while True:
-        e = stored(_star(_star(e, False), True), "links")
-        # no change: every edge leads to a root, and the edges stay what they were
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == signature or now[0] == 0:
+        e = stored(_star(_star(e, False), True), "links", narrow=True)
+        if _is_stars(e):
             break
-        signature = now
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return stored(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    return stored(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components", narrow=True)

@@ -9,10 +9,11 @@
    Pairs whose estimated similarity (corrected for register collisions) is not ``MARGIN`` below the
    threshold (five standard errors) are confirmed on full sets; links give components.
 4. Only buckets whose members lie in several components go on. Members are compared there by
-   registers in memory-bounded cells, across components and without emitting pairs; each class
-   puts forward its most similar unseen partners, 1, then 8, then all of them. They are confirmed, components
-   are joined, until no bucket puts forward a pair. So no linked pair that shares a band is lost
-   unless its ends are joined already, and a group of n copies costs about n confirmations.
+   registers in memory-bounded cells, across components and without emitting pairs: a first pass
+   keeps the members that have a possible partner, a second one gets their full sets and confirms
+   the possible pairs, most similar first, leaving out those that the cell has joined meanwhile. What
+   leaves a cell are links between components, fewer than its members. So no linked pair that shares a band
+   is lost unless its ends are joined already, and no group emits its pairs.
 
 Sets are recomputed for classes in candidate pairs only, found with a Bloom filter of their
 documents in the scan, so the other texts are never shuffled. Defined results: null text and
@@ -39,9 +40,7 @@ BAND_REGISTERS = hmh.REGISTERS // BANDS
 #: Five standard errors of the estimate at similarity 0.8: sqrt(0.8 * 0.2 / 128) * 5.
 MARGIN = 0.18
 #: Classes of one bucket compared in one task; larger buckets are cut into cells of two blocks.
-CELL = 1024
-#: Partners put forward by a class in a round (None: all).
-ROUNDS = (1, 8, None)
+CELL = 512
 
 
 @dataclass(frozen=True)
@@ -85,16 +84,18 @@ def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cls) of all buckets with several classes; buckets of equal members once."""
+    """(bucket, band, cls, least) of all buckets with several classes; of buckets with equal
+    members the one of the first band."""
     size = 2 * BAND_REGISTERS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * size + 1, size)) for b in range(BANDS)])
-    rows = classes.select("cls", F.explode(keys).alias("bucket"))
-    found = rows.groupBy("bucket").agg(
+    rows = classes.select("cls", F.posexplode(keys).alias("band", "bucket"))
+    found = rows.groupBy("bucket", "band").agg(
         F.count(F.lit(1)).alias("n"), F.min("cls").alias("least"),
         F.sum(F.xxhash64(F.lit(5), "cls").cast("decimal(20,0)")).alias("sum1"),
         F.bit_xor(F.xxhash64(F.lit(6), "cls")).alias("sum2")).filter("n > 1")
-    once = found.groupBy("n", "least", "sum1", "sum2").agg(F.min("bucket").alias("bucket"))
-    return stored(rows.join(once.select("bucket", "n", "least"), "bucket"), "buckets")
+    once = found.groupBy("n", "least", "sum1", "sum2").agg(F.min(F.struct("band", "bucket")).alias("first"))
+    once = once.select("first.bucket", "first.band", "least")
+    return stored(rows.join(once, ["bucket", "band"]), "buckets")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
@@ -116,6 +117,14 @@ def _estimated(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFr
     return j.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(look, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, limit: Threshold) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= limit.per_cent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs that are linked, by their full sets."""
     s = sets.select("cls", "members")
@@ -123,33 +132,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= limit.per_cent * (len(x) + len(y) - both))
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), limit)
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return j.mapInArrow(check, "a long, b long")
 
 
-def _crossing(buckets: DataFrame, classes: DataFrame, labels: DataFrame, limit: Threshold,
-              partners: int | None) -> DataFrame:
-    """Pairs across components that buckets put forward, each class with its most similar partners.
-
-    A bucket's members outside its least member's component are the minor ones. A large bucket
-    is cut into blocks, and cells hold two blocks, minor with major or minor with minor; so a bucket
-    that is nearly one component costs its size, whatever that is.
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (bucket, band, cls, comp) of buckets with several components, with the bucket's size,
+    its least component (major) and the number of members outside it (minors)."""
+    parts = members.groupBy("bucket", "band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    found = parts.groupBy("bucket", "band").agg(F.min(F.struct("comp", "n")).alias("least"), F.max("comp").alias("other"),
+                                        F.sum("n").alias("size")).filter("least.comp <> other")
+    found = found.select("bucket", "band", F.col("least.comp").alias("major"), "size", (F.col("size") - F.col("least.n")).alias("minors"))
+    return stored(members.select("bucket", "band", "cls", "comp").join(found, ["bucket", "band"]), "mixed-buckets", narrow=True)
+
+
+def _possible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, band: int, limit: Threshold):
+    """(row, column, estimate) of the pairs of a cell that may be linked, each once: other
+    components, sizes and estimate near enough, and ``band`` the first one that they share."""
+    out, step, least = [], max(1, (8 << 20) // max(1, regs.nbytes)), limit.per_cent / 100 - MARGIN
+    for a in range(0, len(n), step):
+        part = slice(a, a + step)
+        agree = (regs[part, None, :] == regs[None, :, :]).sum(axis=2, dtype=np.int32)
+        mine, other = np.broadcast_to(n[part, None], agree.shape), np.broadcast_to(n, agree.shape)
+        near = hmh.estimate(agree, mine, other)
+        row, col = np.nonzero((near >= least) & (comp[part, None] < comp[None, :])
+                              & limit.may_reach(np.minimum(mine, other), np.maximum(mine, other)))
+        same = (regs[row + a] == regs[col]).reshape(-1, BANDS, BAND_REGISTERS).all(axis=2)
+        first = same.argmax(axis=1) == band
+        out.append((row[first] + a, col[first], near[row, col][first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _crossing(mixed: DataFrame, classes: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b, comp_a, comp_b): links across components, enough to join all that the buckets link.
+
+    Members outside the bucket's major component are the minor ones. A large bucket is cut into
+    blocks, and cells hold two blocks, minor with major or minor with minor; so a bucket that is nearly
+    one component costs its size, whatever that is. A pair is looked at in the bucket of the
+    first band that it shares only.
     """
-    m = buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
-        "bucket", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    mixed = m.groupBy("bucket").agg(F.min("comp").alias("major"), F.max("comp").alias("other"),
-                                    F.count(F.lit(1)).alias("size")).filter("major <> other")
-    m = m.join(mixed.drop("other"), "bucket")
-    minors = m.filter("comp <> major").groupBy("bucket").agg(F.count(F.lit(1)).alias("minors"))
-    m = m.join(minors, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
+    m = mixed.withColumn("minor", F.col("comp") != F.col("major"))
     half = CELL // 2
     blocks = F.when(F.col("size") <= CELL, 1).otherwise(F.ceil(F.col("minors") / half)).cast("int")
     majors = F.when(F.col("size") <= CELL, 1).otherwise(
@@ -167,36 +192,60 @@ def _crossing(buckets: DataFrame, classes: DataFrame, labels: DataFrame, limit:
         F.array().cast("array<struct<i:int,j:int>>"))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     cells = F.when(F.col("size") <= CELL, one).otherwise(F.concat(with_major, with_minor))
-    rows = m.select("bucket", "cls", "comp", F.explode(cells).alias("cell"))
+    rows = m.select("bucket", "band", "cls", "comp", F.explode(cells).alias("cell"))
     rows = rows.join(classes.select("cls", "n_shingles", "regs"), "cls").select(
-        "bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "n_shingles", "regs")
-    least = limit.per_cent / 100 - MARGIN
-
-    def compare(t: pa.Table) -> pa.Table:
-        cls, comp, n = (t[k].to_numpy() for k in ("cls", "comp", "n_shingles"))
-        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS)
-        left, right, step = [], [], max(1, (8 << 20) // regs.nbytes)
-        for a in range(0, len(cls), step):
-            part = slice(a, a + step)
-            agree = (regs[part, None, :] == regs[None, :, :]).sum(axis=2, dtype=np.int32)
-            small = np.minimum(n[part, None], n[None, :])
-            near = hmh.estimate(agree, np.broadcast_to(n[part, None], agree.shape), np.broadcast_to(n, agree.shape))
-            near[(comp[part, None] == comp[None, :]) |
-                 ~limit.may_reach(small, np.maximum(n[part, None], n[None, :])) | (near < least)] = -1
-            if partners is not None and partners < near.shape[1]:
-                pick = np.argsort(-near, axis=1, kind="stable")[:, :partners]
-                row, col = np.repeat(np.arange(len(pick)), partners), pick.ravel()
-                good = near[row, col] >= 0
-                row, col = row[good], col[good]
-            else:
-                row, col = np.nonzero(near >= 0)
-            left.append(cls[part][row])
-            right.append(cls[col])
-        left, right = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        "bucket", "band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "n_shingles", "regs")
+    cell = ["bucket", "band", "i", "j"]
+
+    def arrays(t: pa.Table):
+        return (t["cls"].to_numpy(), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), t["band"][0].as_py(),
+                np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS))
+
+    def hopeful(t: pa.Table) -> pa.Table:
+        """The members that have a possible partner."""
+        _, comp, n, band, regs = arrays(t)
+        row, col, _ = _possible(regs, n, comp, band, limit)
+        return t.take(pa.array(np.unique(np.concatenate([row, col]))))
+
+    def links(t: pa.Table) -> pa.Table:
+        """Confirmed pairs that join components of the cell."""
+        cls, comp, n, band, regs = arrays(t)
+        full = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+        row, col, near = _possible(regs, n, comp, band, limit)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for k in np.lexsort((cls[col], cls[row], -near)).tolist():
+            a, b = int(row[k]), int(col[k])
+            x, y = find(int(comp[a])), find(int(comp[b]))
+            if x != y and _linked(full[a], full[b], limit):
+                root[max(x, y)] = min(x, y)
+                found.append((int(cls[a]), int(cls[b]), int(comp[a]), int(comp[b])))
+        columns = list(zip(*found)) or [[], [], [], []]
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("a", "b", "comp_a", "comp_b"), columns)})
+
+    some = rows.groupBy(*cell).applyInArrow(hopeful, rows.schema)
+    some = some.join(sets.select("cls", "members"), "cls")
+    return some.groupBy(*cell).applyInArrow(links, "a long, b long, comp_a long, comp_b long")
+
+
+def _all_labels(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Labels with the classes that had no link before."""
+    both = fresh.select(F.col("a").alias("node"), F.col("comp_a").alias("component")).unionAll(
+        fresh.select(F.col("b").alias("node"), F.col("comp_b").alias("component"))).distinct()
+    return labels.unionByName(both.join(labels.select("node"), "node", "left_anti"))
+
+
+def _renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows with their ``component`` under its new name."""
+    return rows.join(merged, rows["component"] == merged["old"], "left").withColumn(
+        "component", F.coalesce("new", "component")).drop("old", "new")
 
 
 def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
@@ -208,32 +257,24 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
     buckets = _buckets(classes)
 
     star = buckets.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    todo = stored(_estimated(star, classes, limit), "pairs")
+    todo = stored(_estimated(star, classes, limit), "pairs", narrow=True)
     # every class that any later round can pair has a partner in some bucket
-    sample = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select(
+    sample = classes.join(buckets.select("cls"), "cls", "left_semi").select(
         "cls", "set_id", F.xxhash64("sample.doc_id").alias("id_hash"))
-    sample = stored(sample, "candidates")
+    sample = stored(sample, "candidates", narrow=True)
     plane = bloom.member_plane(sample, "id_hash", sample.count())
     some = docs.select("doc_id", "text").filter(bloom.in_plane(plane, F.xxhash64(F.col("doc_id").cast("long")), docs))
     sets = stored(_sets(some, limit.width, True).join(sample.select("cls", "set_id"), "set_id")
                   .dropDuplicates(["cls"]).select("cls", "members"), "members")
 
-    seen = todo
-    links = stored(_confirmed(todo, sets, limit), "links-found")
+    links = _confirmed(todo, sets, limit)
     labels = components(links)
-    for partners in ROUNDS:
-        while True:
-            new = _crossing(buckets, classes, labels, limit, partners)
-            todo = stored(new.join(seen, ["a", "b"], "left_anti"), "pairs")
-            if todo.isEmpty():
-                break
-            seen = seen.unionByName(todo)
-            fresh = stored(_confirmed(todo, sets, limit), "links-found")
-            if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                labels = components(links)
-            elif partners is not None:
-                break           # go on to more partners a class
+    members = buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
+        "bucket", "band", "cls", F.coalesce("component", "cls").alias("comp"))
+    fresh = stored(_crossing(_mixed(members), classes, sets, limit), "links-found", narrow=True)
+    # components that the new links join, as old name -> new name
+    merged = components(fresh.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")))
+    labels = stored(_renamed(_all_labels(labels, fresh), merged.toDF("old", "new")), "components", narrow=True)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select(
         "set_id", "cls", F.coalesce("component", "cls").alias("comp"))
     return rows.drop("regs").join(named, "set_id", "left").withColumn(
@@ -243,7 +284,7 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
 def groups(docs: DataFrame, limit: Threshold = Threshold()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id of the component; its own for an
     empty set) and kept (doc_id = component_id)."""
-    rows = stored(_analyse(docs, limit), "near-rows")
+    rows = stored(_analyse(docs, limit), "near-rows", narrow=True)
     least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "comp", "left")
     named = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
