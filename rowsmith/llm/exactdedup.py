@@ -45,9 +45,10 @@ def annotate(docs: DataFrame) -> DataFrame:
             F.lit(True).alias("kept"), sha.alias("text_sha256"))
         again = stored(marked.filter("maybe").select("doc", sha.alias("text_sha256"),
                                                      F.monotonically_increasing_id().alias("row")), "dedup-repeated")
-        groups = again.groupBy("text_sha256").agg(
+        # written, so that both sides of the join are plain shuffles and AQE can split a hot text
+        groups = stored(again.groupBy("text_sha256").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max(F.struct(F.col("doc.doc_id").alias("doc_id"), "row")).alias("best"))
+            F.max(F.struct(F.col("doc.doc_id").alias("doc_id"), "row")).alias("best")), "dedup-groups")
         shared = again.join(groups, "text_sha256").select(
             "doc", F.col("best.doc_id").alias("keep_id"), "group_size",
             (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
