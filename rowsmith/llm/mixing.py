@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import documents, shuffle_partitions
+from rowsmith.llm.common import documents, shuffle_partitions, stored
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -38,10 +38,12 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    row = docs.select(F.struct("*").alias("doc"))
-    h = F.xxhash64(F.lit(SEED), F.col("doc.doc_id"), F.col("doc.text"))
-    return row.select("doc", F.col("doc.source").alias("src"), words(F.col("doc.text")).alias("size"),
+def _sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Every row as ``doc`` (a struct of all or the carried columns) with src, size and hash u."""
+    row = docs.select(F.struct("*").alias("all"))
+    doc = F.col("all") if carry is None else F.struct(*[F.col(f"all.{c}").alias(c) for c in carry])
+    h = F.xxhash64(F.lit(SEED), F.col("all.doc_id"), F.col("all.text"))
+    return row.select(doc.alias("doc"), F.col("all.source").alias("src"), words(F.col("all.text")).alias("size"),
                       (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias("u"))
 
 
@@ -96,11 +98,12 @@ def plan(sized: DataFrame) -> DataFrame:
     return e.groupBy(*of_source).agg(F.first("big.cut").alias("large_cut"), F.first("small.cut").alias("small_cut"))
 
 
-def assign(docs: DataFrame) -> DataFrame:
-    """Every row as ``doc`` (a struct of its columns) with size, source_size, target, taken and
-    the training positions (0 to 1) of its passes, none if it is left out."""
-    sized = _sized(docs)
-    p = plan(sized).withColumnRenamed("src", "plan_src")
+def assign(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Every row as ``doc`` (a struct of all or the carried columns) with size, source_size, target,
+    taken, its hash u and the training positions (0 to 1) of its passes, none if it is left out."""
+    sized = _sized(docs, carry)
+    # written, so that Spark knows the plan's size and broadcasts it only if it is small
+    p = stored(plan(sized), "mix-plan").withColumnRenamed("src", "plan_src")
     rows = sized.join(p, sized["src"].eqNullSafe(p["plan_src"]))
     cut = F.when(_large(F.col("size"), F.col("rest")), F.col("large_cut")).otherwise(F.col("small_cut"))
     copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("u") < cut).cast("long")).otherwise(F.lit(0))
@@ -115,7 +118,7 @@ def assign(docs: DataFrame) -> DataFrame:
     at = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(
         F.array().cast("array<double>"))
     return rows.select("doc", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
-                       at.alias("positions"))
+                       at.alias("positions"), "u")
 
 
 def mix(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -127,8 +130,9 @@ def mix(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: all documents with the words that the mix takes, in order of their first position."""
-    rows = assign(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    rows = rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "positions")
+    rows = assign(documents(spark, sf_dir), ["doc_id"])
     first = F.get("positions", F.lit(0))
-    return (rows.withColumn("first_position", first)
-                .repartitionByRange(shuffle_partitions(spark), "first_position").sortWithinPartitions("first_position"))
+    order = F.coalesce(first, 1 + F.col("u"))        # documents left out follow, spread by their hash
+    rows = (rows.withColumn("first_position", first).withColumn("order", order)
+                .repartitionByRange(shuffle_partitions(spark), "order").sortWithinPartitions("order"))
+    return rows.select("doc.doc_id", "size", "source_size", "target", "taken", "positions", "first_position")
