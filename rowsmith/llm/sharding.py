@@ -149,9 +149,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) ->
     before = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("virtual_slot", "cell", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = Window.partitionBy("virtual_slot", "cell").orderBy("doc_id", "text_crc32", "size")
-    # at most SLOTS * CELLS rows of four integers, whatever the input
+    # the ranked rows are already partitioned by cell: only the cells' offsets move for the join
     return (rows.withColumn("rank", F.row_number().over(rank) - 1)
-                .join(F.broadcast(placed), ["virtual_slot", "cell"])
+                .join(placed, ["virtual_slot", "cell"])
                 .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                         (F.col("base") + F.col("rank")).cast("long").alias("slot"),
                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))
