@@ -28,6 +28,15 @@ def odd_rows():
                    for i in range(60)]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Small tables: few shuffle partitions keep the many small jobs short."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
