@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +13,17 @@ from pyspark.sql import functions as F
 
 from rowsmith.session import scratch_path
 
+
+def _give_back_large_arrays() -> None:
+    """Let the C library return freed arrays of 256 kB and more to the system at once. Python
+    workers live on between stages; else each keeps the most that any task of it ever used."""
+    if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "mallopt"):
+        mmap_threshold = -3
+        ctypes.CDLL(None).mallopt(mmap_threshold, 256 << 10)
+
+
+_give_back_large_arrays()
+
 #: Bytes of one Arrow batch handed to Python (one longer row travels alone).
 ARROW_BATCH_BYTES = 4 << 20
 #: Bytes of text worked on at once inside a Python task (one longer text is worked on alone).

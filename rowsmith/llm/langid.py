@@ -30,7 +30,7 @@ PROFILE = 400
 UNKNOWN = "und"
 #: Score below which the pipeline rejects a document: it shares next to nothing with any profile.
 REJECT_BELOW = 0.05
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @functools.cache

@@ -23,9 +23,9 @@ from rowsmith.llm.common import gather_ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of memoised words and ids at which a worker starts its memo anew.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 #: Bytes of text encoded at once: larger slices repeat fewer distinct words.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words put into one call of the tokenizer.
 CALL_WORDS = 256
 
