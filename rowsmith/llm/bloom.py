@@ -84,15 +84,19 @@ def _planes(hashes: DataFrame, column: str, bits: int, wanted: str) -> np.ndarra
     return out.ravel()
 
 
+def lookup(plane: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether all bits of each hash are set in a packed plane."""
+    at = _places(hashes, len(plane) * 8)
+    return (plane[(at >> np.uint64(3)).astype(np.int64)]
+            >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def in_plane(plane: np.ndarray, column: Column, df: DataFrame) -> Column:
     """True where all bits of a hash are set; only the hash goes through Python."""
     shared = df.sparkSession.sparkContext.broadcast(plane)
-    bits = len(plane) * 8
 
     @F.pandas_udf("boolean")
     def look(h: pd.Series) -> pd.Series:
-        at = _places(h.to_numpy(), bits)
-        return pd.Series((shared.value[(at >> np.uint64(3)).astype(np.int64)]
-                          >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1))
+        return pd.Series(lookup(shared.value, h.to_numpy()))
 
     return look(column)

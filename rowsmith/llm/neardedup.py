@@ -58,13 +58,18 @@ def _text_key(col="text"):
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
-def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles, set_id (128 bits) and the registers, or the whole set."""
+def _sets(docs: DataFrame, width: int, full: bool, plane: np.ndarray | None = None) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, set_id (128 bits) and the registers, or the whole set;
+    with a filter plane only of rows whose doc_id is in it (looked up here, so that a task needs one
+    Python worker)."""
+    shared = None if plane is None else docs.sparkSession.sparkContext.broadcast(plane)
     text_session(docs.sparkSession)
     out = "doc_id long, text_key long, n_shingles long, set_id binary, " + ("members" if full else "regs") + " binary"
 
     def scan(batches):
         for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(bloom.lookup(shared.value, batch.column(3).to_numpy())))
             for i, j in slices(batch.column(2)):
                 values, edges = wordhash.shingles(*wordhash.words(batch.column(2).slice(i, j - i)), width)
                 n = np.diff(edges)
@@ -80,7 +85,8 @@ def _sets(docs: DataFrame, width: int, full: bool) -> DataFrame:
                     "n_shingles": pa.array(n, pa.int64()), "set_id": pa.array([x.tobytes() for x in ids], pa.binary()),
                     "members" if full else "regs": pa.array(last, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), _text_key(), "text").mapInArrow(scan, out)
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id, _text_key(), "text", F.xxhash64(doc_id)).mapInArrow(scan, out)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -263,8 +269,7 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
         "cls", "set_id", F.xxhash64("sample.doc_id").alias("id_hash"))
     sample = stored(sample, "candidates", narrow=True)
     plane = bloom.member_plane(sample, "id_hash", sample.count())
-    some = docs.select("doc_id", "text").filter(bloom.in_plane(plane, F.xxhash64(F.col("doc_id").cast("long")), docs))
-    sets = stored(_sets(some, limit.width, True).join(sample.select("cls", "set_id"), "set_id")
+    sets = stored(_sets(docs, limit.width, True, plane).join(sample.select("cls", "set_id"), "set_id")
                   .dropDuplicates(["cls"]).select("cls", "members"), "members")
 
     links = _confirmed(todo, sets, limit)
