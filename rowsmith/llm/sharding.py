@@ -1,13 +1,14 @@
 """Sharding over fixed virtual slots with a versioned slot-to-shard map (law: near-equal bytes).
 
 Records are hashed by their text into ``SLOTS`` slots, so equal texts share a slot and copies
-of a text lie in one shard. Bytes and rows are summed per slot and per cell (slot and one of
-``CELLS`` doc_id hashes): at most SLOTS * CELLS sums, a constant. The map starts with slots
-dealt in turn; rebalancing edits it by single moves from the fullest shard to the emptiest
-until no move helps, and every state is stored with its version. A slot heavier than a shard's
-share (a text that very many rows share) is cut into parts by doc_id, mapped one by one. Growing
-moves parts to the new shard only. A row's place in its shard is its cell's offset plus its
-rank in the cell, so ranking needs no task per shard.
+of a text lie in one shard. Bytes and rows are summed per slot and per cell (slot, part and one
+of ``CELLS`` doc_id hashes): a constant number of sums. The map starts with slots dealt in turn;
+rebalancing edits it by single moves from the fullest shard to the emptiest until no move helps,
+and every state is stored with its version. A slot heavier than a shard's share is cut into
+parts by another hash of the text, so copies still lie together; only a text that is itself
+heavier than a share (one that very many rows share) is cut by doc_id. Growing moves parts to the
+new shard only. A row's place in its shard is its cell's offset plus its rank in the cell, so
+ranking needs no task per shard.
 
 Defined results: null text has no bytes (size 1, crc32 of nothing); null doc_ids rank first; repeated
 rows take a place each; an empty table gives an empty result; other columns are not read.
@@ -32,10 +33,13 @@ SHARDS = 16
 
 @dataclass
 class SlotMap:
-    """Part sizes and their shards; ``history`` holds the moves of each version."""
+    """Part sizes and their shards; ``history`` holds the moves of each version. ``parts`` holds
+    the number of text parts of each cut slot, ``hot`` the hashes of the texts cut by doc_id:
+    the n-th one's parts start at n * CELLS, counted from 1."""
     sizes: dict[tuple[int, int], int]
     parts: dict[int, int]
     shards: int
+    hot: list[int] = field(default_factory=list)
     owner: dict[tuple[int, int], int] = field(default_factory=dict)
     history: list[list[tuple[int, int, int]]] = field(default_factory=list)
 
@@ -93,44 +97,64 @@ class SlotMap:
             heapq.heappush(heap, (load + part[0], i, own))
         self._apply(moves)
 
+    def _hot_text(self, part: int) -> int | None:
+        return self.hot[part // CELLS - 1] if part >= CELLS else None
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """The current state: slot, part, parts, shard."""
-        rows = [{"slot": s, "part": p, "parts": self.parts.get(s, 1), "shard": x}
+        """The current state: slot, part, parts, hot_text (of a part cut by doc_id), shard."""
+        rows = [{"slot": s, "part": p, "parts": self.parts.get(s, 1), "hot_text": self._hot_text(p), "shard": x}
                 for (s, p), x in sorted(self.owner.items())]
-        kind = "array<struct<slot:int,part:int,parts:int,shard:int>>"
+        kind = "array<struct<slot:int,part:int,parts:int,hot_text:bigint,shard:int>>"
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
     def store(self, spark: SparkSession, path: str) -> None:
-        """All versions: version, slot, part, shard it moved to. Any state is the last move of
-        each part up to a version."""
-        rows = [{"version": v, "slot": s, "part": p, "shard": x}
+        """All versions: version, slot, part, hot_text (of a part cut by doc_id), shard it moved
+        to. Any state is the last move of each part up to a version."""
+        rows = [{"version": v, "slot": s, "part": p, "hot_text": self._hot_text(p), "shard": x}
                 for v, moves in enumerate(self.history) for s, p, x in moves]
-        kind = "array<struct<version:int,slot:int,part:int,shard:int>>"
+        kind = "array<struct<version:int,slot:int,part:int,hot_text:bigint,shard:int>>"
         spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))).write.parquet(path)
 
 
 def records(docs: DataFrame, slots: int = SLOTS, cells: int = CELLS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot and cell of every row."""
+    """doc_id, size, text_crc32, text_hash, virtual_slot and cell of every row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(text).alias("text_hash"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"),
         F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(cells)).cast("int").alias("cell"))
 
 
-def build_map(cells: DataFrame, shards: int = SHARDS) -> SlotMap:
-    """Version 0 (dealt in turn) and version 1 (rebalanced) from the cells' sums. Collects one
-    row a slot, and the cells of the fewer than ``shards`` slots heavier than a share."""
+def cuts(rows: DataFrame, shards: int = SHARDS) -> tuple[list[int], list[int]]:
+    """The slots heavier than a shard's share and the hashes of the texts in them that are so
+    themselves: each fewer than ``shards``. Collects one row a slot besides."""
     slots = {r["virtual_slot"]: r["b"] for r in
-             cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("b")).collect()}
+             rows.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
     share = sum(slots.values()) / shards
     heavy = sorted(s for s, b in slots.items() if b > share)
-    sizes, parts = {(s, 0): b for s, b in slots.items() if b <= share}, {}
-    if heavy:
-        for r in cells.filter(F.col("virtual_slot").isin(heavy)).collect():
-            parts[r["virtual_slot"]] = CELLS
-            sizes[r["virtual_slot"], r["cell"]] = r["bytes"]
-    out = SlotMap(sizes, parts, shards)
+    if not heavy:
+        return [], []
+    texts = rows.filter(F.col("virtual_slot").isin(heavy)).groupBy("text_hash").agg(F.sum("size").alias("b"))
+    return heavy, sorted(r["text_hash"] for r in texts.filter(F.col("b") > share).collect())
+
+
+def with_parts(rows: DataFrame, heavy: list[int], hot: list[int]) -> DataFrame:
+    """Adds part: 0; in heavy slots a hash of the text; for hot texts their number and the cell."""
+    if not heavy:
+        return rows.withColumn("part", F.lit(0))
+    nth = F.array_position(F.array(*[F.lit(h).cast("long") for h in hot]).cast("array<long>"), F.col("text_hash"))
+    part = F.when(nth > 0, nth * CELLS + F.col("cell")) \
+            .when(F.col("virtual_slot").isin(heavy), F.pmod(F.xxhash64(F.lit(13), "text_hash"), F.lit(CELLS))) \
+            .otherwise(0)
+    return rows.withColumn("part", part.cast("int"))
+
+
+def build_map(cells: DataFrame, heavy: list[int], hot: list[int], shards: int = SHARDS) -> SlotMap:
+    """Version 0 (dealt in turn) and version 1 (rebalanced) from the cells' sums. Collects one
+    row a slot, and the parts of the heavy ones."""
+    sizes = {(r["virtual_slot"], r["part"]): r["b"] for r in
+             cells.groupBy("virtual_slot", "part").agg(F.sum("bytes").alias("b")).collect()}
+    out = SlotMap(sizes, {s: CELLS for s in heavy}, shards, hot)
     out.rebalance()
     return out
 
@@ -139,19 +163,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) ->
     """Every row's shard and place in it; the versioned map is stored under ``map_path``."""
     spark = docs.sparkSession
     rows = stored(records(docs), "shard-records")
-    cells = stored(rows.groupBy("virtual_slot", "cell").agg(
+    heavy, hot = cuts(rows, shards)
+    rows = with_parts(rows, heavy, hot)
+    cell = ["virtual_slot", "part", "cell"]
+    cells = stored(rows.groupBy(*cell).agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-cells")
-    slot_map = build_map(cells, shards)
+    slot_map = build_map(cells, heavy, hot, shards)
     slot_map.store(spark, map_path or scratch_path(spark, "slot-map"))
-    m = slot_map.frame(spark)
-    placed = cells.join(F.broadcast(m), (F.col("virtual_slot") == F.col("slot"))
-                        & (F.pmod("cell", "parts") == F.col("part")))
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("virtual_slot", "cell", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = Window.partitionBy("virtual_slot", "cell").orderBy("doc_id", "text_crc32", "size")
+    m = slot_map.frame(spark).select(F.col("slot").alias("virtual_slot"), "part", "shard")
+    placed = cells.join(F.broadcast(m), ["virtual_slot", "part"])
+    before = Window.partitionBy("shard").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(*cell, "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = Window.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size")
     # the ranked rows are already partitioned by cell: only the cells' offsets move for the join
     return (rows.withColumn("rank", F.row_number().over(rank) - 1)
-                .join(placed, ["virtual_slot", "cell"])
+                .join(placed, cell)
                 .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                         (F.col("base") + F.col("rank")).cast("long").alias("slot"),
                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))

@@ -45,6 +45,22 @@ def test_a_hot_text_is_cut_into_parts(spark):
     assert max(load.values()) < 1.1 * min(load.values())
 
 
+def test_copies_in_a_hot_texts_slot_stay_together(spark):
+    """Only the hot text itself is cut: the copies of another text in its slot share a shard."""
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(sharding.SLOTS))
+    names = spark.range(40000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("t")).filter(
+        slot(F.col("t")) == slot(F.lit("hot " * 50)))
+    names = sorted(r["t"] for r in names.collect())
+    assert len(names) > 2
+    rows = [(i, "hot " * 50) for i in range(1500)] + [(i, f"text {i}" + "y" * 190) for i in range(1500, 3000)]
+    rows += [(3000 + i, names[i % len(names)]) for i in range(40 * len(names))]
+    place = defaultdict(set)
+    for r in _data(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"))):
+        place[r["text_crc32"]].add(r["shard"])
+    assert all(len(place[zlib.crc32(t.encode())]) == 1 for t in names)
+    assert len(place[zlib.crc32(("hot " * 50).encode())]) == 16
+
+
 def test_growing_moves_parts_to_the_new_shard_only():
     sizes = {(s, 0): 100 + s * s % 997 for s in range(sharding.SLOTS)}
     m = sharding.SlotMap(sizes, {}, 16)
