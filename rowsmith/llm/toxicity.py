@@ -10,8 +10,8 @@ of doc_id; the class prior is the share of toxic labels over all training labels
 of letters, without case) and their beginnings of ``PREFIXES`` bytes; those seen in at least ``LEAST`` positives
 and ``LEAST_SHARE`` of them whose document frequencies differ by ``SIGNIFICANT`` standard errors are ranked by that, and
 the ``VOCABULARY`` best are kept. ``MODELS`` classifiers learn in parallel tasks from different draws of the sample; a score
-is the logistic function of their mean, moved so that 0.5 lies in the widest gap of the unlabelled sample's
-outputs near the class prior.
+is the logistic function of their mean, moved so that 0.5 lies in the widest gap near the class prior of
+the outputs of all training documents, whose histogram of at most ``BINS`` bins Spark counts.
 
 Defined results: null and empty texts have the score of a text without known words; a doc_id
 labelled both ways is toxic; null labels are none; without positives or other texts every
@@ -39,8 +39,13 @@ PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's document frequencies must differ.
 SIGNIFICANT = 5.0
 MODELS = 3
-#: Shares of the class prior between which the rank of the last toxic document is looked for.
+#: Shares of the class prior between which the rank of the last toxic document is looked for, at least;
+#: and the standard errors of the prior by which it may lie elsewhere.
 NEAR_PRIOR = (0.8, 1.05)
+ERRORS = 2.0
+#: Bins of the outputs above 0, and bins to a unit of output (the last bin takes all beyond).
+BINS = 16384
+BINS_PER_UNIT = 256
 STEPS = 400
 BATCH = 1024
 RATE = 0.03
@@ -71,15 +76,15 @@ def _known(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // len(vocabulary), key % len(vocabulary)
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc_id, positive) of the bounded training sample, and the class prior."""
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, int]:
+    """(doc_id, positive) of the bounded training sample, the class prior and the labels it is from."""
     spread = F.xxhash64(F.lit(SEED), "doc_id")
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+    prior, n = known.agg(F.avg((F.col("toxic") == 1).cast("double")), F.count(F.lit(1))).first()
     toxic = known.filter("toxic = 1").select("doc_id").orderBy(spread, "doc_id").limit(POSITIVES)
     other = docs.select("doc_id").distinct().orderBy(spread, "doc_id").limit(UNLABELLED)
     return stored(toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False))),
-                  "toxic-sample"), prior
+                  "toxic-sample"), prior or 0.0, n
 
 
 def _selected(found: DataFrame) -> np.ndarray:
@@ -150,7 +155,7 @@ def _train(rows: list[np.ndarray], positive: np.ndarray, features: int, prior: f
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both training rows only."""
     text_session(docs.sparkSession)
-    sample, prior = _sample(docs, labels)
+    sample, prior, labelled = _sample(docs, labels)
 
     def scan(batches):
         for batch in batches:
@@ -192,31 +197,53 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .applyInArrow(train, "model int, w array<double>").collect()      # MODELS rows of VOCABULARY numbers
     w = np.mean([r["w"] for r in sorted(trained, key=lambda r: r["model"])], axis=0)
 
-    def apply(batches):
-        for batch in batches:
-            out = []
-            for x in batch.column(0).to_pylist():
-                x = np.frombuffer(x, np.uint64)
-                at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
-                out.append(float(w[at[vocabulary[at] == x]].sum()))
-            yield pa.RecordBatch.from_pydict({"f": pa.array(out, pa.float64())})
+    model = Model(vocabulary, w[:-1], 0.0)
+    return Model(vocabulary, w[:-1], -_boundary(*_histogram(docs, model), prior, labelled))
+
+
+def _outputs(texts: pa.Array, model: Model) -> np.ndarray:
+    out = np.full(len(texts), model.bias)
+    for i, j in slices(texts):
+        if len(model.words):
+            row, at = _known(texts.slice(i, j - i), model.words)
+            out[i:j] += np.bincount(row, model.weights[at], minlength=j - i)
+    return out
+
+
+def _histogram(docs: DataFrame, model: Model) -> tuple[np.ndarray, int]:
+    """(documents, least, greatest output) of each bin of all documents' outputs above 0, the
+    highest bin first, and the number of all documents. Collects at most ``BINS`` rows."""
+
+    @F.pandas_udf("double")
+    def output(texts):
+        import pandas as pd
+        return pd.Series(_outputs(pa.array(texts, pa.string(), from_pandas=True), model))
 
-    outputs = found.filter("not positive").select("words").mapInArrow(apply, "f double").collect()   # UNLABELLED numbers
-    return Model(vocabulary, w[:-1], -_boundary(np.array([r["f"] for r in outputs]), prior))
+    at = F.when(F.col("f") > 0, F.least(F.floor(F.col("f") * BINS_PER_UNIT), F.lit(BINS - 1))).otherwise(-1)
+    bins = docs.select(output("text").alias("f")).groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("f").alias("least"), F.max("f").alias("greatest")).collect()
+    above = sorted((r for r in bins if r["bin"] >= 0), key=lambda r: -r["bin"])
+    return np.array([(r["n"], r["least"], r["greatest"]) for r in above]).reshape(-1, 3), sum(r["n"] for r in bins)
 
 
-def _boundary(outputs: np.ndarray, prior: float) -> float:
-    """Output at which a document counts as toxic: the middle of the widest gap between the outputs of the
-    unlabelled sample around the rank that the class prior gives to the last toxic one, above what a
-    document without evidence gets."""
-    best = np.maximum(np.sort(outputs)[::-1], 0)       # 0: nothing speaks for it
-    found = int((best > 0).sum())
-    if not found:
+def _boundary(bins: np.ndarray, total: int, prior: float, labelled: int) -> float:
+    """Output at which a document counts as toxic: the middle of the widest gap between the bins of all
+    outputs around the rank that the class prior gives to the last toxic one, above what a document without
+    evidence gets. Where no bin is empty there, the lower end of the one with the fewest documents."""
+    if not len(bins):
         return 1.0
-    lo, hi = (min(max(int(round(len(best) * prior * x)), 1), found) for x in NEAR_PRIOR)
-    below = np.append(best, 0.0)[lo:hi + 1]
-    k = int((best[lo - 1:hi] - below).argmax())
-    return float(best[lo - 1 + k] + below[k]) / 2
+    n, least, below = bins[:, 0], bins[:, 1], np.append(bins[1:, 2], 0.0)
+    reached = np.cumsum(n).astype(np.int64)
+    # labels of all documents leave the prior no error
+    error = ERRORS * np.sqrt((1 - prior) / max(prior * labelled, 1) * max(0.0, 1 - labelled / total))
+    near = min(NEAR_PRIOR[0], 1 - error), max(NEAR_PRIOR[1], 1 + error)
+    lo, hi = (min(max(int(round(total * prior * x)), 1), reached[-1]) for x in near)
+    inside = np.flatnonzero((reached >= lo) & (reached <= hi))
+    if not len(inside):               # all in one bin, which is not cut
+        inside = np.array([np.searchsorted(reached, lo)])
+    gap = (least - below)[inside]
+    k = inside[gap.argmax() if gap.max() >= 1 / BINS_PER_UNIT else n[inside].argmin()]
+    return float(least[k] + below[k]) / 2
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -226,13 +253,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def judge(texts):
         import pandas as pd
-        arr = pa.array(texts, pa.string(), from_pandas=True)
-        out = np.full(len(arr), model.bias)
-        for i, j in slices(arr):
-            if len(model.words):
-                row, at = _known(arr.slice(i, j - i), model.words)
-                out[i:j] += np.bincount(row, model.weights[at], minlength=j - i)
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))) if len(model.words) else np.zeros(len(arr)))
+        out = _outputs(pa.array(texts, pa.string(), from_pandas=True), model)
+        return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))) if len(model.words) else np.zeros(len(out)))
 
     return docs.select(F.struct("*").alias("doc")).withColumn("score", judge(F.col("doc.text")))
 

@@ -68,6 +68,34 @@ def test_toxicity_accuracy_on_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_toxicity_boundary_is_set_from_all_documents(spark, monkeypatch):
+    """At a prior of 1 % the unlabelled sample holds 24 of 40 toxic documents instead of about 10."""
+    monkeypatch.setattr(toxicity, "UNLABELLED", 1000)
+    order = [r["id"] for r in spark.range(4000).orderBy(F.xxhash64(F.lit(toxicity.SEED), "id"), "id").collect()]
+    toxic = set(order[:24] + order[1000:1016])
+    rnd = np.random.default_rng(5)
+    plain = ["river", "stone", "house", "cloud", "garden", "paper", "window", "bread"]
+    vile = ["scum", "vermin", "moron", "filth", "idiot", "trash"]
+    rows = [(i, " ".join([*rnd.choice(plain, 12), *(rnd.choice(vile, rnd.integers(2, 6), replace=False) if i in toxic else [])]))
+            for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(4000)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).filter("score >= 0.5").select("doc.doc_id").collect()
+    assert {r["doc_id"] for r in out} == toxic
+
+
+def test_boundary_in_the_widest_gap_near_the_prior():
+    bins = np.array([[50, 9.0, 9.5], [30, 5.0, 8.0], [25, 4.5, 4.75], [400, 0.5, 1.0]])
+    assert toxicity._boundary(bins, 1000, 0.1, 1000) == (4.5 + 1.0) / 2
+    assert toxicity._boundary(bins, 1000, 0.05, 1000) == (9.0 + 8.0) / 2
+    assert toxicity._boundary(bins, 1000, 0.08, 1000) == (5.0 + 4.75) / 2
+    assert toxicity._boundary(bins, 1000, 0.08, 100) == (4.5 + 1.0) / 2     # few labels: a wider window
+    assert toxicity._boundary(bins, 1000, 0.2, 1000) == 0.25
+    assert toxicity._boundary(bins[:0], 1000, 0.1, 1000) == 1.0
+    full = np.array([[50, 2.0, 2.003], [30, 1.997, 1.999], [2, 1.993, 1.996], [40, 1.989, 1.992]])
+    assert toxicity._boundary(full, 1000, 0.08, 1000) == (1.993 + 1.992) / 2
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(100, 160)] + [(101, 0), (7, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
