@@ -64,6 +64,18 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, narr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_repeat(docs: DataFrame, most: int) -> DataFrame:
+    """Adds repeat: a number of the row's own where more than ``most`` rows share its doc_id (or
+    have none), else null, which hashes leave out: only often repeated rows depend on the layout."""
+    often = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+                       .select(F.col("doc_id").alias("often"), F.lit(True).alias("repeated")), "repeated-ids", narrow=True)
+    if often.isEmpty():
+        return docs.withColumn("repeat", F.lit(None).cast("long"))
+    rows = docs.withColumn("repeat", F.monotonically_increasing_id())
+    return rows.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left").select(
+        *docs.columns, F.when(F.col("repeated"), F.col("repeat")).alias("repeat"))
+
+
 def id_crc(col: Column) -> Column:
     """crc32 of an id's decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

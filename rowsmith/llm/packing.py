@@ -2,8 +2,8 @@
 
 Documents become token ids (whole texts, end id behind). A document longer than a sequence
 is cut: its full-length pieces are sequences of their own, only the rest is packed. Pieces
-are dealt at random, by a seeded hash, to groups of about ``GROUP_DOCS`` documents; inside a
-group first-fit decreasing puts each piece, longest first, into the first sequence with room,
+are dealt at random, by a seeded hash, to groups of about ``GROUP_DOCS`` documents (rows whose
+doc_id more rows than that share are dealt by a row number, too, so copies spread); inside a group first-fit decreasing puts each piece, longest first, into the first sequence with room,
 found by descending a tournament tree over the sequences' free room in O(log n). Groups are
 independent, so the work spreads over the cluster and a group's memory is bounded.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import shuffle_partitions, slices, text_session
+from rowsmith.llm.common import shuffle_partitions, slices, text_session, with_repeat
 from rowsmith.llm.tokens import SLICE_BYTES, crc_of, encoder, tokenizer_path
 
 END_ID = 2
@@ -32,11 +32,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE,
-           with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document; pieces are at most ``capacity`` ids long."""
+           with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece of every document; pieces are at most ``capacity`` ids long. ``carried``
+    names columns of type long that pieces keep."""
     text_session(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path()
-    schema = PIECES + (", ids array<int>" if with_ids else "")
+    schema = PIECES + "".join(f", {c} long" for c in carried) + (", ids array<int>" if with_ids else "")
 
     def cut(batches):
         enc = encoder(tokenizer, end_id)
@@ -56,12 +57,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                     "length": pa.array(length, pa.int64()),
                     "ids_crc32": pa.array([crc_of(ids[a:a + k]) for a, k in zip(at, length)], pa.int64()),
                     "doc_tokens": pa.array(size[doc], pa.int64())}
+                for k, c in enumerate(carried, 2):
+                    cols[c] = batch.column(k).slice(i, j - i).take(pa.array(doc))
                 if with_ids:     # the pieces of a slice lie one behind the other
                     cols["ids"] = pa.ListArray.from_arrays(
                         pa.array(np.concatenate([at, offsets[-1:]]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(cut, schema)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +102,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
     Sequence ids are unique over all groups: group number times 2**32 plus the group's."""
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer, end_id, capacity, with_ids)
+    numbered = with_repeat(docs.select("doc_id", "text"), group_docs)
+    cut = pieces(numbered, tokenizer, end_id, capacity, with_ids, ("repeat",))
     grouped = cut.withColumn("pack_group", F.pmod(
-        F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+        F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "repeat"), F.lit(groups))).drop("repeat")
     schema = grouped.schema.add("sequence_id", "long").add("offset", "long")
 
     def place(t: pa.Table) -> pa.Table:

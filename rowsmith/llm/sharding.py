@@ -23,12 +23,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import documents, stored
+from rowsmith.llm.common import documents, stored, with_repeat
 from rowsmith.session import scratch_path
 
 SLOTS = 4096
 CELLS = 64
 SHARDS = 16
+#: Rows that may share a doc_id before a row number, too, spreads them over cells.
+REPEATS = 8192
 
 
 @dataclass
@@ -119,10 +121,11 @@ class SlotMap:
 def records(docs: DataFrame, slots: int = SLOTS, cells: int = CELLS) -> DataFrame:
     """doc_id, size, text_crc32, text_hash, virtual_slot and cell of every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(cells)).cast("int").alias("cell"))
+        F.xxhash64(text).alias("text_hash"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"))
+    cell = F.pmod(F.xxhash64(F.lit(11), "doc_id", "repeat"), F.lit(cells)).cast("int")
+    return with_repeat(rows, REPEATS).withColumn("cell", cell).drop("repeat")
 
 
 def cuts(rows: DataFrame, shards: int = SHARDS) -> tuple[list[int], list[int]]:

@@ -61,6 +61,19 @@ def test_copies_in_a_hot_texts_slot_stay_together(spark):
     assert len(place[zlib.crc32(("hot " * 50).encode())]) == 16
 
 
+def test_a_hot_text_without_ids_is_cut_too(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 100)
+    docs = spark.range(3000).select(F.when(F.col("id") >= 1500, F.col("id")).alias("doc_id"), F.when(
+        F.col("id") < 1500, "hot " * 50).otherwise(
+        F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("y" * 190))).alias("text"))
+    by = defaultdict(list)
+    for r in _data(sharding.shard(docs)):
+        by[r["shard"]].append((r["slot"], r["size"]))
+    load = [sum(s for _, s in x) for x in by.values()]
+    assert max(load) < 1.1 * min(load) and len(load) == 16
+    assert all(sorted(p for p, _ in x) == list(range(len(x))) for x in by.values())
+
+
 def test_growing_moves_parts_to_the_new_shard_only():
     sizes = {(s, 0): 100 + s * s % 997 for s in range(sharding.SLOTS)}
     m = sharding.SlotMap(sizes, {}, 16)

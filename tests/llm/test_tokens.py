@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from llm.conftest import texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowsmith.llm import packing, pfor, tokenbin, tokens
@@ -91,6 +92,15 @@ def test_pieces_cover_documents_and_sequences_have_no_gaps(odd):
         assert at <= 256
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") >= 2000, F.when(F.col("id") < 4000, 7).otherwise(F.col("id"))).alias("doc_id"),
+                                    F.when(F.col("id") < 4000, "same text").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = packing.pack(docs, group_docs=200).collect()
+    ids = Counter(r["doc_id"] for r in rows)
+    assert len(rows) == 6000 and ids[None] == ids[7] == 2000
+    assert max(Counter(r["sequence_id"] >> 32 for r in rows).values()) < 300
+
+
 def test_tree_equals_plain_first_fit():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 300):
