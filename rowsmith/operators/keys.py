@@ -1,9 +1,12 @@
 """Key operators: dense row index, foreign-key sampling and parent attachment.
 
-``dense_index`` gives each row the 1-based rank of its (unique) key without a
-global window: range-partition on the key, sort inside partitions, number rows
-per partition, and add the partition's offset from a per-partition count table.
-That table has one row per partition, so broadcasting it is bounded by the
+``dense_index`` gives each row the 1-based rank of its key without a global window:
+range-partition on the key, sort inside partitions, and *write* each row with its
+partition number and position to the shared scratch folder. Per-partition counts, their
+running sums and the index are all computed from those written rows, so they describe one
+and the same layout whatever bounds Spark sampled for it (range bounds are sampled anew
+each time a plan is run, so two evaluations of one range partitioning need not agree).
+The table of running sums has one row per partition; broadcasting it is bounded by the
 partition count, not by the data.
 """
 
@@ -12,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowsmith.functions import rng
+from rowsmith.session import written
 
 POS_MASK = (1 << 33) - 1   # monotonically_increasing_id keeps the row position in the low 33 bits
 
@@ -21,19 +25,18 @@ def dense_index(df: DataFrame, key: str, index_col: str = "_idx",
     """Return (``df`` + 1-based ``index_col`` ordered by ``key``, one-row frame ``_n``
     with the row count, usable as a scalar subquery).
 
-    ``key`` should be unique; ties get an arbitrary but stable order within a partition.
-    Range boundaries come from a seeded sample, so a recomputed partition gets the
-    same index."""
+    Runs one job, which writes ``df``'s columns in key order. NULL keys come first; rows
+    with equal keys get neighbouring indexes in an order that the written table fixes."""
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, F.col(key))
-                .sortWithinPartitions(key)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POS_MASK))))
+    ranged = written(df.repartitionByRange(n_parts, F.col(key))
+                       .sortWithinPartitions(key)
+                       .withColumn("_pid", F.spark_partition_id())
+                       .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POS_MASK))), "ranked")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # a global window, but over one row per partition (bounded by the partition count)
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    total = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).cast("long").alias("_n"))
+    total = ranged.agg(F.count(F.lit(1)).alias("_n"))
     indexed = (ranged.join(F.broadcast(offsets), "_pid")
                      .withColumn(index_col, (F.col("_off") + F.col("_pos") + F.lit(1)).cast("long"))
                      .drop("_pid", "_pos", "_off"))
@@ -57,7 +60,7 @@ def sample_foreign_key(child: DataFrame, parent: DataFrame, fk: str, ref: str, i
     draws spread the child evenly over parent keys, so the join is not skewed."""
     prefix = prefix or fk
     keep = [ref] + [c for c in context if c != ref]
-    indexed, total = dense_index(parent.select(*keep), ref, "_pidx_key")
+    indexed, total = dense_index(parent.select(*keep).where(F.col(ref).isNotNull()), ref, "_pidx_key")
     u = rng.uniform(F.col(id_col), seed, table, fk + "#fk", 0, mode)
     drawn = child.withColumn("_pidx", sample_index(total.select("_n").scalar(), u))
     right = indexed.select(F.col("_pidx_key").alias("_pidx"), F.col(ref).alias(fk),

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # HotSpot does not JIT-compile methods above 8,000 bytes of bytecode. A whole-stage
@@ -78,6 +78,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/rowsmith-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back: its rows are fixed, and
+    lost executors recompute nothing that came before it."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give every executor this package, so Python tasks work from any directory."""
     sc = spark.sparkContext
