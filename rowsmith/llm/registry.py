@@ -8,6 +8,7 @@ from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
 from rowsmith.llm.packing import q_packing
+from rowsmith.llm.periodicruns import q_periodic_runs
 from rowsmith.llm.pii import q_personal_data
 from rowsmith.llm.sharding import q_sharding
 from rowsmith.llm.tokenbin import q_token_ids
@@ -24,6 +25,7 @@ LLM_QUERIES = {
     "op8_bloom_dedup": exactdedup.q_exact_dedup,
     "op9_hyperminhash_dedup": q_near_duplicates,
     "op10_pivot_top_k": topk.q_top_k,
+    "op11_periodic_runs": q_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
