@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowsmith.llm import exactdedup, topk
+from rowsmith.llm import decontaminate, exactdedup, topk
 from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
@@ -26,11 +26,13 @@ LLM_QUERIES = {
     "op9_hyperminhash_dedup": q_near_duplicates,
     "op10_pivot_top_k": topk.q_top_k,
     "op11_periodic_runs": q_periodic_runs,
+    "op12_ngram_decontamination": decontaminate.q_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
 
 LLM_SQL: dict[str, str | None] = {
     "op8_bloom_dedup": exactdedup.SQL,
     "op10_pivot_top_k": topk.SQL,
+    "op12_ngram_decontamination": decontaminate.SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
