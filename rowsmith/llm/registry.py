@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowsmith.llm import decontaminate, exactdedup, topk
+from rowsmith.llm import decontaminate, divergence, exactdedup, topk
 from rowsmith.llm.langid import q_language
 from rowsmith.llm.mixing import q_mixing
 from rowsmith.llm.neardedup import q_near_duplicates
@@ -27,6 +27,7 @@ LLM_QUERIES = {
     "op10_pivot_top_k": topk.q_top_k,
     "op11_periodic_runs": q_periodic_runs,
     "op12_ngram_decontamination": decontaminate.q_decontaminate,
+    "op13_run_length_divergence": divergence.q_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,5 +35,6 @@ LLM_SQL: dict[str, str | None] = {
     "op8_bloom_dedup": exactdedup.SQL,
     "op10_pivot_top_k": topk.SQL,
     "op12_ngram_decontamination": decontaminate.SQL,
+    "op13_run_length_divergence": divergence.SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
