@@ -43,8 +43,11 @@ TOP = 200
 #: Shares are in parts of SCALE = HIGH * LOW; two factors keep products within 64 bits.
 HIGH, LOW = 31_250, 32_000
 SCALE = HIGH * LOW
-#: Counts of a cell, about, and bytes of text counted at once.
+#: Counts of a cell, about.
 CELL = 1 << 20
+#: Counts in a range key.
+LEADING = 4
+#: Bytes of text counted at once.
 SLICE = 4 << 20
 SEPARATOR = wordlist.separators(string.ascii_letters)
 
@@ -130,8 +133,10 @@ def run_length_rows(kept: DataFrame) -> DataFrame:
     runs = stored(kept.groupBy("lang", "counts").agg(F.count(F.lit(1)).alias("m")), "divergence-runs")
     entries = runs.agg(F.sum(F.size("counts"))).first()[0] or 0
     n = max(shuffle_partitions(kept.sparkSession), -(-entries // CELL))
-    return stored(runs.repartitionByRange(n, "lang", "counts").sortWithinPartitions("lang", "counts")
-                      .withColumn("cell", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "divergence-cells")
+    # Spark samples range keys on the driver: a few counts and a hash keep a key small however many sources there are
+    rows = runs.repartitionByRange(n, "lang", F.slice("counts", 1, LEADING), F.xxhash64("counts"))
+    return stored(rows.sortWithinPartitions("lang", "counts").withColumn("cell", F.spark_partition_id())
+                      .withColumn("place", F.monotonically_increasing_id()), "divergence-cells")
 
 
 def _column(place: np.ndarray, count: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
