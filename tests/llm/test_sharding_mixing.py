@@ -1,10 +1,13 @@
 """Sharding, mixing and exact duplicates on odd rows, against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -165,6 +168,79 @@ def test_inverted_integral(spark):
             assert abs(t * (1 + ramp) - ramp * t * t - min(1, (i + r["u"]) / all_)) < 0.06
 
 
+def _demand(rows, hashes):
+    """(row, pass) -> share of its source's given words that come before it, by sorting and adding up."""
+    out = {}
+    for src in {r["doc"]["source"] for r in rows}:
+        own = sorted((r for r in rows if r["doc"]["source"] == src and r["size"]), key=lambda r: hashes[r["doc"]["doc_id"]])
+        passes = math.floor(own[0]["target"] / own[0]["source_size"]) if own else 0
+        given = sum(r["taken"] for r in own)
+        at = 0
+        for i in range(passes + 1):
+            for r in own:
+                if len(r["positions"]) > i:
+                    out[r["doc"]["doc_id"], i] = at / given
+                    at += r["size"]
+        assert at == given
+    return out
+
+
+@pytest.mark.parametrize("sizes", ["one huge", "pareto", "equal"])
+def test_positions_invert_cumulative_words(spark, sizes):
+    """Positions against brute-force word sums, with sizes far from equal."""
+    rnd = random.Random(7)
+    size = {"one huge": lambda i: 5000 if i == 17 else 5, "pareto": lambda i: int(rnd.paretovariate(0.8)) % 3000 + 1,
+            "equal": lambda i: 3}[sizes]
+    docs = spark.createDataFrame([(i, "w " * size(i), "abbc"[i % 4]) for i in range(3000)], "doc_id long, text string, source string")
+    hashes = {r["doc"]["doc_id"]: r["hash"] for r in mixing._sized(docs).collect()}
+    rows = mixing.assign(docs).collect()
+    want = _demand(rows, hashes)
+    off, n = 0, 0
+    for r in rows:
+        ramp = mixing.RAMP if r["doc"]["source"] in "ac" else -mixing.RAMP
+        assert r["positions"] == sorted(r["positions"])
+        for i, t in enumerate(r["positions"]):
+            off = max(off, abs(t * (1 + ramp) - ramp * t * t - want[r["doc"]["doc_id"], i]))
+            n += 1
+    assert n == len(want) and off < 0.004
+
+
+def test_many_sources_without_one_task(spark, monkeypatch):
+    """Targets with more levels than the driver takes equal plain water-filling."""
+    rnd = random.Random(3)
+    sizes = {(f"http://site{i}/é" if i else None): rnd.choice([0, 1, 7, rnd.randint(1, 10_000)]) for i in range(400)}
+    monkeypatch.setattr(mixing, "LEVELS", 5)
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "src string, source_size long")).collect()
+    want = _targets(sizes)
+    assert len(got) == 400
+    assert all(abs(r["target"] - want[r["name"]]) < 1e-6 * max(1, want[r["name"]]) for r in got)
+    assert abs(sum(r["target"] for r in got) - sum(sizes.values())) < 1e-3
+
+
+def test_equal_rows_beyond_a_number_spread(spark, monkeypatch):
+    """Rows without an id and with one text get positions of their own, so they fill many partitions."""
+    monkeypatch.setattr(mixing, "REPEATS", 20)
+    docs = spark.createDataFrame([(None, "same words here", "a")] * 200 + [(i, "x y z", "b") for i in range(100)],
+                                 "doc_id long, text string, source string").repartition(3)
+    rows = mixing.assign(docs).collect()
+    copies = [tuple(r["positions"]) for r in rows if r["doc"]["doc_id"] is None]
+    assert len(copies) == 200 and len(set(copies)) > 100
+    out = mixing.mix(docs, 8).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(out) == 8 and sum(r["count"] for r in out) == sum(len(r["positions"]) for r in rows)
+    assert max(r["count"] for r in out) < 3 * min(r["count"] for r in out)
+
+
+def test_mixture_lies_in_order_of_position(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 50), "abc"[i % 3]) for i in range(500)], "doc_id long, text string, source string")
+    first = {r["doc"]["doc_id"]: r["positions"] for r in mixing.assign(docs).collect()}
+    at, seen = -1, Counter()
+    for r in mixing.mix(docs, 5).collect():        # partitions in turn
+        t = first[r["doc_id"]][seen[r["doc_id"]]]
+        seen[r["doc_id"]] += 1
+        assert t >= at
+        at = t
+
+
 def test_exact_groups(odd):
     rows = _data(exactdedup.annotate(odd).select("doc.doc_id", "doc.text", "keep_id", "group_size", "kept", "text_sha256"))
     groups = defaultdict(list)
