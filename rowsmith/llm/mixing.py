@@ -44,7 +44,7 @@ SEED = 77
 REPEATS = 1024
 #: Levels of the target search that the driver takes at once, and rows of a plan that is broadcast.
 LEVELS = 4096
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -103,12 +103,12 @@ def targets(sums: DataFrame) -> DataFrame:
                     F.when(F.col("n") % 2 == 0, RAMP).otherwise(-RAMP).alias("ramp"))
 
 
-def plan(sized: DataFrame) -> DataFrame:
-    """One row per source and hash bucket that has documents: plan_src, plan_bucket; the source's source_size, target,
-    passes, rest, large_cut and small_cut (hashes below which the partial pass takes), ramp and given (words it gives in
-    all); for full passes (full) and the partial one (part) the words ``before`` the bucket and the ``inner`` words
-    of its small documents; and its ``giants`` (hash, size, whether in the partial pass). Windows run over one
-    source's buckets."""
+def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources, buckets). A row per source: name, source_size, target, passes, rest, large_cut and small_cut (hashes
+    below which the partial pass takes), ramp and given (words it gives in all). A row per source and hash bucket that has
+    documents: plan_src, plan_bucket; for full passes (full) and the partial one (part) the words ``before`` the bucket
+    and the ``inner`` words of its small documents; and its ``giants`` (hash, size, whether in the partial pass), if
+    any. Windows run over one source's buckets."""
     bucket, size_class = F.floor(F.col("hash") * BUCKETS).cast("int"), F.floor(F.log2("size")).cast("int")
     parts = stored(sized.groupBy("src", size_class.alias("size_class"), bucket.alias("bucket")).agg(F.sum("size").alias("w")),
                    "mix-parts", narrow=True)
@@ -150,10 +150,11 @@ def plan(sized: DataFrame) -> DataFrame:
     e = e.join(big, F.col("name").eqNullSafe(F.col("big_src")) & (F.col("bucket") == F.col("big_bucket")), "left")
     part = F.transform("giants", lambda g: F.struct(g["hash"].alias("hash"), g["size"].alias("size"), (
         g["hash"] < _cut(_large(g["least"], F.col("rest")))).alias("part")))
-    return e.select(F.col("name").alias("plan_src"), F.col("bucket").alias("plan_bucket"), *of_source[1:], "large_cut", "small_cut",
-                    "given", "full_before", "full_inner", "part_before", "part_inner",
-                    F.when(F.col("giants").isNotNull(), part).otherwise(F.array().cast(
-                        "array<struct<hash:double,size:long,part:boolean>>")).alias("giants"))
+    e = stored(e.withColumn("giants", part), "mix-plan", narrow=True)
+    sources = e.groupBy(*of_source, "large_cut", "small_cut", "given").agg(F.count(F.lit(1)).alias("buckets")).drop("buckets")
+    buckets = e.select(F.col("name").alias("plan_src"), F.col("bucket").alias("plan_bucket"), "full_before", "full_inner",
+                       "part_before", "part_inner", "giants")
+    return stored(sources, "mix-sources", narrow=True), buckets
 
 
 def _class(size: Column) -> Column:
@@ -181,11 +182,11 @@ def assign(docs: DataFrame, carry: list[str] | None = None, sized: DataFrame | N
     source's words that a full pass asks for before it. ``sized``: the rows of ``_sized`` if they are written."""
     rows = _sized(docs, carry) if sized is None else sized
     narrow = rows.select("src", "size", "hash") if sized is not None else stored(rows.select("src", "size", "hash"), "mix-sizes")
-    p = stored(plan(narrow), "mix-plan", narrow=True)
-    if p.count() <= BROADCAST_ROWS:
-        p = F.broadcast(p)
-    bucket = F.floor(F.col("hash") * BUCKETS).cast("int")
-    rows = rows.withColumn("bucket", bucket).join(p, F.col("src").eqNullSafe(F.col("plan_src")) & (F.col("bucket") == F.col("plan_bucket")))
+    sources, buckets = plan(narrow)
+    if buckets.count() <= BROADCAST_ROWS:       # else Spark chooses; a row is about 100 bytes
+        buckets = F.broadcast(buckets)
+    rows = rows.withColumn("bucket", F.floor(F.col("hash") * BUCKETS).cast("int")).join(sources, F.col("src").eqNullSafe(F.col("name")))
+    rows = rows.join(buckets, F.col("src").eqNullSafe(F.col("plan_src")) & (F.col("bucket") == F.col("plan_bucket")))
     in_part = F.col("hash") < _cut(_large(_class(F.col("size")), F.col("rest")))
     copies = F.when(F.col("size") > 0, F.col("passes") + in_part.cast("long")).otherwise(F.lit(0))
     inside = F.col("hash") * BUCKETS - F.col("bucket")
@@ -193,7 +194,7 @@ def assign(docs: DataFrame, carry: list[str] | None = None, sized: DataFrame | N
     def before(kind, counts):
         giants = F.aggregate("giants", F.lit(0).cast("long"), lambda n, g: n + F.when(
             (g["hash"] < F.col("hash")) & counts(g), g["size"]).otherwise(0))
-        return F.col(f"{kind}_before") + F.col(f"{kind}_inner") * inside + giants
+        return F.col(f"{kind}_before") + F.col(f"{kind}_inner") * inside + F.coalesce(giants, F.lit(0))
 
     rows = (rows.withColumn("copies", copies.cast("int")).withColumn("before", before("full", lambda g: F.lit(True)))
                 .withColumn("before_part", before("part", lambda g: g["part"])))
