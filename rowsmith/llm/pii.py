@@ -14,7 +14,7 @@ one row per vote pattern and per feature value: a few hundred whatever the input
 
 Defined results: null text is empty; a document without spans has counts 0, empty spans and the
 hash of the empty string; repeated rows and null doc_ids are rows of their own; a text of any
-length is searched whole, in time linear in it; an empty table gives an empty result; other columns are not read.
+length is searched whole, in time linear in it but for sorting its spans; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,26 +94,34 @@ def _passes(kind: str, value: Column) -> Column:
     return n.between(9, 15)
 
 
-def _candidates(text: Column, kind: str, base: bool) -> Column:
-    """The pattern's matches in order: kind, base, nth, gap (characters since the last match),
-    len, value and the text around it."""
-    pattern = F.lit((BASE if base else WIDE)[kind])
-    pieces = F.split(text, (BASE if base else WIDE)[kind], -1)
-    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), F.lit(base).alias("base"), i.alias("nth"), F.length(F.get(pieces, i)).alias("gap"),
-        F.length(m).alias("len"), m.alias("value"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after")))
-    return F.when(text.rlike(NEEDS[kind, base]), found)
+def _around(text: Column, kind: str, base: bool) -> tuple[Column, Column]:
+    """The pattern's matches in order, and the gaps before, between and after them (length and the
+    characters next to a match); null where the text can't hold a match."""
+    gaps = F.transform(F.split(text, (BASE if base else WIDE)[kind], -1), lambda gap: F.struct(
+        F.length(gap).alias("len"), F.left(gap, F.lit(CONTEXT)).alias("head"), F.right(gap, F.lit(CONTEXT)).alias("tail")))
+    may = text.rlike(NEEDS[kind, base])
+    return F.when(may, F.regexp_extract_all(text, F.lit((BASE if base else WIDE)[kind]), F.lit(0))), F.when(may, gaps)
+
+
+def _candidates(matches: Column, gaps: Column, kind: str, base: bool) -> Column:
+    """The matches in order: kind, base, nth, gap (characters since the last match), len, value and the text around it."""
+    n = F.size(matches)
+    each = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), n).alias("before"), F.slice(gaps, F.lit(2), n).alias("after"))
+    return F.transform(each, lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), F.lit(base).alias("base"), i.alias("nth"), x["before"]["len"].alias("gap"),
+        F.length(x["m"]).alias("len"), x["m"].alias("value"), x["before"]["tail"].alias("before"), x["after"]["head"].alias("after")))
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id) of all rows, and all candidates with their start and end (code points)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lists = [_candidates(F.col("t"), k, b) for b in (True, False) for k in KINDS]
+    names = {(k, b): f"{k}_{'base' if b else 'wide'}" for b in (True, False) for k in KINDS}
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    # matches and gaps are columns of their own: an expression inside a lambda would be evaluated for each match
+    parts = [x.alias(f"{n}_{part}") for (k, b), n in names.items() for part, x in zip(("matches", "gaps"), _around(F.col("t"), k, b))]
+    lists = [_candidates(F.col(f"{n}_matches"), F.col(f"{n}_gaps"), k, b) for (k, b), n in names.items()]
     none = "array<struct<kind:string,base:boolean,nth:int,gap:int,len:int,value:string,before:string,after:string>>"
-    rows = docs.select("doc_id", text.alias("t")).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
-        F.concat(*[F.coalesce(x, F.array().cast(none)) for x in lists]).alias("found"))
+    rows = rows.select("row", "doc_id", *parts).select(
+        "row", "doc_id", F.concat(*[F.coalesce(x, F.array().cast(none)) for x in lists]).alias("found"))
     rows = stored(rows, "pii-candidates")
     each = rows.select("row", F.inline("found"))
     so_far = Window.partitionBy("row", "kind", "base").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -219,19 +227,25 @@ def classify(voted: DataFrame) -> DataFrame:
     return voted.withColumn("probability", 1 / (1 + F.exp(-total)))
 
 
+def _disjoint(kept: DataFrame) -> DataFrame:
+    """Base spans, and the wide spans that overlap no base span and no wide span before them (by start, then
+    kind): running ends of what starts earlier, and the next base start, so in n log n."""
+    on = Window.partitionBy("row").orderBy("start", ~F.col("base"), "order").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("base"), F.col("order").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max("end").over(on), F.lit(0)) <= F.col("start")
+    free = F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(back) >= F.col("end"), F.lit(True))
+    return kept.withColumn("free", F.col("base") | (ended & free)).filter("free").drop("free")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: row, doc_id and its spans (start, nth kind, kind, end, base, value), sorted."""
     rows, each = candidates(docs)
     judged = classify(stored(votes(each), "pii-votes"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     kept = judged.filter(F.col("valid") | (~F.col("base") & (F.col("probability") >= ACCEPT)))
-    spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "start", order.alias("order"), "kind", "end", "base", "value"))).alias("all"))
-    base, wide = F.filter("all", lambda s: s["base"]), F.filter("all", lambda s: ~s["base"])
-    crosses = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    wide = F.filter(wide, lambda w: ~F.exists(base, lambda b: crosses(w, b)) & ~F.exists(
-        wide, lambda o: crosses(w, o) & (F.struct(o["start"], o["order"]) < F.struct(w["start"], w["order"]))))
-    spans = spans.select(F.col("row").alias("span_row"), F.sort_array(F.concat(base, wide)).alias("spans"))
+    spans = _disjoint(kept.withColumn("order", order)).groupBy(F.col("row").alias("span_row")).agg(F.sort_array(
+        F.collect_list(F.struct("start", "order", "kind", "end", "base", "value"))).alias("spans"))
     return rows.join(spans, rows["row"] == spans["span_row"], "left").drop("span_row")
 
 

@@ -1,7 +1,9 @@
 """Language ID, toxicity and personal data: held-out accuracy, brute force and odd rows."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -180,6 +182,40 @@ def test_wide_spellings_are_learned(spark):
     assert kinds["email"] == 30 and kinds["phone"] == 30
 
 
+def test_overlaps_equal_brute_force(spark):
+    """A wide span stays unless it overlaps a base span or a wide span before it."""
+    rnd = random.Random(6)
+    spans = []
+    for row in range(60):
+        for _ in range(rnd.randint(0, 25)):
+            a = rnd.randint(0, 80)
+            spans.append((row, a, a + rnd.randint(1, 12), rnd.random() < 0.3, rnd.randint(1, 4)))
+    spans = sorted(set(spans))
+    got = {tuple(r) for r in pii._disjoint(spark.createDataFrame(spans, "row long, start int, end int, base boolean, order int")).collect()}
+    cross = lambda a, b: a[0] == b[0] and a[1] < b[2] and b[1] < a[2]
+    want = {s for s in spans if s[3] or not any(cross(s, o) and (o[3] or (o[1], o[4]) < (s[1], s[4])) for o in spans)}
+    # of wide spans that share start and kind (which a pattern can't give) the tool's order is open
+    tied = {s for s in spans if not s[3] and sum((o[0], o[1], o[4]) == (s[0], s[1], s[4]) and not o[3] for o in spans) > 1}
+    assert got - tied == want - tied and len(want - tied) > 100
+
+
+def test_many_spans_in_one_text_end_soon(spark):
+    """A text of 20,000 phone numbers, half of them national, and 5,000 addresses."""
+    parts = [f"call 212 555 {1000 + i % 9000}, or +1 407 555 {1000 + i % 9000}; " + (f"host 10.{i % 256}.3.7, " if i % 2 == 0 else "")
+             for i in range(10_000)]
+    docs = [(0, "".join(parts)), (1, "call 212-555-1234 now"), (2, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    pii.find(df.filter("doc_id > 0")).collect()      # code compiled
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] or [] for r in pii.find(df).collect()}
+    assert time.time() - began < 40
+    spans = got[0]
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["base"]] == _base(docs[0][1])
+    assert sum(s["base"] for s in spans) == 15_000
+    assert all(docs[0][1][s["start"]:s["end"]] == s["value"] for s in spans)
+    assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+
+
 def test_no_python_in_the_plan(spark, odd):
     plan = pii.find(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
