@@ -98,3 +98,65 @@ def test_whole_table_chain_with_checkpoints_matches(spark):
                                 checkpoint_every=2)
     cols = list(R.LINE_KEY) + ["l_extendedprice", "l_tax", "is_large"]
     assert plain.select(*cols).exceptAll(cut.select(*cols)).count() == 0
+
+
+def jobs_of(spark, run):
+    """Number of Spark jobs that ``run`` starts."""
+    sc, group = spark.sparkContext, f"count-{id(run)}"
+    sc.setJobGroup(group, "count")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_ten_whole_table_rules_take_few_jobs(spark):
+    assert jobs_of(spark, lambda: R.q_whole_table_rules(spark, SF).write.format("noop").mode("overwrite").save()) <= 12
+
+
+def test_parent_influence_has_one_join(spark):
+    out = R.q_parent_influence(spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert jobs_of(spark, lambda: R.q_parent_influence(spark, SF)) <= 6
+
+
+def _feeding():
+    """Rules whose targets are sources of later ones, with flags, missing numbers and NaN."""
+    from rowsmith.spec import FieldSpec, TableSpec
+    spec = TableSpec("f", (FieldSpec("a", "float"), FieldSpec("b", "float", min_value=-2, max_value=40), FieldSpec("c", "integer"),
+                           FieldSpec("d", "boolean"), FieldSpec("e", "string"), FieldSpec("n", "float")))
+    rules = [correlate.higher("a", "b"), correlate.higher("b", "c"), correlate.more_likely("c", "d"),
+             correlate.Rule("d", "a", "bool_num", 0.5), correlate.Rule("e", "b", "bool_num", 0.2, "negative"),
+             correlate.higher("a", "b"), correlate.higher("n", "a"), correlate.higher("b", "n")]
+    return spec, rules
+
+
+def test_fused_chain_equals_the_window_form(spark):
+    import random
+    rnd = random.Random(8)
+    spec, rules = _feeding()
+    maybe = lambda x: None if rnd.random() < 0.2 else x
+    rows = [(i, maybe(rnd.gauss(5, 3)), rnd.choice([float("nan"), rnd.gauss(20, 9)]), maybe(rnd.randint(0, 50)),
+             maybe(rnd.random() < 0.5), rnd.choice(["", "x", None]), None, 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c long, d boolean, e string, n double, one int").repartition(3)
+    for fill in (True, False):
+        whole = correlate.apply_rules(df, rules, spec, None, 42, "id", "portable", fill, repair_order=False)
+        window = correlate.apply_rules(df, rules, spec, ("one",), 42, "id", "portable", fill, repair_order=False)
+        assert whole.columns == df.columns
+        both = whole.alias("x").join(window.alias("y"), "id").collect()
+        assert len(both) == 700
+        for r in both:
+            x, y = r[1:8], r[8:15]
+            assert all(p == q or isinstance(p, (int, float)) and abs(p - q) <= 1.01e-4 for p, q in zip(x, y)), (x, y)
+    empty = correlate.apply_rules(df.limit(0), rules, spec, None, 42, "id", "portable", repair_order=False)
+    assert empty.collect() == []
+
+
+def test_rounds_end_where_a_changed_column_is_needed():
+    from rowsmith.operators import fused
+    spec, rules = _feeding()
+    steps = correlate.rule_steps(rules, spec)
+    assert fused.rounds(steps) == [0, 1, 2, 5, 7]
+    assert fused.rounds(correlate.rule_steps(R.whole_table_rules(), R.LINE_SPEC)) == [0, 2, 4, 6, 8]
+    s = fused.Sums(10, 4, 2.5, 5.0).filled(0.0)          # 1, 2, 3, 4 and six zeros
+    assert (s.n, s.missing, s.mean) == (10, 0, 1.0) and abs(s.squares - 20.0) < 1e-12 and fused.Sums(1, 1, 3.0, 0.0).deviation == 0
