@@ -18,7 +18,7 @@ import math
 from dataclasses import dataclass, field as dc_field
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from rowsmith.functions import pools, rng
 from rowsmith.spec import FieldSpec
@@ -66,7 +66,9 @@ class GenContext:
     row_col: str = "_row"        # dense 1..rows
     exact_names: bool = False
     ordered: bool = True         # row-ordered temporal columns (off for streams)
+    exact: bool = False          # ordered columns by sorting each batch's draws, not by strata
     bound: dict = dc_field(default_factory=dict, compare=False)
+    sorted_draws: dict = dc_field(default_factory=dict, compare=False)
 
     def _bind(self, tag: str, expr: Column) -> Column:
         name = self.bound.get(tag, (None,))[0]
@@ -106,10 +108,38 @@ class GenContext:
         bits = {n: e for tag, (n, e) in self.bound.items() if not tag.startswith("u|")}
         us = {n: e for tag, (n, e) in self.bound.items() if tag.startswith("u|")}
         df = df.withColumns(bits)
-        return df.withColumns(us) if us else df
+        df = df.withColumns(us) if us else df
+        return with_sorted_draws(df, self) if self.sorted_draws else df
 
     def finish(self, df):
-        return df.drop(*[name for name, _ in self.bound.values()])
+        return df.drop(*[name for name, _ in self.bound.values()], *self.sorted_draws.values())
+
+    def sorted_u(self, column: str) -> Column:
+        """The i-th smallest of the batch's draws of a column for the batch's i-th row."""
+        name = self.sorted_draws.setdefault(self.u_name(column), f"__s{len(self.sorted_draws)}_{self.table}")
+        return F.col(name)
+
+    def place(self) -> tuple[Column, Column]:
+        """A row's batch and its position there, from 0."""
+        row0 = F.col(self.row_col) - F.lit(1)
+        if not self.batched:
+            return F.lit(0).cast("long"), row0
+        return F.floor(row0 / F.lit(self.batch_rows)).cast("long"), F.pmod(row0, F.lit(self.batch_rows))
+
+
+def with_sorted_draws(df, ctx: GenContext):
+    """Adds the sorted draws: each batch's draws are ranked (at most ``batch_rows`` a group) and joined to the rows by
+    (batch, position). All columns share one ranking pass and one join."""
+    batch, place = ctx.place()
+    rows = df.withColumn("__batch", batch).withColumn("__place", place)
+    draws = list(ctx.sorted_draws)
+    each = rows.select("__batch", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(u).alias("u"))
+                                                      for i, u in enumerate(draws)])).alias("d")).select("__batch", "d.*")
+    ranked = each.withColumn("__place", F.row_number().over(Window.partitionBy("__batch", "i").orderBy("u")).cast("long") - 1)
+    wide = ranked.groupBy(F.col("__batch").alias("__b"), F.col("__place").alias("__p")).agg(*[
+        F.max(F.when(F.col("i") == i, F.col("u"))).alias(ctx.sorted_draws[u]) for i, u in enumerate(draws)])
+    return rows.join(wide, (F.col("__batch") == F.col("__b")) & (F.col("__place") == F.col("__p"))).drop(
+        "__batch", "__place", "__b", "__p")
 
 
 def _bounds(f: FieldSpec, default):
@@ -159,7 +189,10 @@ def _position(ctx: GenContext, column: str) -> Column:
     """Stratified position in [0, 1) of a row inside its batch: monotone in the row key.
 
     Sorting n uniform draws and handing the i-th smallest to row i is, in law, the
-    same as one draw per stratum [i/n, (i+1)/n); this needs no sort and no shuffle."""
+    same as one draw per stratum [i/n, (i+1)/n); this needs no sort and no shuffle. With ``exact`` the
+    draws of a batch are in fact sorted."""
+    if ctx.exact:
+        return ctx.sorted_u(column)
     row0 = F.col(ctx.row_col) - F.lit(1)
     n = max(int(ctx.rows), 1)
     if ctx.batched:

@@ -75,19 +75,20 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
                    batch_rows: int = BATCH_ROWS, rules=None, parent_influence: bool = True,
                    exact_names: bool = False, rows_per_partition: int = ROWS_PER_PARTITION,
                    rule_method: str = "auto", keep_batch: bool = False,
-                   ids: DataFrame | None = None) -> DataFrame:
+                   ids: DataFrame | None = None, exact_order: bool = False) -> DataFrame:
     """Generate ``rows`` rows of ``table``.
 
     ``parents``: table name -> ``Generated`` (or DataFrame) for foreign keys.
     ``rules``: correlation rules; None means the name-derived default set.
     ``ids``: optional frame with a dense ``_row`` column (1..rows) to generate over
     instead of ``spark.range`` (e.g. one synthetic row per row of a given table).
+    ``exact_order``: row-ordered temporal columns by sorting each batch's draws (a join by rank) instead of strata.
     """
     parents = parents or {}
     as_of = as_of or default_as_of()
     rows = int(rows)
     ctx = GenContext(table=table.name, seed=seed, as_of=as_of, mode=mode, rows=rows,
-                     batch_rows=batch_rows, batched=True, exact_names=exact_names)
+                     batch_rows=batch_rows, batched=True, exact_names=exact_names, exact=exact_order)
     # default: batches aligned with partitions and the chain run per partition (no shuffle);
     # "window" / "pandas" keep the shuffled forms, and ``ids``-driven rows always use them
     aligned = rule_method in ("auto", "partition") and ids is None
@@ -151,6 +152,7 @@ def generate_table(spark: SparkSession, table: TableSpec, rows: int, *, parents=
             continue
         else:
             gen[f.name] = field_column(f, ctx)
+    joined_rows = joined_rows or bool(ctx.sorted_draws)
     df = ctx.finish(ctx.prepare(df).withColumns(gen))
     by = ("_batch",)
     # Chained statistics use windows on _batch: one shuffle and sort shared by every step.

@@ -7,10 +7,10 @@ collected: results are small DataFrames the caller may write or show.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from rowsmith.operators import moments
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 # Whole-stage codegen is switched off for an aggregate whose buffer has more than
 # spark.sql.codegen.maxFields (default 100) fields; a corr state has 6, avg 2,
@@ -119,13 +119,24 @@ def distinct_counts(df: DataFrame, table_name: str, approx: bool = False) -> Dat
     return column_profile(df, table_name, approx).select("table_name", "column_name", "distinct_count")
 
 
-def quality_report(tables: dict) -> DataFrame:
-    """E5: per-column profile of every table with its row/column counts and the table count."""
+def quality_report(tables: dict, exact: dict | None = None) -> DataFrame:
+    """E5: per-column profile of every table with its row/column counts and the table count.
+
+    Distinct counts are exact. With ``exact`` (table -> columns, ``{}`` for none) they are exact
+    for these columns only, and others are sketch estimates: then each table is read once, without
+    expanding its rows, and once more for its named columns."""
     if not tables:
         raise ValueError("no tables given")
     parts = []
     for name, df in tables.items():
-        prof = column_profile(df, name, with_rows=True)        # row count rides on the null pass
+        if exact is None:
+            prof = column_profile(df, name, with_rows=True)        # row count rides on the null pass
+        else:
+            prof = moments.profile(moments.profile_state(df, name))
+            named = [c for c in df.columns if c in exact.get(name, ())]
+            if named:
+                prof = prof.where(~F.col("column_name").isin(named)).unionByName(
+                    column_profile(df.select(*named), name, with_rows=True))
         parts.append(prof.withColumn("columns", F.lit(len(df.columns)).cast("long")))
     out = parts[0]
     for p in parts[1:]:
@@ -144,37 +155,14 @@ def correlation_matrix(df: DataFrame, columns=None, digits: int = 4) -> DataFram
     columns: (col_a, col_b, corr). Empty with fewer than two columns. NaN counts as
     missing: a pair uses the rows where both values are there.
 
-    Pairs are aggregated in chunks small enough for compiled code; a chunk scans its
-    columns only."""
+    One scan for any number of columns: tasks send a co-moment state
+    (:mod:`rowsmith.operators.moments`), which callers may also store and merge."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    return _pair_correlations(df, cols, digits)
-
-
-def _pair_correlations(df: DataFrame, cols: list[str], digits: int, keep=()) -> DataFrame:
-    """(col_a, col_b, corr) for every ordered pair (both orders from one ``corr`` state)."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    x = {c: _nan_to_null(df, c).cast("double") for c in cols}
-
-    def pearson(a, b):       # from moments over the rows where both are there; NULL if one is constant
-        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
-
-    items = [(f"c_{i}_{j}", pearson(x[cols[i]], x[cols[j]])) for i, j in pairs]
-    at = {f"c_{i}_{j}": (i, j) for i, j in pairs}
-
-    def entry(n):        # one struct per pair; its mirror is added after the explode
-        i, j = at[n]
-        return F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                        F.round(F.col(n), digits).alias("corr"))
-
-    longf = chunked_long_aggregates(df, items, 10, entry, keep)
-    mirror = longf.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr", *[n for n, _ in keep])
-    return longf.unionByName(mirror)
+    return moments.correlations(moments.comoments(df, cols), digits).drop("rows")
 
 
 def prefix_clashes(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
@@ -204,8 +192,7 @@ def joined_correlation(child: DataFrame, parent: DataFrame, fk: str, ref: str, c
         cnt = joined.agg(F.count(F.lit(1)).alias("joined_row_count"))
         return cnt.select(F.lit(None).cast("string").alias("col_a"), F.lit(None).cast("string").alias("col_b"),
                           F.lit(None).cast("double").alias("corr"), "joined_row_count")
-    out = _pair_correlations(joined, cols, 4, keep=[("joined_row_count", F.count(F.lit(1)))])
-    return out.withColumn("joined_row_count", F.col("joined_row_count").cast("long"))
+    return moments.correlations(moments.comoments(joined, cols), 4).withColumnRenamed("rows", "joined_row_count")
 
 
 def comparable_keys(child: DataFrame, fk: str, parent: DataFrame, ref: str) -> tuple[Column, Column]:
