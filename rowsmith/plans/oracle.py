@@ -33,6 +33,12 @@ SCHEMAS = {
                  ("l_returnflag", "s"), ("l_linestatus", "s"), ("l_shipdate", "t")],
     "events": [("event_id", "i"), ("ts", "t"), ("user_id", "i"), ("event_type", "s"), ("value", "f"),
                ("props", "s")],
+    "documents": [("doc_id", "i"), ("text", "s"), ("lang", "s"), ("source", "s"), ("n_chars", "i")],
+    "embeddings": [("vec_id", "i"), ("embedding", "a"), ("label", "i")],
+    "pages": [("page_id", "i"), ("url", "s"), ("html", "s")],
+    "benchmark": [("item_id", "i"), ("text", "s")],
+    "labels": [("doc_id", "i"), ("quality", "i"), ("toxic", "i")],
+    "conversations": [("conv_id", "i"), ("turn", "i"), ("role", "s"), ("text", "s")],
 }
 
 
@@ -405,7 +411,7 @@ def fk_sql(child, fk, parent, ref) -> str:
 
 
 def schema_profile_sql() -> str:
-    names = list(R.RELATIONAL) + ["events"]
+    names = list(SCHEMAS)
     total_cols = sum(len(SCHEMAS[n]) for n in names)
     tier = "small" if total_cols < 50 else ("medium" if total_cols < 200 else "large")
     parts = []
@@ -423,7 +429,7 @@ def schema_profile_sql() -> str:
 
 def people_sql() -> str:
     key = "c_custkey"
-    return (f"SELECT c_custkey, c_name, c_mktsegment, "
+    return (f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, "
             f"concat_ws(' ', {first('people', 'patient_name', key)}, {last('people', 'patient_name', key)}) AS patient_name, "
             f"{email('people', 'email', key)} AS email, {digits(u('people', 'zip_code', key), 5)} AS zip_code FROM customer")
 
@@ -454,6 +460,21 @@ def gen_temporal_sql() -> str:
     return f"SELECT _row AS id, {', '.join(cols)} FROM (SELECT o_orderkey + 1 AS _row FROM orders)"
 
 
+def gen_temporal_exact_sql() -> str:
+    """Ordered columns: the batch's draws sorted and dealt by position."""
+    size = R.VISIT_BATCH
+    base = (f"SELECT o_orderkey + 1 AS _row, o_orderkey // {size} AS b, o_orderkey % {size} AS p, "
+            f"{u('visits', 'signup_date', '(o_orderkey + 1)')} AS u1, {u('visits', 'created_at', '(o_orderkey + 1)')} AS u2 FROM orders")
+    rank = lambda c: f"(SELECT b, row_number() OVER (PARTITION BY b ORDER BY {c}) - 1 AS p, {c} AS s FROM r)"
+    plain = {f.name: gen_field(f, "visits", "_row") for f in R.TEMPORAL}
+    epoch = G._epoch(R.AS_OF)
+    return (f"WITH r AS ({base}) SELECT _row AS id, {plain['service_date']} AS service_date, "
+            f"(DATE '{R.AS_OF.date().isoformat()}' - CAST(729 - floor(x.s * 730) AS INTEGER)) AS signup_date, "
+            f"{plain['visit_time']} AS visit_time, (TIMESTAMP '1970-01-01 00:00:00' + to_seconds({epoch} - "
+            f"CAST(8759 - floor(y.s * 8760) AS BIGINT) * 3600)) AS created_at "
+            f"FROM r JOIN {rank('u1')} x ON r.b = x.b AND r.p = x.p JOIN {rank('u2')} y ON r.b = y.b AND r.p = y.p")
+
+
 def visits_sql() -> str:
     """CTEs ``pat`` and the visits generated over orders (G1-G4, G12-G19, D8-D10, D5 with the
     name-derived rule set), with customers as parents."""
@@ -524,11 +545,9 @@ def oracle_queries() -> dict:
         "round(avg(l_discount), 6) AS avg_l_discount, round(avg(l_tax), 6) AS avg_l_tax, count(*) AS row_count FROM lineitem")
     out["silver_dedupe_lineitem"] = (
         "SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')")
-    gaps = ("SELECT l_orderkey, nullif(l_linenumber, 1) AS l_linenumber, "
-            "CASE WHEN l_quantity > 45 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS l_quantity, "
-            "l_extendedprice, nullif(l_returnflag, 'R') AS l_returnflag, l_shipdate FROM lineitem")
-    gap_cols = [("l_orderkey", "i"), ("l_linenumber", "i"), ("l_quantity", "f"), ("l_extendedprice", "f"),
-                ("l_returnflag", "s"), ("l_shipdate", "t")]
+    gaps = ("SELECT * REPLACE (nullif(l_linenumber, 1) AS l_linenumber, CASE WHEN l_quantity > 45 THEN CAST('NaN' AS DOUBLE) "
+            "ELSE l_quantity END AS l_quantity, nullif(l_returnflag, 'R') AS l_returnflag) FROM lineitem")
+    gap_cols = SCHEMAS["lineitem"]
     out["null_fraction"] = " UNION ALL ".join(
         f"SELECT 'lineitem' AS table_name, {q(c)} AS column_name, "
         f"round(coalesce(avg(CAST({null_like(c, k)} AS DOUBLE)), {dbl(0.0)}), 6) AS null_fraction FROM ({gaps})"
@@ -540,12 +559,17 @@ def oracle_queries() -> dict:
     out["corr_matrix_lineitem"] = corr_sql(
         "(SELECT * REPLACE (CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS l_quantity) FROM lineitem)",
         [c for c, k in SCHEMAS["lineitem"] if k in "if"])
+    inc = corr_sql("(SELECT * REPLACE (nullif(l_linenumber, 1) AS l_linenumber, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity "
+                   "END AS l_quantity) FROM lineitem)", [c for c, k in SCHEMAS["lineitem"] if k in "if"])
+    out["corr_incremental_lineitem"] = f"SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS rows FROM ({inc}) x"
     jc = corr_sql("(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)",
                   ["o_totalprice", "c_acctbal", "c_nationkey"])
     out["joined_corr"] = (f"SELECT x.*, (SELECT CAST(count(*) AS BIGINT) FROM orders JOIN customer "
                           f"ON o_custkey = c_custkey) AS joined_row_count FROM ({jc}) x")
     out["fk_integrity"] = " UNION ALL ".join(fk_sql(*e) for e in R.FK_EDGES)
-    out["quality_report"] = quality_report_sql(R.RELATIONAL)
+    out["quality_report"] = quality_report_sql(list(SCHEMAS))
+    out["quality_sketches"] = (f"SELECT table_name, column_name, null_fraction, rows, distinct_count, true AS near "
+                               f"FROM ({quality_report_sql(list(SCHEMAS))}) WHERE column_name <> 'l_returnflag'")
     out["schema_profile"] = schema_profile_sql()
     ppl = people_sql()
     out["pattern_pass_rates"] = (
@@ -553,9 +577,12 @@ def oracle_queries() -> dict:
         f"SELECT 'zip_5_digits' AS check_name, round(avg(CAST(coalesce(regexp_matches(zip_code, '^\\d{{5}}$'), false) AS DOUBLE)), 6) AS pass_rate FROM p "
         f"UNION ALL SELECT 'name_has_space', round(avg(CAST(coalesce(contains(patient_name, ' '), false) AS DOUBLE)), 6) FROM p "
         f"UNION ALL SELECT 'email_has_at', round(avg(CAST(coalesce(contains(email, '@'), false) AS DOUBLE)), 6) FROM p "
-        f"UNION ALL SELECT 'customer_name_format', round(avg(CAST(coalesce(regexp_matches(c_name, '^Customer#\\d{{9}}$'), false) AS DOUBLE)), 6) FROM p")
+        f"UNION ALL SELECT 'customer_name_format', round(avg(CAST(coalesce(regexp_matches(c_name, '^Customer#\\d{{9}}$'), false) AS DOUBLE)), 6) FROM p"
+        + "".join(f" UNION ALL SELECT {q(n)}, round(avg(CAST(coalesce({x}, false) AS DOUBLE)), 6) FROM p" for n, x in (
+            ("nation_known", "c_nationkey BETWEEN 0 AND 24"), ("balance_positive", "c_acctbal > 0"),
+            ("segment_upper", "regexp_matches(c_mktsegment, '^[A-Z]+$')"), ("key_positive", "c_custkey > 0"))))
     out["mask_customer"] = (
-        f"WITH p AS ({ppl}) SELECT c_custkey, {masked('c_name')} AS c_name, c_mktsegment, "
+        f"WITH p AS ({ppl}) SELECT c_custkey, {masked('c_name')} AS c_name, c_nationkey, c_acctbal, c_mktsegment, "
         f"{masked('patient_name')} AS patient_name, {masked('email')} AS email, {masked('zip_code')} AS zip_code FROM p")
     out["mask_audit"] = f"WITH p AS ({ppl}) " + " UNION ALL ".join(
         f"SELECT {q(c)} AS column_name, CAST(coalesce(sum(CAST({masked(c)} = CAST({c} AS VARCHAR) AS BIGINT)), 0) AS BIGINT) AS unchanged_rows, "
@@ -610,6 +637,7 @@ def oracle_queries() -> dict:
     out["gen_text"] = gen_sql(R.TEXT, "people", "customer", "c_custkey + 1")
     out["gen_flags"] = gen_sql(R.FLAGS, "visits", "orders", "o_orderkey + 1")
     out["gen_temporal"] = gen_temporal_sql()
+    out["gen_temporal_exact"] = gen_temporal_exact_sql()
     hc = visits_sql()
     out["gen_claims"] = hc
     cut = hc.rindex(" SELECT ")
@@ -627,5 +655,19 @@ def oracle_queries() -> dict:
     out["compact_lineitem"] = "SELECT * FROM lineitem"
     out["event_json_roundtrip"] = "SELECT * FROM events"
     out["stream_silver"] = "SELECT * FROM events"
+    out["compact_in_place_lineitem"] = "SELECT * FROM lineitem"
+    out["ttl_purge"] = out["ttl_filter"]
+    out["evolve_orders"] = ("SELECT * REPLACE (CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' THEN o_orderpriority END "
+                            "AS o_orderpriority) FROM orders")
+    out["catalog_orders"] = "SELECT * FROM orders"
+    out["stream_publish"] = "SELECT * FROM events"
+    out["pii_inventory"] = f"WITH p AS ({ppl}) " + " UNION ALL ".join(
+        f"SELECT 'customer' AS table_name, {q(c)} AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, "
+        f"CAST(count(*) AS BIGINT) AS rows FROM p" for c in ("c_name", "patient_name", "email", "zip_code"))
+    key = "c_custkey"
+    out["scaled_rows"] = (
+        f"SELECT c_custkey, concat_ws(' ', {first('customer', 'patient_name', key)}, {last('customer', 'patient_name', key)}) AS patient_name, "
+        f"{email('customer', 'email', key)} AS email, {digits(u('customer', 'zip_code', key), 5)} AS zip_code "
+        f"FROM (SELECT unnest(range(1, CAST(floor((SELECT count(*) FROM customer) * 2.5) AS BIGINT) + 1)) AS c_custkey)")
     out["medallion_gold"] = out["gold_join_orders_customer"]
     return out

@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowsmith.functions import rng
 from rowsmith.functions.fields import GenContext, field_column
-from rowsmith.operators import constraints, correlate, keys, privacy, quality, retention
+from rowsmith.operators import constraints, correlate, keys, moments, privacy, quality, retention
 from rowsmith.operators.correlate import Rule
 from rowsmith.operators.generate import generate_table
 from rowsmith.plans import medallion
-from rowsmith.session import scratch_path, spread
-from rowsmith.sources import io
+from rowsmith.session import scratch_path, spread, written
+from rowsmith.sources import evolve, io, versions
 from rowsmith.spec import FieldSpec, ForeignKey, TableSpec, load_spec
 from rowsmith.streaming import events as ev
 
 SEED = 42
 AS_OF = datetime(2024, 2, 1, 0, 0, 0)
 RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+ALL_TABLES = RELATIONAL + ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 FK_EDGES = (
     ("lineitem", "l_orderkey", "orders", "o_orderkey"),
@@ -92,14 +93,11 @@ def q_silver_dedupe_lineitem(spark, d):
 # --- E1-E8, E12 -----------------------------------------------------------
 
 def lineitem_with_gaps(spark, d) -> DataFrame:
-    li = t(spark, d, "lineitem")
-    return li.select(
-        "l_orderkey",
-        F.nullif(F.col("l_linenumber"), F.lit(1)).alias("l_linenumber"),
-        F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("l_quantity"),
-        "l_extendedprice",
-        F.nullif(F.col("l_returnflag"), F.lit("R")).alias("l_returnflag"),
-        "l_shipdate")
+    """All of lineitem with NULLs in two columns and NaN in one."""
+    return t(spark, d, "lineitem").withColumns({
+        "l_linenumber": F.nullif(F.col("l_linenumber"), F.lit(1)),
+        "l_quantity": F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_quantity")),
+        "l_returnflag": F.nullif(F.col("l_returnflag"), F.lit("R"))})
 
 
 def q_null_fraction(spark, d):
@@ -117,6 +115,15 @@ def q_corr_matrix_lineitem(spark, d):
         "l_quantity", F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_quantity"))))
 
 
+def q_corr_incremental_lineitem(spark, d):
+    """The same from a stored co-moment state of the returned lines, merged with the other lines' state."""
+    li = lineitem_with_gaps(spark, d)
+    cols = quality.numeric_columns(li)
+    back = F.coalesce(F.col("l_returnflag") == "A", F.lit(False))
+    state = written(moments.comoments(li.where(back), cols), "moments")
+    return moments.correlations(moments.merge_comoments(state, moments.comoments(li.where(~back), cols)))
+
+
 def q_joined_corr(spark, d):
     return quality.joined_correlation(t(spark, d, "orders"), t(spark, d, "customer"), "o_custkey", "c_custkey",
                                       "orders", "customer", ["o_totalprice", "c_acctbal", "c_nationkey"])
@@ -128,11 +135,31 @@ def q_fk_integrity(spark, d):
 
 
 def q_quality_report(spark, d):
-    return round_doubles(quality.quality_report({n: t(spark, d, n) for n in RELATIONAL}))
+    return round_doubles(quality.quality_report({n: t(spark, d, n) for n in ALL_TABLES}))
+
+
+SKETCH_ERROR = 0.04         # five standard errors of the sketches
+
+
+def q_quality_sketches(spark, d):
+    """The report from sketches, one scan a table; lineitem's come from stored states per return flag. Estimates are
+    held against exact counts."""
+    tables = {n: t(spark, d, n) for n in ALL_TABLES}
+    states = [moments.profile_state(df, n) for n, df in tables.items() if n != "lineitem"]
+    by_flag = written(moments.profile_state(tables["lineitem"], "lineitem", by=["l_returnflag"]), "profile")
+    states.append(moments.merge_profiles(by_flag))
+    found = states[0]
+    for s in states[1:]:
+        found = found.unionByName(s)
+    found = moments.profile(found).withColumnRenamed("distinct_count", "estimate")
+    exact = quality.quality_report(tables).select("table_name", "column_name", "distinct_count")
+    near = F.abs(F.col("estimate") - F.col("distinct_count")) <= SKETCH_ERROR * F.col("distinct_count")
+    return round_doubles(found.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "null_fraction", "rows", "distinct_count", near.alias("near")))
 
 
 def q_schema_profile(spark, d):
-    tables = {n: t(spark, d, n) for n in RELATIONAL + ("events",)}
+    tables = {n: t(spark, d, n) for n in ALL_TABLES}
     return quality.schema_profile(tables, FK_EDGES, pii={"customer.c_name"})
 
 
@@ -142,14 +169,19 @@ def people(spark, d) -> DataFrame:
     ctx = GenContext(table="people", seed=SEED, as_of=AS_OF, mode="portable", row_col="c_custkey")
     gen = {f.name: field_column(f, ctx) for f in (FieldSpec("patient_name"), FieldSpec("email"),
                                                   FieldSpec("zip_code"))}
-    base = ctx.prepare(spread(cust.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"))
+    base = ctx.prepare(spread(cust, "c_custkey"))
     return ctx.finish(base.withColumns(gen))
 
 
 def q_pattern_pass_rates(spark, d):
+    """The three standard checks and one for each of customer's own columns."""
     p = people(spark, d)
     checks = quality.standard_checks("zip_code", "patient_name", "email")
     checks["customer_name_format"] = F.col("c_name").rlike(r"^Customer#\d{9}$")
+    checks["nation_known"] = F.col("c_nationkey").between(0, 24)
+    checks["balance_positive"] = F.col("c_acctbal") > 0
+    checks["segment_upper"] = F.col("c_mktsegment").rlike("^[A-Z]+$")
+    checks["key_positive"] = F.col("c_custkey") > 0
     return round_doubles(quality.pattern_rates(p, checks))
 
 
@@ -374,6 +406,14 @@ TEMPORAL = (FieldSpec("service_date", "date"), FieldSpec("signup_date", "date"),
             FieldSpec("visit_time", "timestamp"), FieldSpec("created_at", "timestamp"))
 
 
+def q_gen_temporal_exact(spark, d):
+    """The same columns, the row-ordered ones by sorting each batch's draws."""
+    rows_df = order_rows(spark, d)
+    ctx = GenContext(table="visits", seed=SEED, as_of=AS_OF, mode="portable", rows=0, batch_rows=VISIT_BATCH, batched=True, exact=True)
+    cols = [field_column(f, ctx).alias(f.name) for f in TEMPORAL]
+    return ctx.prepare(rows_df).select(F.col("_row").alias("id"), *cols)
+
+
 def q_gen_temporal(spark, d):
     rows_df = order_rows(spark, d)
     n = rows_df.count()   # one bounded scalar: the stratified order needs the table size
@@ -486,6 +526,84 @@ def q_compact_lineitem(spark, d):
     return io.read_table(spark, dst).drop(key)
 
 
+def q_compact_in_place_lineitem(spark, d):
+    """A table of many small files a month, written in three loads, is compacted in place; readers take the newest version."""
+    li = t(spark, d, "lineitem")
+    path = scratch_path(spark, "loads")
+    keyed, key, _ = io.with_partition_key(li, "l_shipdate", "year")
+    for k in range(3):
+        keyed.where(F.col("l_linenumber") % 3 == k).write.mode("append").partitionBy(key).parquet(path)
+    versions.compact_in_place(spark, path, 4 << 20)
+    return versions.read_version(spark, path).drop(key)
+
+
+def q_ttl_purge(spark, d):
+    """Events by day; expired days leave the table unread, the day that holds the limit is rewritten."""
+    path = scratch_path(spark, "purge")
+    key = io.write_partitioned(t(spark, d, "events"), path, column="ts")
+    versions.purge(spark, path, "ts", TTL_AS_OF, 60, key)
+    return versions.read_version(spark, path).drop(key)
+
+
+EVOLVED_FROM = datetime(1998, 1, 1)
+
+
+def q_evolve_orders(spark, d):
+    """All orders are loaded with few columns and a narrow key type; the years from 1998 on are then replaced by a load
+    with all columns and full types."""
+    o = t(spark, d, "orders")
+    path = scratch_path(spark, "evolve")
+    first = o.drop("o_orderpriority").withColumn("o_custkey", F.col("o_custkey").cast("int"))
+    evolve.load(first, path, "o_orderdate", "year")
+    evolve.load(o.where(F.col("o_orderdate") >= F.lit(EVOLVED_FROM).cast("timestamp_ntz")), path, "o_orderdate", "year", mode="partitions")
+    return evolve.read(spark, path).drop("o_orderdate_year")
+
+
+def q_catalog_orders(spark, d):
+    """A schema is created, orders are registered in it, overwritten with other columns and registered anew; read by name."""
+    o = t(spark, d, "orders")
+    root = scratch_path(spark, "catalog")
+    name = f"rowsmith_{root[-12:]}"
+    io.create_schema(spark, name, f"{root}/{name}.db")
+    io.export_table(o.select("o_orderkey"), f"{root}/orders", "parquet")
+    io.register_table(spark, "orders", f"{root}/orders", schema_name=name)
+    io.export_table(o, f"{root}/orders", "parquet")
+    full = io.register_table(spark, "orders", f"{root}/orders", schema_name=name)
+    return spark.table(full)
+
+
+PEOPLE_SPEC = {"tables": [{"name": "customer", "primary_key": "c_custkey", "row_multiplier": 2.5, "fields": [
+    {"name": "c_custkey", "type": "bigint"}, {"name": "c_name", "pii": True}, {"name": "patient_name", "pii": True},
+    {"name": "email", "pii": True}, {"name": "zip_code", "pii": True}, {"name": "c_mktsegment"}]}]}
+
+
+def q_pii_inventory(spark, d):
+    """The flagged columns of a spec with the values they hold in the given customers."""
+    spec = load_spec(PEOPLE_SPEC)
+    profile = quality.column_profile(people(spark, d), "customer", with_rows=True)
+    return privacy.pii_inventory(spark, spec).join(profile, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "distinct_count", "rows")
+
+
+def q_scaled_rows(spark, d):
+    """Rows of a table scaled to the number of given customers, with its generated text columns."""
+    table = load_spec(PEOPLE_SPEC).table("customer")
+    n = table.rows_for(t(spark, d, "customer").count())
+    out = generate_table(spark, table, n, seed=SEED, as_of=AS_OF, mode="portable", rules=[])
+    return out.select("c_custkey", "patient_name", "email", "zip_code")
+
+
+def q_stream_publish(spark, d):
+    """Events are published as a stream to JSON files in micro-batches, in two runs, and decoded again."""
+    e = t(spark, d, "events")
+    src, out, ck = (scratch_path(spark, x) for x in ("source", "topic", "ckpt"))
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).repartition(6, "event_id").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(src)
+        ev.publish_stream(stream, "registry", ck, out)
+    return ev.read_published(spark, out, e.schema)
+
+
 def q_event_json_roundtrip(spark, d):
     e = t(spark, d, "events")
     return ev.from_events(ev.to_events(e), e.schema)
@@ -525,10 +643,13 @@ QUERIES = {
     "null_fraction": q_null_fraction,
     "distinct_counts": q_distinct_counts,
     "corr_matrix_lineitem": q_corr_matrix_lineitem,
+    "corr_incremental_lineitem": q_corr_incremental_lineitem,
     "joined_corr": q_joined_corr,
     "fk_integrity": q_fk_integrity,
     "quality_report": q_quality_report,
+    "quality_sketches": q_quality_sketches,
     "schema_profile": q_schema_profile,
+    "pii_inventory": q_pii_inventory,
     "pattern_pass_rates": q_pattern_pass_rates,
     "mask_customer": q_mask_customer,
     "mask_audit": q_mask_audit,
@@ -546,11 +667,14 @@ QUERIES = {
     "whole_table_rules": q_whole_table_rules,
     "parent_influence": q_parent_influence,
     "ttl_filter": q_ttl_filter,
+    "ttl_purge": q_ttl_purge,
     "gen_keys_fk": q_gen_keys_fk,
     "gen_ints_floats": q_gen_ints_floats,
     "gen_text": q_gen_text,
     "gen_temporal": q_gen_temporal,
+    "gen_temporal_exact": q_gen_temporal_exact,
     "gen_flags": q_gen_flags,
+    "scaled_rows": q_scaled_rows,
     "gen_star_schema": q_gen_star_schema,
     "gen_claims": q_gen_claims,
     "sample_rows": q_sample_rows,
@@ -560,9 +684,13 @@ QUERIES = {
     "csv_conversations": q_csv_conversations,
     "csv_events": q_csv_events,
     "parquet_roundtrip": q_parquet_roundtrip,
+    "evolve_orders": q_evolve_orders,
     "json_scan": q_json_scan,
+    "catalog_orders": q_catalog_orders,
     "compact_lineitem": q_compact_lineitem,
+    "compact_in_place_lineitem": q_compact_in_place_lineitem,
     "event_json_roundtrip": q_event_json_roundtrip,
+    "stream_publish": q_stream_publish,
     "stream_silver": q_stream_silver,
     "medallion_gold": q_medallion_gold,
 }
