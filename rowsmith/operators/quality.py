@@ -89,18 +89,30 @@ def column_profile(df: DataFrame, table_name: str, approx: bool = False, rsd: fl
     ``PROFILE_COLUMNS`` columns come from one scan; for exact distinct counts Spark
     expands rows per column and deduplicates partially before the shuffle. ``approx``
     swaps those for HyperLogLog++ sketches, which shuffle a few kB per task."""
-    parts = []
-    for at in range(0, len(df.columns), PROFILE_COLUMNS):
-        names = df.columns[at:at + PROFILE_COLUMNS]
-        aggs = [F.count(F.lit(1)).cast("long").alias("rows")]
-        for i, c in enumerate(names):
-            distinct = F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx else F.count_distinct(_nan_to_null(df, c))
-            aggs += [F.coalesce(F.avg(_null_like(df, c).cast("double")), F.lit(0.0)).alias(f"null_fraction__{i}"),
-                     distinct.cast("long").alias(f"distinct_count__{i}")]
-        row = df.agg(*aggs)
-        entries = [F.struct(F.lit(n).alias("column_name"), F.col(f"null_fraction__{i}").alias("null_fraction"),
-                            F.col(f"distinct_count__{i}").alias("distinct_count"), "rows") for i, n in enumerate(names)]
-        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    step = PROFILE_COLUMNS
+    parts = [_profile_part(df, df.columns[at:at + step], approx, rsd) for at in range(0, len(df.columns), step)]
+    return _profile_rows(parts, table_name, with_rows)
+
+
+def exact_profile(df: DataFrame, table_name: str, with_rows: bool = False) -> DataFrame:
+    """The same with exact counts from one aggregate per column: each reads its column only and deduplicates it
+    before the shuffle, where one aggregate of several exact counts expands every row by their number. For
+    tables as stored; a frame that is costly to compute is better written first."""
+    return _profile_rows([_profile_part(df, [c], False, 0.0) for c in df.columns], table_name, with_rows)
+
+
+def _profile_part(df: DataFrame, names: list[str], approx: bool, rsd: float) -> DataFrame:
+    aggs = [F.count(F.lit(1)).cast("long").alias("rows")]
+    for i, c in enumerate(names):
+        distinct = F.approx_count_distinct(_nan_to_null(df, c), rsd) if approx else F.count_distinct(_nan_to_null(df, c))
+        aggs += [F.coalesce(F.avg(_null_like(df, c).cast("double")), F.lit(0.0)).alias(f"null_fraction__{i}"),
+                 distinct.cast("long").alias(f"distinct_count__{i}")]
+    entries = [F.struct(F.lit(n).alias("column_name"), F.col(f"null_fraction__{i}").alias("null_fraction"),
+                        F.col(f"distinct_count__{i}").alias("distinct_count"), "rows") for i, n in enumerate(names)]
+    return df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def _profile_rows(parts: list[DataFrame], table_name: str, with_rows: bool) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -130,13 +142,13 @@ def quality_report(tables: dict, exact: dict | None = None) -> DataFrame:
     parts = []
     for name, df in tables.items():
         if exact is None:
-            prof = column_profile(df, name, with_rows=True)        # row count rides on the null pass
+            prof = exact_profile(df, name, with_rows=True)
         else:
             prof = moments.profile(moments.profile_state(df, name))
             named = [c for c in df.columns if c in exact.get(name, ())]
             if named:
                 prof = prof.where(~F.col("column_name").isin(named)).unionByName(
-                    column_profile(df.select(*named), name, with_rows=True))
+                    exact_profile(df.select(*named), name, with_rows=True))
         parts.append(prof.withColumn("columns", F.lit(len(df.columns)).cast("long")))
     out = parts[0]
     for p in parts[1:]:

@@ -18,7 +18,7 @@ from rowsmith.operators import constraints, correlate, keys, moments, privacy, q
 from rowsmith.operators.correlate import Rule
 from rowsmith.operators.generate import generate_table
 from rowsmith.plans import medallion
-from rowsmith.session import scratch_path, spread, written
+from rowsmith.session import scratch_path, written
 from rowsmith.sources import evolve, io, versions
 from rowsmith.spec import FieldSpec, ForeignKey, TableSpec, load_spec
 from rowsmith.streaming import events as ev
@@ -45,6 +45,23 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BYTES_PER_TASK = 1 << 20     # a small file is dealt to more tasks only at a MB or more each
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A table for CPU-heavy row-level work. A single small file arrives in one partition, which is dealt to as
+    many tasks as there are cores (at about 1 MB each); tables of more files come in many partitions and stay as
+    they are."""
+    df = t(spark, sf_dir, name)
+    slots = spark.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    want = min(slots, size // BYTES_PER_TASK)
+    if files >= slots or want <= files:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
 def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -165,11 +182,11 @@ def q_schema_profile(spark, d):
 
 def people(spark, d) -> DataFrame:
     """Customers with generated person columns (one synthetic person per customer row)."""
-    cust = t(spark, d, "customer")
+    cust = scan(spark, d, "customer", "c_custkey")
     ctx = GenContext(table="people", seed=SEED, as_of=AS_OF, mode="portable", row_col="c_custkey")
     gen = {f.name: field_column(f, ctx) for f in (FieldSpec("patient_name"), FieldSpec("email"),
                                                   FieldSpec("zip_code"))}
-    base = ctx.prepare(spread(cust, "c_custkey"))
+    base = ctx.prepare(cust)
     return ctx.finish(base.withColumns(gen))
 
 
@@ -268,7 +285,7 @@ LINE_SPEC = TableSpec("lineitem", (
 
 
 def lineitem_keyed(spark, d) -> DataFrame:
-    return spread(t(spark, d, "lineitem")).withColumn("_k", line_key())
+    return scan(spark, d, "lineitem").withColumn("_k", line_key())
 
 
 def q_zscore(spark, d):
@@ -362,7 +379,7 @@ def q_ttl_filter(spark, d):
 
 def order_rows(spark, d) -> DataFrame:
     """One synthetic row per order: dense row key 1..n from the order key."""
-    return t(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("_row"))
+    return scan(spark, d, "orders", "o_orderkey").select((F.col("o_orderkey") + 1).alias("_row"))
 
 
 CLAIMS = TableSpec("claims", (FieldSpec("id", "integer"), FieldSpec("patient_id", "integer")),
@@ -384,7 +401,7 @@ NUMBERS = (FieldSpec("visit_count", "integer"), FieldSpec("small_qty", "integer"
 def _gen_over(spark, d, table: str, fields, rows_df: DataFrame, rows: int = 0, batched: bool = False):
     ctx = GenContext(table=table, seed=SEED, as_of=AS_OF, mode="portable", rows=rows, batched=batched)
     cols = [field_column(f, ctx).alias(f.name) for f in fields]
-    return ctx.prepare(spread(rows_df, "_row")).select(F.col("_row").alias("id"), *cols)
+    return ctx.prepare(rows_df).select(F.col("_row").alias("id"), *cols)
 
 
 def q_gen_ints_floats(spark, d):
@@ -399,7 +416,7 @@ TEXT = (FieldSpec("plan", allowed_values=("basic", "plus", "pro")), FieldSpec("n
 
 
 def q_gen_text(spark, d):
-    return _gen_over(spark, d, "people", TEXT, t(spark, d, "customer").select((F.col("c_custkey") + 1).alias("_row")))
+    return _gen_over(spark, d, "people", TEXT, scan(spark, d, "customer", "c_custkey").select((F.col("c_custkey") + 1).alias("_row")))
 
 
 TEMPORAL = (FieldSpec("service_date", "date"), FieldSpec("signup_date", "date"),

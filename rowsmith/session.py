@@ -98,36 +98,3 @@ def ship_package(spark: SparkSession) -> None:
     out = tempfile.mkdtemp(prefix="rowsmith-zip-")
     sc.addPyFile(shutil.make_archive(os.path.join(out, "rowsmith"), "zip", home, "rowsmith"))
     _SHIPPED.add(sc.applicationId)
-
-
-BYTES_PER_TASK = 1 << 20     # spread only inputs estimated at >= 1 MB per extra task
-
-
-def estimated_bytes(df) -> int:
-    """Catalyst's size estimate of a plan (file sizes scaled by the read columns)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return 0
-
-
-def spread(df, key: str | None = None):
-    """Give CPU-heavy row-level work all cores when a sizeable input arrives in fewer
-    partitions than there are task slots (one small file or one row group).
-
-    Large inputs already come in many partitions and tiny ones are not worth
-    splitting: both are returned unchanged, so on a cluster this adds no shuffle.
-    The target count is capped by the estimated size (about 1 MB per task), so a
-    small dimension table is never fanned out to thousands of tasks. Hash
-    partitioning on ``key`` keeps placement deterministic."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no RDD view: leave the plan alone
-        return df
-    if have >= slots:
-        return df
-    want = min(slots, max(1, estimated_bytes(df) // BYTES_PER_TASK))
-    if want <= have:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)

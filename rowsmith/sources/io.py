@@ -3,6 +3,9 @@ partitioned overwrite writes, catalog registration, compaction, exports, samples
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DEFAULT_FORMAT = "parquet"
@@ -102,20 +105,42 @@ def create_schema(spark: SparkSession, schema_name: str, location: str | None =
 def register_table(spark: SparkSession, name: str, path: str, fmt: str = DEFAULT_FORMAT,
                    schema_name: str | None = None) -> str:
     """Register the table at ``path``; returns the full name. An entry whose columns or
-    place are no longer those of the files is made anew (external tables keep their files)."""
+    place are no longer those of the files is replaced (external tables keep their files); it is put aside under
+    another name first and comes back if the new entry can't be made."""
     full = f"`{schema_name}`.`{name}`" if schema_name else f"`{name}`"
+    aside = f"`{schema_name}`.`{name}__old`" if schema_name else f"`{name}__old`"
+    replaced = False
     if spark.catalog.tableExists(full):
         now = {(f.name, f.dataType.simpleString()) for f in spark.read.format(fmt).load(path).schema}
         known = {(f.name, f.dataType.simpleString()) for f in spark.table(full).schema}
-        place = spark.sql(f"DESCRIBE FORMATTED {full}").where("col_name = 'Location'").first()
-        if now != known or place is None or place["data_type"].removeprefix("file:").rstrip("/") != path.removeprefix("file:").rstrip("/"):
-            spark.sql(f"DROP TABLE {full}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {fmt} LOCATION '{path}'")
-    if spark.sql(f"DESCRIBE TABLE {full}").where("col_name = '# Partition Information'").count():
-        spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")   # register the existing directories
+        if now != known or _plain_path(_location(spark, full)) != _plain_path(path):
+            spark.sql(f"DROP TABLE IF EXISTS {aside}")
+            spark.sql(f"ALTER TABLE {full} RENAME TO {aside}")
+            replaced = True
+    try:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING {fmt} LOCATION '{path}'")
+        if spark.sql(f"DESCRIBE TABLE {full}").where("col_name = '# Partition Information'").count():
+            spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")   # register the existing directories
+    except Exception:
+        if replaced:
+            spark.sql(f"DROP TABLE IF EXISTS {full}")
+            spark.sql(f"ALTER TABLE {aside} RENAME TO {full}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {aside}")
     return full
 
 
+def _location(spark: SparkSession, full: str) -> str:
+    """Where a catalog entry's files are."""
+    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {full} AS JSON").first()[0]).get("location", "")
+
+
+def _plain_path(path: str) -> str:
+    """A path without slashes after its scheme, the local scheme and a slash at its end."""
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/*", r"\1:/", path).removeprefix("file:").rstrip("/")
+
+
 #: Bytes that a compacted file aims at.
 FILE_BYTES = 256 << 20
 

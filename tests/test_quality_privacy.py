@@ -210,3 +210,19 @@ def test_gold_keeps_a_column_named_like_a_partition_key(spark, tmp_path):
     assert set(spark.table("rowsmith_m.slv_x").columns) >= {"ship", "ship_date", "cost"}
     assert [r.at_date for r in spark.table("rowsmith_m.slv_y").collect()] == ["mine", "mine"]
     assert spark.read.parquet(outs["gld_x_summary"]).first().row_count == 2
+
+
+def test_failed_registration_keeps_the_old_entry(spark, tmp_path):
+    import pytest
+    from rowsmith.sources import io
+    io.create_schema(spark, "rowsmith_f", str(tmp_path / "f.db"))
+    path, other = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.range(3).write.parquet(path)
+    spark.range(4).selectExpr("id", "id AS x").write.parquet(other)
+    name = io.register_table(spark, "t", path, schema_name="rowsmith_f")
+    with pytest.raises(Exception):
+        io.register_table(spark, "t", other, fmt="no_such_format", schema_name="rowsmith_f")
+    assert spark.table(name).count() == 3
+    assert spark.table(io.register_table(spark, "t", other, schema_name="rowsmith_f")).columns == ["id", "x"]
+    assert [r["tableName"] for r in spark.sql("SHOW TABLES IN rowsmith_f").collect()] == ["t"]
+    spark.sql("DROP SCHEMA rowsmith_f CASCADE")
