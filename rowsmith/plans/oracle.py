@@ -8,14 +8,101 @@ arithmetic order (so doubles agree bit for bit) and the same output names/types.
 from __future__ import annotations
 
 import math
+from datetime import datetime
+from functools import lru_cache
 from itertools import combinations_with_replacement
+from typing import NamedTuple
 
-from rowsmith.functions import pools, rng
-from rowsmith.functions import fields as G
-from rowsmith.operators import correlate
+from rowsmith.functions import pools
 from rowsmith.plans import registry as R
 
-SEED = R.SEED
+# Written out here, not imported, so that a wrong rule set, distribution table or keyword list in the library
+# shows: seeds, times, rule lists, keyword lists, defaults, and the two distribution tables computed anew.
+SEED = 42
+TWO52 = float(2 ** 52)
+AS_OF = datetime(2024, 2, 1)
+PLAIN = "positive"
+
+
+class Rule(NamedTuple):
+    source: str
+    target: str
+    kind: str
+    strength: float
+    direction: str = PLAIN
+
+    @property
+    def sign(self) -> float:
+        return 1.0 if self.direction == PLAIN else -1.0
+
+
+CHAIN_RULES = (
+    Rule("l_quantity", "l_extendedprice", "num_num", 0.35), Rule("l_returnflag", "l_extendedprice", "bool_num", 0.22),
+    Rule("l_linestatus", "l_extendedprice", "bool_num", 0.22), Rule("is_large", "l_extendedprice", "bool_num", 0.22),
+    Rule("l_discount", "l_tax", "num_num", 0.5), Rule("l_extendedprice", "is_large", "num_bool", 0.42))
+WHOLE_TABLE_RULES = (
+    Rule("l_quantity", "l_tax", "num_num", 0.5), Rule("l_quantity", "l_extendedprice", "num_num", 0.35),
+    Rule("l_discount", "l_tax", "num_num", 0.5), Rule("l_discount", "l_extendedprice", "num_num", 0.35),
+    Rule("l_linenumber", "l_tax", "num_num", 0.5), Rule("l_linenumber", "l_extendedprice", "num_num", 0.35),
+    Rule("l_suppkey", "l_tax", "num_num", 0.5), Rule("l_suppkey", "l_extendedprice", "num_num", 0.35),
+    Rule("l_partkey", "l_tax", "num_num", 0.5), Rule("l_partkey", "l_extendedprice", "num_num", 0.35))
+VISIT_RULES = (Rule("readmission_risk_score", "cost", "num_num", 0.35),)
+POISSON_WORDS = ("count", "qty", "quantity")
+BETA_WORDS = ("score", "probability", "rate", "ratio")
+AMOUNT_WORDS = ("amount", "price", "cost", "value")
+RARE_FLAG_WORDS = ("fraud", "risk", "abnormal")
+ORDERED_DATE_WORDS = ("created", "start", "signup", "opened")
+ORDERED_TS_WORDS = ("created", "event", "timestamp", "occurred", "updated")
+INT_DEFAULT, FLOAT_DEFAULT = (0, 10000), (0.0, 1000.0)
+BETA_A, BETA_B, BETA_POINTS = 2.2, 3.6, 1024
+LOGNORMAL_SIGMA = 0.85
+RARE_FLAG_P, FLAG_P = 0.18, 0.5
+DAYS_BACK, HOURS_BACK = 730, 8760
+
+
+@lru_cache(maxsize=64)
+def poisson_cdf(lam: float) -> tuple:
+    """P(X <= k) until nothing is left that a double shows, each probability from the log-gamma function."""
+    one = lambda i: math.exp(i * math.log(lam) - lam - math.lgamma(i + 1))
+    last = next(k for k in range(int(lam), 10_000) if one(k) < 1e-18)
+    return tuple(min(1.0, math.fsum(map(one, range(k + 1)))) for k in range(last))
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz)."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_cdf(1.0 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        term = 1.0 if i == 0 else (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0
+                                   else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+        d = 1.0 / (1.0 + term * d or 1e-300)
+        c = 1.0 + term / c or 1e-300
+        value *= c * d
+        if abs(1.0 - c * d) < 1e-16:
+            break
+    return front * (value - 1.0)
+
+
+@lru_cache(maxsize=4)
+def beta_quantiles(a: float, b: float) -> tuple:
+    out = [0.0]
+    for i in range(1, BETA_POINTS):
+        lo, hi = out[-1], 1.0
+        for _ in range(50):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if beta_cdf(mid, a, b) < i / BETA_POINTS else (lo, mid)
+        out.append((lo + hi) / 2)
+    return (*out, 1.0)
+
+
+def status_values(name: str) -> tuple:
+    """The vocabulary of the first keyword that the column's name holds."""
+    return next((v for k, v in pools.STATUS_VALUES if k in name.lower()), pools.DEFAULT_STATUS)
 
 # Column lists of the given tables (name, kind): kind 'f' marks floating columns.
 SCHEMAS = {
@@ -42,6 +129,10 @@ SCHEMAS = {
 }
 
 
+def epoch_of(ts: datetime) -> int:
+    return int((ts - datetime(1970, 1, 1)).total_seconds())
+
+
 def dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
@@ -63,11 +154,11 @@ def bits(table: str, column: str, key: str, draw: int = 0) -> str:
 
 
 def u(table: str, column: str, key: str, draw: int = 0) -> str:
-    return f"(CAST({bits(table, column, key, draw)} AS DOUBLE) / {dbl(rng.TWO52)})"
+    return f"(CAST({bits(table, column, key, draw)} AS DOUBLE) / {dbl(TWO52)})"
 
 
 def u_open(table, column, key, draw=0) -> str:
-    return f"(CAST(({bits(table, column, key, draw)} + 1) AS DOUBLE) / {dbl(rng.TWO52)})"
+    return f"(CAST(({bits(table, column, key, draw)} + 1) AS DOUBLE) / {dbl(TWO52)})"
 
 
 def pick(uexpr: str, values) -> str:
@@ -115,13 +206,13 @@ def constrain(f, x: str, u_allowed: str | None) -> str:
 # Generators (mirror rowsmith.functions.fields with mode='portable').
 
 def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, batch_rows: int = 25_000,
-              as_of=R.AS_OF) -> str:
+              as_of=AS_OF) -> str:
     name = f.name.lower()
     U = lambda col=f.name, draw=0: u(table, col, key, draw)
     if f.allowed_values:
         return pick(U(), f.allowed_values)
-    if f.faker and f.faker in G.PROVIDERS:
-        return {"first_name": lambda: first(table, f.name, key)}[f.faker]()
+    if f.faker == "first_name":
+        return first(table, f.name, key)
     if "email" in name:
         return email(table, f.name, key)
     if "name" in name:
@@ -137,19 +228,19 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
         return (f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '4' || substr({h}, 14, 3), "
                 f"{variant} || substr({h}, 18, 3), substr({h}, 21, 12))")
     if f.type == "integer":
-        lo = int(f.min_value if f.min_value is not None else G.INT_DEFAULT[0])
-        hi = int(f.max_value if f.max_value is not None else G.INT_DEFAULT[1])
-        if any(k in name for k in G.POISSON_WORDS):
+        lo = int(f.min_value if f.min_value is not None else INT_DEFAULT[0])
+        hi = int(f.max_value if f.max_value is not None else INT_DEFAULT[1])
+        if any(k in name for k in POISSON_WORDS):
             lam = max(2.0, min(20.0, (hi - lo) / 6 if hi > lo else 3.0))
-            s = poisson_sql(U(), rng.poisson_cdf(lam))
+            s = poisson_sql(U(), poisson_cdf(lam))
             return f"CAST(least(greatest(({s}) + {lo}, {lo}), {max(lo + 1, hi)}) AS BIGINT)"
         width = max(lo + 1, hi + 1) - lo
         return f"CAST(({lo} + floor({U()} * {width})) AS BIGINT)"
     if f.type == "float":
-        lo = float(f.min_value if f.min_value is not None else G.FLOAT_DEFAULT[0])
-        hi = float(f.max_value if f.max_value is not None else G.FLOAT_DEFAULT[1])
-        if any(k in name for k in G.BETA_WORDS):
-            qs = rng.beta_quantiles(G.BETA_A, G.BETA_B)
+        lo = float(f.min_value if f.min_value is not None else FLOAT_DEFAULT[0])
+        hi = float(f.max_value if f.max_value is not None else FLOAT_DEFAULT[1])
+        if any(k in name for k in BETA_WORDS):
+            qs = beta_quantiles(BETA_A, BETA_B)
             n = len(qs) - 1
             pos = f"({U()} * {dbl(n)})"
             i = f"least(CAST(floor({pos}) AS INTEGER), {n - 1})"
@@ -158,11 +249,11 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
             if hi > lo:
                 v = f"({dbl(lo)} + ({v} * {dbl(hi - lo)}))"
             return f"round({v}, 4)"
-        if any(k in name for k in G.AMOUNT_WORDS):
+        if any(k in name for k in AMOUNT_WORDS):
             scale = max((hi - lo) / 4 if hi > lo else 1.0, 1.0)
             z = (f"(sqrt({dbl(-2.0)} * ln({u_open(table, f.name, key, 0)})) * "
                  f"cos({dbl(2.0 * math.pi)} * {u(table, f.name, key, 1)}))")
-            v = f"greatest((({dbl(scale)} * exp({dbl(G.LOGNORMAL_SIGMA)} * {z})) + {dbl(lo)}), {dbl(lo)})"
+            v = f"greatest((({dbl(scale)} * exp({dbl(LOGNORMAL_SIGMA)} * {z})) + {dbl(lo)}), {dbl(lo)})"
             if hi > lo:
                 v = f"least({v}, {dbl(hi)})"
             return f"round({v}, 2)"
@@ -170,11 +261,11 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
             return dbl(lo)
         return f"round(({dbl(lo)} + ({U()} * {dbl(hi - lo)})), 4)"
     if f.type == "boolean":
-        p = G.RARE_FLAG_P if any(k in name for k in G.RARE_FLAG_WORDS) else G.FLAG_P
+        p = RARE_FLAG_P if any(k in name for k in RARE_FLAG_WORDS) else FLAG_P
         return f"({U()} < {dbl(p)})"
     if f.type in ("date", "datetime"):
-        ordered = G.ORDERED_DATE_WORDS if f.type == "date" else G.ORDERED_TS_WORDS
-        span = G.DAYS_BACK if f.type == "date" else G.HOURS_BACK
+        ordered = ORDERED_DATE_WORDS if f.type == "date" else ORDERED_TS_WORDS
+        span = DAYS_BACK if f.type == "date" else HOURS_BACK
         if any(k in name for k in ordered):
             row0 = f"({key} - 1)"
             rows_s = rows if isinstance(rows, str) else str(max(int(rows), 1))
@@ -189,10 +280,10 @@ def gen_field(f, table: str, key: str, rows: int = 0, batched: bool = False, bat
             back = f"floor({U()} * {span})"
         if f.type == "date":
             return f"(DATE '{as_of.date().isoformat()}' - CAST({back} AS INTEGER))"
-        epoch = G._epoch(as_of)
+        epoch = epoch_of(as_of)
         return f"(TIMESTAMP '1970-01-01 00:00:00' + to_seconds({epoch} - CAST({back} AS BIGINT) * 3600))"
     if "status" in name:
-        return pick(U(), G.status_values(name))
+        return pick(U(), status_values(name))
     if "country" in name:
         return pick(U(), pools.COUNTRIES)
     if "city" in name:
@@ -229,7 +320,7 @@ def email(table, column, key) -> str:
 
 
 # ---------------------------------------------------------------------------
-# Rules (mirror rowsmith.operators.correlate.apply_rule / apply_parent_influence).
+# Rules (as rowsmith.operators.correlate.apply_rule / apply_parent_influence compute them).
 
 def _over(by) -> str:
     return f"OVER (PARTITION BY {', '.join(by)})" if by else "OVER ()"
@@ -325,14 +416,14 @@ def rule_chain_sql() -> str:
     base = (f"SELECT *, {LINE_KEY_SQL} AS _k, false AS is_large, "
             f"{batch} AS _batch FROM lineitem")
     kinds = dict(LINE_KINDS, is_large="b")
-    return chain_sql(base, LINE_COLS + ["_k", "is_large", "_batch"], kinds, R.chain_rules(), R.LINE_SPEC,
+    return chain_sql(base, LINE_COLS + ["_k", "is_large", "_batch"], kinds, CHAIN_RULES, R.LINE_SPEC,
                      ["_batch"], "lineitem", "_k", [LK, "l_extendedprice", "l_tax", "is_large"])
 
 
 def whole_table_rules_sql() -> str:
     base = (f"SELECT * REPLACE (CASE WHEN l_returnflag <> 'R' THEN l_tax END AS l_tax, "
             f"CASE WHEN l_linestatus = 'O' THEN l_extendedprice END AS l_extendedprice), {LINE_KEY_SQL} AS _k FROM lineitem")
-    return chain_sql(base, LINE_COLS + ["_k"], LINE_KINDS, R.whole_table_rules(), R.LINE_SPEC, None,
+    return chain_sql(base, LINE_COLS + ["_k"], LINE_KINDS, WHOLE_TABLE_RULES, R.LINE_SPEC, None,
                      "lineitem", "_k", [LK, "l_extendedprice", "l_tax"])
 
 
@@ -467,9 +558,9 @@ def gen_temporal_exact_sql() -> str:
             f"{u('visits', 'signup_date', '(o_orderkey + 1)')} AS u1, {u('visits', 'created_at', '(o_orderkey + 1)')} AS u2 FROM orders")
     rank = lambda c: f"(SELECT b, row_number() OVER (PARTITION BY b ORDER BY {c}) - 1 AS p, {c} AS s FROM r)"
     plain = {f.name: gen_field(f, "visits", "_row") for f in R.TEMPORAL}
-    epoch = G._epoch(R.AS_OF)
+    epoch = epoch_of(AS_OF)
     return (f"WITH r AS ({base}) SELECT _row AS id, {plain['service_date']} AS service_date, "
-            f"(DATE '{R.AS_OF.date().isoformat()}' - CAST(729 - floor(x.s * 730) AS INTEGER)) AS signup_date, "
+            f"(DATE '{AS_OF.date().isoformat()}' - CAST(729 - floor(x.s * 730) AS INTEGER)) AS signup_date, "
             f"{plain['visit_time']} AS visit_time, (TIMESTAMP '1970-01-01 00:00:00' + to_seconds({epoch} - "
             f"CAST(8759 - floor(y.s * 8760) AS BIGINT) * 3600)) AS created_at "
             f"FROM r JOIN {rank('u1')} x ON r.b = x.b AND r.p = x.p JOIN {rank('u2')} y ON r.b = y.b AND r.p = y.p")
@@ -519,7 +610,7 @@ def visits_sql() -> str:
     ctes.append(shift("c2", "c3", "customer_id__comorbidity_count", ["length_of_stay", "cost", "readmission_risk_score"],
                       0.24, "comorb"))
     cols = ["_row", "_batch", "id", "customer_id", "length_of_stay", "cost", "readmission_risk_score", "visit_date"]
-    rules = correlate.default_rules(cl)
+    rules = VISIT_RULES
     chain = chain_sql("SELECT * FROM c3", cols, {c: ("f" if c in ("cost", "readmission_risk_score") else "i") for c in cols},
                       rules, cl, ["_batch"], "visits", "_row", ["id", "customer_id", "length_of_stay", "cost",
                                                                 "readmission_risk_score", "visit_date"],
@@ -615,12 +706,12 @@ def oracle_queries() -> dict:
     zs = safe_z("__s", "avg(__s) OVER ()", "stddev_samp(__s) OVER ()")
     out["zscore"] = (f"SELECT {LK}, round({zs}, 6) AS l_quantity_z FROM (SELECT *, "
                      f"coalesce({as_double('l_quantity')}, {dbl(0.0)}) AS __s FROM lineitem)")
-    out["num_num"] = line_rule_sql(correlate.Rule("l_quantity", "l_extendedprice", "num_num", 0.35),
+    out["num_num"] = line_rule_sql(Rule("l_quantity", "l_extendedprice", "num_num", 0.35),
                                    ["l_extendedprice"])
-    out["flag_num"] = line_rule_sql(correlate.Rule("is_returned", "l_extendedprice", "bool_num", 0.22),
+    out["flag_num"] = line_rule_sql(Rule("is_returned", "l_extendedprice", "bool_num", 0.22),
                                     ["l_extendedprice"], ", (l_returnflag = 'R') AS is_returned", ["is_returned"],
                                     extra_kinds={"is_returned": "b"})
-    out["num_flag"] = line_rule_sql(correlate.Rule("l_quantity", "is_large", "num_bool", 0.42), ["is_large"],
+    out["num_flag"] = line_rule_sql(Rule("l_quantity", "is_large", "num_bool", 0.42), ["is_large"],
                                     ", false AS is_large", ["is_large"], extra_kinds={"is_large": "b"})
     out["rule_chain"] = rule_chain_sql()
     out["whole_table_rules"] = whole_table_rules_sql()
