@@ -15,7 +15,8 @@ def _star(edges: DataFrame, smaller: bool) -> DataFrame:
         e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     else:
         e = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written, so that both sides of the join are plain shuffles and AQE can split a star's centre
+    least = stored(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     j = e.join(least, "a")
     if smaller:
         out = j.select(F.col("b").alias("x"), "m").unionAll(j.select(F.col("a").alias("x"), "m"))
@@ -36,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b: long); a component is named by its
     least node. Rounds go on until every node is linked to its component's least node only; each
     is written to the shared scratch folder, so a lost executor repeats one round at most."""
-    e = stored(edges.filter("a <> b").distinct(), "links", narrow=True)
+    e = stored(edges.filter("a <> b").distinct(), "links")
     while True:
-        e = stored(_star(_star(e, False), True), "links", narrow=True)
+        e = stored(_star(_star(e, False), True), "links")
         if _is_stars(e):
             break
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -263,7 +263,8 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
     buckets = _buckets(classes)
 
     star = buckets.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    todo = stored(_estimated(star, classes, limit), "pairs", narrow=True)
+    # dealt anew for the write (AQE merges small parts), so that estimates and cells run in all tasks
+    todo = stored(_estimated(star, classes, limit).hint("rebalance"), "pairs")
     # every class that any later round can pair has a partner in some bucket
     sample = classes.join(buckets.select("cls"), "cls", "left_semi").select(
         "cls", "set_id", F.xxhash64("sample.doc_id").alias("id_hash"))
@@ -276,7 +277,7 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
     labels = components(links)
     members = buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
         "bucket", "band", "cls", F.coalesce("component", "cls").alias("comp"))
-    fresh = stored(_crossing(_mixed(members), classes, sets, limit), "links-found", narrow=True)
+    fresh = stored(_crossing(_mixed(members), classes, sets, limit).hint("rebalance"), "links-found")
     # components that the new links join, as old name -> new name
     merged = components(fresh.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")))
     labels = stored(_renamed(_all_labels(labels, fresh), merged.toDF("old", "new")), "components", narrow=True)
@@ -289,8 +290,9 @@ def _analyse(docs: DataFrame, limit: Threshold) -> DataFrame:
 def groups(docs: DataFrame, limit: Threshold = Threshold()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id of the component; its own for an
     empty set) and kept (doc_id = component_id)."""
-    rows = stored(_analyse(docs, limit), "near-rows", narrow=True)
-    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    rows = stored(_analyse(docs, limit).hint("rebalance"), "near-rows")
+    # aggregates are written before joins back, so that AQE can split a component with very many rows
+    least = stored(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "near-least", narrow=True)
     out = rows.join(least, "comp", "left")
     named = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", named.alias("component_id"), F.col("doc_id").eqNullSafe(named).alias("kept"))
@@ -301,8 +303,8 @@ def dedup(docs: DataFrame, limit: Threshold = Threshold()) -> DataFrame:
     and every row without words. Rows whose key is in a Bloom filter of the dropped ones are
     shuffled to be told apart; all other rows pass straight through."""
     rows = stored(_analyse(docs, limit), "near-rows")
-    best = rows.filter("comp is not null").groupBy("comp").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    best = stored(rows.filter("comp is not null").groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")), "near-best", narrow=True)
     lost = rows.join(best, "comp").filter("row <> best.row").select(
         F.xxhash64("doc_id", "text_key").alias("key")).distinct()
     twins = rows.join(best, "comp").filter("row = best.row").select(
