@@ -6,7 +6,7 @@ of ``CELLS`` doc_id hashes): a constant number of sums. The map starts with slot
 rebalancing edits it by single moves from the fullest shard to the emptiest until no move helps,
 and every state is stored with its version. A slot heavier than a shard's share is cut into
 parts by another hash of the text, so copies still lie together; only a text that is itself
-heavier than a share (one that very many rows share) is cut by doc_id. Growing moves parts to the
+heavier than a share (one that very many rows share) is cut by doc_id, and its cells as finely as its rows need. Growing moves parts to the
 new shard only. A row's place in its shard is its cell's offset plus its rank in the cell, so
 ranking needs no task per shard.
 
@@ -29,6 +29,9 @@ from rowsmith.session import scratch_path
 SLOTS = 4096
 CELLS = 64
 SHARDS = 16
+#: A hot text's cells are cut again, into up to FINE cells of about CELL_ROWS rows each.
+FINE = 1 << 14
+CELL_ROWS = 1 << 18
 #: Rows that may share a doc_id before a row number, too, spreads them over cells.
 REPEATS = 8192
 
@@ -119,37 +122,42 @@ class SlotMap:
 
 
 def records(docs: DataFrame, slots: int = SLOTS, cells: int = CELLS) -> DataFrame:
-    """doc_id, size, text_crc32, text_hash, virtual_slot and cell of every row."""
+    """doc_id, size, text_crc32, text_hash, virtual_slot, cell and fine (a cell of FINE as many) of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"), F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"))
-    cell = F.pmod(F.xxhash64(F.lit(11), "doc_id", "repeat"), F.lit(cells)).cast("int")
-    return with_repeat(rows, REPEATS).withColumn("cell", cell).drop("repeat")
+    fine = F.pmod(F.xxhash64(F.lit(11), "doc_id", "repeat"), F.lit(cells * FINE)).cast("int")
+    return with_repeat(rows, REPEATS).withColumn("fine", fine).withColumn("cell", fine % cells).drop("repeat")
 
 
-def cuts(rows: DataFrame, shards: int = SHARDS) -> tuple[list[int], list[int]]:
-    """The slots heavier than a shard's share and the hashes of the texts in them that are so
-    themselves: each fewer than ``shards``. Collects one row a slot besides."""
+def cuts(rows: DataFrame, shards: int = SHARDS) -> tuple[list[int], list[int], int]:
+    """The slots heavier than a shard's share, the hashes of the texts in them that are so
+    themselves (each fewer than ``shards``), and how many cells such a text's cell is cut into again, so that
+    a task ranks about ``CELL_ROWS`` rows. Collects one row a slot besides."""
     slots = {r["virtual_slot"]: r["b"] for r in
              rows.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
     share = sum(slots.values()) / shards
     heavy = sorted(s for s, b in slots.items() if b > share)
     if not heavy:
-        return [], []
-    texts = rows.filter(F.col("virtual_slot").isin(heavy)).groupBy("text_hash").agg(F.sum("size").alias("b"))
-    return heavy, sorted(r["text_hash"] for r in texts.filter(F.col("b") > share).collect())
+        return [], [], 1
+    texts = rows.filter(F.col("virtual_slot").isin(heavy)).groupBy("text_hash").agg(
+        F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("b") > share).collect()
+    most = max((r["n"] for r in texts), default=0)
+    return heavy, sorted(r["text_hash"] for r in texts), min(FINE, 1 << max(0, -(-most // (CELLS * CELL_ROWS)) - 1).bit_length())
 
 
-def with_parts(rows: DataFrame, heavy: list[int], hot: list[int]) -> DataFrame:
-    """Adds part: 0; in heavy slots a hash of the text; for hot texts their number and the cell."""
+def with_parts(rows: DataFrame, heavy: list[int], hot: list[int], fine: int = 1) -> DataFrame:
+    """Adds part: 0; in heavy slots a hash of the text; for hot texts their number and the cell, which is then cut
+    into ``fine`` cells for ranking (a power of two; their places follow each other in the part's shard)."""
     if not heavy:
-        return rows.withColumn("part", F.lit(0))
+        return rows.withColumn("part", F.lit(0)).drop("fine")
     nth = F.array_position(F.array(*[F.lit(h).cast("long") for h in hot]).cast("array<long>"), F.col("text_hash"))
     part = F.when(nth > 0, nth * CELLS + F.col("cell")) \
             .when(F.col("virtual_slot").isin(heavy), F.pmod(F.xxhash64(F.lit(13), "text_hash"), F.lit(CELLS))) \
             .otherwise(0)
-    return rows.withColumn("part", part.cast("int"))
+    cell = F.when(nth > 0, F.col("fine") % (CELLS * fine)).otherwise(F.col("cell"))
+    return rows.withColumn("part", part.cast("int")).withColumn("cell", cell).drop("fine")
 
 
 def build_map(cells: DataFrame, heavy: list[int], hot: list[int], shards: int = SHARDS) -> SlotMap:
@@ -166,8 +174,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None) ->
     """Every row's shard and place in it; the versioned map is stored under ``map_path``."""
     spark = docs.sparkSession
     rows = stored(records(docs), "shard-records")
-    heavy, hot = cuts(rows, shards)
-    rows = with_parts(rows, heavy, hot)
+    heavy, hot, fine = cuts(rows, shards)
+    rows = with_parts(rows, heavy, hot, fine)
     cell = ["virtual_slot", "part", "cell"]
     cells = stored(rows.groupBy(*cell).agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-cells")

@@ -104,6 +104,29 @@ def test_empty_tables(empty):
     assert exactdedup.annotate(empty).collect() == [] and exactdedup.dedup(empty).columns == empty.columns
 
 
+def test_cells_of_a_hot_text_follow_its_rows(spark, monkeypatch):
+    """A text that most rows share is ranked in as many cells as its rows need; places stay gapless."""
+    docs = spark.createDataFrame([(i, "the same text " * 20) for i in range(3000)] + [(5000 + i, f"text {i % 90}") for i in range(200)]
+                                 + [(None, None), (7, "the same text " * 20)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(sharding, "CELL_ROWS", 4)
+    rows = sharding.records(docs).cache()
+    heavy, hot, fine = sharding.cuts(rows)
+    assert len(hot) == 1 and fine == 16
+    cut = sharding.with_parts(rows, heavy, hot, fine)
+    own = cut.filter(F.col("text_hash") == hot[0]).groupBy("part", "cell").count().collect()
+    assert len(own) > 600 and len({r["part"] for r in own}) == 64 and all(r["part"] % 64 == r["cell"] % 64 for r in own)
+    out = sharding.shard(docs).collect()
+    assert len(out) == 3202
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert len(size) == 16 and max(size.values()) < 1.1 * min(size.values())
+
+
 def _targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
