@@ -10,7 +10,8 @@ The score is the share of the greatest possible distance that the winner saves,
 text that shares no n-gram with any profile, and low for very short texts. Ties in counts go to
 the smaller n-gram, ties in distance to the language first in code point order. Null text and text
 without letters is ``und`` with score 0; a text of any length is profiled whole; without
-training rows everything is ``und``; repeated rows are scored each; extra columns are not read.
+training rows everything is ``und``; repeated rows are scored each; an alphabet of any size is counted
+exactly; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -79,13 +80,18 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not grams:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, alphabet
-    span = base ** LONGEST
-    key = np.concatenate(owners) * span + np.concatenate(grams)
+    span, names = base ** LONGEST, None
+    owners, grams = np.concatenate(owners), np.concatenate(grams)
+    if len(rows) * span >= 1 << 63:         # row and gram don't fit one number: number the grams that occur
+        names, grams = np.unique(grams, return_inverse=True)
+        span = len(names)
+    key = owners * span + grams
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key)))
     key = key[first]
-    return key // span, key % span, count, alphabet
+    gram = key % span
+    return key // span, gram if names is None else names[gram], count, alphabet
 
 
 def _spell(gram: int, alphabet: np.ndarray) -> str:

@@ -182,6 +182,23 @@ def test_wide_spellings_are_learned(spark):
     assert kinds["email"] == 30 and kinds["phone"] == 30
 
 
+def test_wide_alphabets_are_counted_exactly():
+    """Rows whose letters make row and n-gram too large for one 64-bit number."""
+    rnd = random.Random(1)
+    letters = [chr(c) for c in range(0x4E00, 0x9FF0)] + [chr(c) for c in range(0x20000, 0x2A6D0)]
+    rows = ["".join(rnd.sample(letters, 2500)) + "ab ab" for _ in range(60)] * 500 + [None, ""]
+    rows = rows[:60] + ["ab"] * 30_000 + rows[-2:]
+    row, gram, count, alphabet = langid._grams(pa.array(rows, pa.string()))
+    assert len(rows) * (len(alphabet) + 1) ** 3 >= 1 << 63
+    for r in (0, 59, 60, 30_000):
+        at = np.flatnonzero(row == r)
+        got = {langid._spell(g, alphabet): int(c) for g, c in zip(gram[at], count[at])}
+        text = rows[r].lower()
+        want = Counter(text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
+        want.pop(" ", None)
+        assert got == want
+
+
 def test_overlaps_equal_brute_force(spark):
     """A wide span stays unless it overlaps a base span or a wide span before it."""
     rnd = random.Random(6)
