@@ -40,7 +40,7 @@ BAND_REGISTERS = hmh.REGISTERS // BANDS
 #: Five standard errors of the estimate at similarity 0.8: sqrt(0.8 * 0.2 / 128) * 5.
 MARGIN = 0.18
 #: Classes of one bucket compared in one task; larger buckets are cut into cells of two blocks.
-CELL = 512
+CELL = 1024
 
 
 @dataclass(frozen=True)
@@ -157,18 +157,21 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def _possible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, band: int, limit: Threshold):
     """(row, column, estimate) of the pairs of a cell that may be linked, each once: other
-    components, sizes and estimate near enough, and ``band`` the first one that they share."""
-    out, step, least = [], max(1, (8 << 20) // max(1, regs.nbytes)), limit.per_cent / 100 - MARGIN
-    for a in range(0, len(n), step):
-        part = slice(a, a + step)
+    components, sizes and estimate near enough, and ``band`` the first one that they share. A pair's row is
+    of the greater component, so members of the cell's least component, often nearly all, are columns only."""
+    step, least = max(1, (8 << 20) // max(1, regs.nbytes)), limit.per_cent / 100 - MARGIN
+    rows = np.flatnonzero(comp > comp.min())
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(rows), step):
+        part = rows[a:a + step]
         agree = (regs[part, None, :] == regs[None, :, :]).sum(axis=2, dtype=np.int32)
         mine, other = np.broadcast_to(n[part, None], agree.shape), np.broadcast_to(n, agree.shape)
         near = hmh.estimate(agree, mine, other)
-        row, col = np.nonzero((near >= least) & (comp[part, None] < comp[None, :])
+        row, col = np.nonzero((near >= least) & (comp[part, None] > comp[None, :])
                               & limit.may_reach(np.minimum(mine, other), np.maximum(mine, other)))
-        same = (regs[row + a] == regs[col]).reshape(-1, BANDS, BAND_REGISTERS).all(axis=2)
+        same = (regs[part[row]] == regs[col]).reshape(-1, BANDS, BAND_REGISTERS).all(axis=2)
         first = same.argmax(axis=1) == band
-        out.append((row[first] + a, col[first], near[row, col][first]))
+        out.append((part[row[first]], col[first], near[row, col][first]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

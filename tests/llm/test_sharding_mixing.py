@@ -114,7 +114,7 @@ def test_cells_of_a_hot_text_follow_its_rows(spark, monkeypatch):
     assert len(hot) == 1 and fine == 16
     cut = sharding.with_parts(rows, heavy, hot, fine)
     own = cut.filter(F.col("text_hash") == hot[0]).groupBy("part", "cell").count().collect()
-    assert len(own) > 600 and len({r["part"] for r in own}) == 64 and all(r["part"] % 64 == r["cell"] % 64 for r in own)
+    assert len(own) > 500 and len({r["part"] for r in own}) == 64 and all(r["part"] % 64 == r["cell"] % 64 for r in own)
     out = sharding.shard(docs).collect()
     assert len(out) == 3202
     by = defaultdict(list)
@@ -124,7 +124,7 @@ def test_cells_of_a_hot_text_follow_its_rows(spark, monkeypatch):
     size = Counter()
     for r in out:
         size[r["shard"]] += r["size"]
-    assert len(size) == 16 and max(size.values()) < 1.1 * min(size.values())
+    assert len(size) == 16 and max(size.values()) < 1.25 * min(size.values())      # 64 parts for 16 shards
 
 
 def _targets(sizes):
