@@ -40,7 +40,7 @@ BAND_REGISTERS = hmh.REGISTERS // BANDS
 #: Five standard errors of the estimate at similarity 0.8: sqrt(0.8 * 0.2 / 128) * 5.
 MARGIN = 0.18
 #: Classes of one bucket compared in one task; larger buckets are cut into cells of two blocks.
-CELL = 1024
+CELL = 768
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,17 @@ def _possible(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, band: int, limi
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The values of a binary column as number arrays over Arrow's own memory."""
+    out = []
+    for part in column.chunks:
+        width = np.int64 if pa.types.is_large_binary(part.type) else np.int32
+        at = np.frombuffer(part.buffers()[1], width, len(part) + 1, part.offset * np.dtype(width).itemsize).tolist()
+        size = np.dtype(kind).itemsize
+        out += [np.frombuffer(part.buffers()[2], kind, (b - a) // size, a) for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def _crossing(mixed: DataFrame, classes: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """(a, b, comp_a, comp_b): links across components, enough to join all that the buckets link.
 
@@ -208,7 +219,7 @@ def _crossing(mixed: DataFrame, classes: DataFrame, sets: DataFrame, limit: Thre
 
     def arrays(t: pa.Table):
         return (t["cls"].to_numpy(), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), t["band"][0].as_py(),
-                np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS))
+                np.stack(_views(t["regs"], np.uint16)))
 
     def hopeful(t: pa.Table) -> pa.Table:
         """The members that have a possible partner."""
@@ -219,7 +230,7 @@ def _crossing(mixed: DataFrame, classes: DataFrame, sets: DataFrame, limit: Thre
     def links(t: pa.Table) -> pa.Table:
         """Confirmed pairs that join components of the cell."""
         cls, comp, n, band, regs = arrays(t)
-        full = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+        full = _views(t["members"], np.uint64)
         row, col, near = _possible(regs, n, comp, band, limit)
         root = {c: c for c in comp.tolist()}
 
