@@ -154,7 +154,11 @@ def test_given_rows_and_parents_are_read(spark):
     from rowsmith.plans import registry as R
     df = R.q_gen_claims(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "orders.parquet" in plan and "customer.parquet" in plan and "Range (" not in plan
+    # parents are ranked and written once, before the plan that joins them
+    assert "orders.parquet" in plan and "rowsmith-ranked" in plan and "Range (" not in plan
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert df.join(customers, df.customer_id == customers.c_custkey, "left_anti").isEmpty()
+    assert df.select("customer_id").distinct().count() > 0.9 * customers.count()
     assert df.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
 
 
