@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ def test_odd_vectors(spark):
     assert _got(df, 10, F.col("vec_id") % 100 == 0) == _brute(rows, 10, lambda i: i % 100 == 0)
 
 
-def test_blocks_ties_and_few_candidates(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+@pytest.mark.parametrize("cell_bytes", [300, 3000, 1 << 20])
+def test_cells_ties_and_few_candidates(spark, monkeypatch, cell_bytes):
+    monkeypatch.setattr(topk, "CELL_BYTES", cell_bytes)
     rows = [(i, [float(i % 3), 1.0]) for i in range(25)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     for k in (4, 30):
@@ -51,6 +53,26 @@ def test_empty_and_without_queries(spark):
     assert _got(df.limit(0), 3, F.lit(True)) == [] and _got(df, 3, F.col("vec_id") == 0) == []
 
 
+def test_vectors_without_components(spark):
+    df = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
+    assert _got(df, 2, F.col("vec_id") == 0) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_queries_arrive_in_several_batches(spark, monkeypatch):
+    """A cell's candidates and queries both span Arrow batches and tasks hold several cells."""
+    monkeypatch.setattr(topk, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(topk, "text_session", lambda s: None)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=5))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert _got(df, 5, F.col("vec_id") % 4 == 0) == _brute(rows, 5, lambda i: i % 4 == 0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_bounds_hold_and_eliminate():
     rng = np.random.default_rng(3)
     centre = rng.integers(-2000, 2000, (8, 16)) * 8
