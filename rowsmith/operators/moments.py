@@ -110,13 +110,18 @@ def correlations(state: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _sketchable(df: DataFrame, name: str) -> Column:
-    """The column in a type that sketches take, equal values alike; NaN is missing."""
+    """The column as integers, equal values alike: hashes of 64 bits where it holds none, so that no value is written
+    out as text (collated strings stay, sketches know their equal forms)."""
     c, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        c = F.nanvl(c, F.lit(None).cast(kind)) + F.lit(0.0).cast(kind)         # -0.0 is 0.0
-    if isinstance(kind, (T.StringType, T.BinaryType, T.IntegerType, T.LongType)):
+    if isinstance(kind, (T.IntegerType, T.LongType)) or isinstance(kind, T.StringType) and kind.collation != "UTF8_BINARY":
         return c
-    return F.xxhash64(F.to_json(F.struct(c))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0).cast(kind)                                           # -0.0 is 0.0
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        c = F.to_json(F.struct(c))
+    elif not isinstance(kind, (T.StringType, T.BinaryType, T.BooleanType, T.NumericType, T.DatetimeType)):
+        c = c.cast("string")
+    return F.xxhash64(c)
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -126,13 +131,15 @@ def _missing(df: DataFrame, name: str) -> Column:
 
 def profile_state(df: DataFrame, table_name: str, by: list[str] = (), lg_buckets: int = LG_BUCKETS) -> DataFrame:
     """The profile state of a table: a row per column (and per value of ``by``) with table_name, column_name, rows,
-    missing and a sketch of its distinct values. One aggregation over one scan."""
+    missing and a sketch of its distinct values. One aggregation over one scan: the values to sketch are computed in a
+    projection before it, in compiled code, since sketches interpret their argument for every row."""
     names = [c for c in df.columns if c not in by]
+    values = [F.when(~_missing(df, c), _sketchable(df, c)).alias(f"__v{i}") for i, c in enumerate(names)]
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        value = F.when(~_missing(df, c), _sketchable(df, c))
-        aggs += [F.count_if(_missing(df, c)).alias(f"m{i}"), F.hll_sketch_agg(value, F.lit(lg_buckets)).alias(f"s{i}")]
-    wide = df.groupBy(*by).agg(*aggs)
+    for i in range(len(names)):
+        aggs += [F.count_if(F.col(f"__v{i}").isNull()).alias(f"m{i}"),
+                 F.hll_sketch_agg(f"__v{i}", F.lit(lg_buckets)).alias(f"s{i}")]
+    wide = df.select(*by, *values).groupBy(*by).agg(*aggs)
     each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing"), F.col(f"s{i}").alias("sketch"))
                      for i, c in enumerate(names)])
     return wide.select(F.lit(table_name).alias("table_name"), *by, "rows", F.explode(each).alias("e")).select(

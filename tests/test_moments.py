@@ -90,6 +90,22 @@ def test_sketches_merge_and_are_near_the_exact_counts(spark, tmp_path):
     assert "Expand" not in plan and plan.count("FileScan") == 1
 
 
+def test_sketches_take_integers_computed_before_them(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    plan = moments.profile_state(li, "lineitem", by=["l_returnflag"])._jdf.queryExecution().optimizedPlan().toString()
+    head = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "hll_sketch_agg(__v0#" in head and "xxhash64" not in head and "cast(" not in plan.split("Aggregate", 1)[1]
+    rows = [("", 0.0, "a", b"", 1), ("x", -0.0, "A", b"\0", 2), ("x", float("nan"), "b", None, 3), (None, 1e-300, None, b"", None)]
+    odd = spark.createDataFrame(rows, "s string, f double, c string, b binary, i int").withColumns({
+        "c": F.collate("c", "UTF8_LCASE"), "t": F.timestamp_seconds("i"), "n": F.col("i").cast("decimal(30,2)"),
+        "__v1": F.col("i").cast("tinyint")})
+    got = {r["column_name"]: r for r in moments.profile(moments.profile_state(odd, "t")).collect()}
+    exact = {r["column_name"]: r for r in quality.column_profile(odd, "t").collect()}
+    assert {c: (r["distinct_count"], r["null_fraction"]) for c, r in got.items()} == \
+        {c: (r["distinct_count"], r["null_fraction"]) for c, r in exact.items()}
+    assert [got[c]["distinct_count"] for c in ("s", "f", "c", "b")] == [2, 2, 2, 2]
+
+
 def test_report_with_named_exact_columns(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").withColumn("x", F.when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(-0.0))
     exact = {r["column_name"]: r for r in quality.quality_report({"orders": o}).collect()}
