@@ -1,8 +1,9 @@
 """Token ids of whole texts with a ``tokenizers`` file, encoding each distinct word once.
 
 White space never lies inside a token of the tokenizers used here (their pre-tokenizer
-drops it), so a text's ids are its words' ids in order. Words are found and matched to
-known ones with vectorised Arrow kernels; only new words reach the tokenizer. Words made
+drops it), so a text's ids are its words' ids in order. Words are found with vectorised Arrow
+kernels and matched to known ones by sorted hashes that are kept between slices, each match
+compared as text; only new words reach the tokenizer. Words made
 of basic and Latin-1 letters with ASCII punctuation behind are two pieces to the
 pre-tokenizer (letters, punctuation) and so are looked up as a lower-case stem and a
 tail; every other word goes through the whole tokenizer unchanged.
@@ -48,6 +49,19 @@ def encoder(path: str, end_id: int) -> "TextEncoder":
     return _ENCODERS[key]
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: their bytes weighed by powers of an odd number and summed."""
+    edges = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4) if len(words) else np.zeros(1, np.int32)
+    size = np.diff(edges)
+    total = int(edges[-1] - edges[0])
+    data = np.frombuffer(words.buffers()[2], np.uint8, total, edges[0]) if total else np.zeros(0, np.uint8)
+    powers = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B97F4A7C15, np.uint64))
+    starts = edges[:-1] - edges[0]
+    terms = (data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(total, dtype=np.int32) - np.repeat(starts, size)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    return sums[starts + size] - sums[starts]
+
+
 class TextEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -60,6 +74,8 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
+        self.hashes = np.zeros(0, np.uint64)         # of the known words, sorted
+        self.places = np.zeros(0, np.int64)          # and their places in known
         self.starts = np.zeros(1, np.int64)          # ids of known word i: flat[starts[i]:starts[i + 1]]
         self.flat = np.zeros(0, np.uint32)
 
@@ -81,31 +97,39 @@ class TextEncoder:
         self.flat = np.concatenate(flats)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
         new = pa.array(stems + others, pa.string())
+        own = word_hashes(new)
+        order = np.argsort(own)
+        at = np.searchsorted(self.hashes, own[order])
+        self.hashes = np.insert(self.hashes, at, own[order])
+        self.places = np.insert(self.places, at, len(self.known) + order)
         self.known = pa.concat_arrays([self.known, new])
         return new
 
     def _places(self, words: pa.Array) -> np.ndarray:
-        """Memo places of words, learning the unknown ones."""
-        if self.known.nbytes + self.flat.nbytes > MEMO_BYTES:
+        """Memo places of distinct words, learning the unknown ones. Words are found by hash and compared whole, so of
+        two that share a hash the later is learned again each time."""
+        if self.known.nbytes + self.flat.nbytes + self.hashes.nbytes + self.places.nbytes > MEMO_BYTES:
             self._forget()
-        base = len(self.known)
-        at = pc.index_in(words, value_set=self.known)
-        if at.null_count:
-            missing = pc.is_null(at)
-            lost = words.filter(missing).dictionary_encode()
-            new = self._learn(lost.dictionary)
-            order = pc.index_in(lost.dictionary, value_set=new).to_numpy(zero_copy_only=False)
-            out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            out[missing.to_numpy(zero_copy_only=False)] = base + order[lost.indices.to_numpy(zero_copy_only=False)]
-            return out
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        base, hashes = len(self.known), word_hashes(words)
+        lost = np.ones(len(words), bool)
+        out = np.zeros(len(words), np.int64)
+        if base:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), base - 1)
+            out = self.places[at]
+            lost = ~pc.equal(self.known.take(pa.array(out)), words).to_numpy(zero_copy_only=False)
+        if lost.any():
+            missing = words.filter(pa.array(lost))
+            new = self._learn(missing)
+            out[lost] = base + pc.index_in(missing, value_set=new).to_numpy(zero_copy_only=False)
+        return out
 
     def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and id counts of distinct words: each one's stem, then its tail."""
         parts = pc.extract_regex(words, PLAIN)
         stem = pc.if_else(pc.is_valid(parts), pc.utf8_lower(pc.struct_field(parts, "stem")), words)
         tail = pc.fill_null(pc.struct_field(parts, "tail"), "")
-        at = self._places(pa.concat_arrays([stem, tail])).reshape(2, -1).T.ravel()
+        pieces = pa.concat_arrays([stem, tail]).dictionary_encode()
+        at = self._places(pieces.dictionary)[pieces.indices.to_numpy(zero_copy_only=False)].reshape(2, -1).T.ravel()
         size = self.starts[at + 1] - self.starts[at]
         return self.flat[gather_ranges(self.starts[at], size)], size.reshape(-1, 2).sum(axis=1)
 

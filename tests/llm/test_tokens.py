@@ -28,6 +28,33 @@ def test_memo_equals_the_tokenizer(monkeypatch):
         monkeypatch.setattr(tokens, "MEMO_BYTES", 0)      # forgetting changes nothing
 
 
+def test_known_words_are_not_indexed_anew_for_each_slice(monkeypatch):
+    sets, index_in = [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda words, value_set: sets.append(len(value_set)) or index_in(words, value_set=value_set))
+    enc, ref = tokens.TextEncoder(tokens.tokenizer_path(), 2), _reference()
+    for i in range(12):
+        text = " ".join(f"w{j:x}q, Word" for j in range(i * 40, i * 40 + 60))
+        ids, _ = enc.encode(pa.array([text, "word"]))
+        assert ids.tolist() == ref(text) + ref("word")
+    assert len(enc.known) > 480 and max(sets) < 100
+
+
+def test_words_that_share_a_hash_keep_their_ids(monkeypatch):
+    ref = _reference()
+    monkeypatch.setattr(tokens, "word_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    enc = tokens.TextEncoder(tokens.tokenizer_path(), 2)
+    for t in texts() * 2:
+        assert enc.encode(pa.array([t], pa.string()))[0].tolist() == ref(t)
+
+
+def test_word_hashes_see_slices_and_empty_words():
+    words = pa.array(["", "a", "aa", "ab", "ba", "é", "a" * 300, ""])
+    h = tokens.word_hashes(words)
+    assert h[0] == h[7] and len(set(h.tolist())) == 7
+    assert tokens.word_hashes(words.slice(2, 3)).tolist() == h[2:5].tolist()
+    assert len(tokens.word_hashes(words.slice(0, 0))) == 0 and tokens.word_hashes(pa.array(["", ""])).tolist() == h[[0, 0]].tolist()
+
+
 def test_pfor_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):
